@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def oracle_frame(sql: str, root: str) -> pd.DataFrame:
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "8GB", "threads": 6})
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{root}/{t}.parquet'")
     return con.sql(sql).df()

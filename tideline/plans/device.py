@@ -377,13 +377,10 @@ class DeviceStudy:
 
     def threshold_metrics(self, entities: DataFrame, keys: list[str]) -> DataFrame:
         """Pooled metrics for support thresholds and support bands; undefined values are 0 here."""
-        bars = F.array(*[F.lit(t) for t in THRESHOLDS])
-        by_threshold = entities.withColumn(
-            "slice", F.explode(F.filter(bars, lambda t: F.col("history_support") >= t))
-        ).withColumn("slice", F.concat(F.lit(">="), F.col("slice").cast("string")))
-        by_band = entities.withColumn("slice", support_band(F.col("history_support")))
-        both = by_threshold.unionByName(by_band)
-        return pooled_metrics(both, [*keys, "slice"], undefined=0.0)
+        support = F.col("history_support")
+        slices = [F.when(support >= t, F.lit(f">={t}")) for t in THRESHOLDS]
+        sliced = entities.withColumn("slice", F.explode(F.array_compact(F.array(*slices, support_band(support)))))
+        return pooled_metrics(sliced, [*keys, "slice"], undefined=0.0)
 
     def prediction_rows(self, scored: DataFrame) -> DataFrame:
         """Positives, and as many negatives taken in problem order, cycling when they run out.

@@ -197,7 +197,7 @@ def gate_decision(by_quarter: DataFrame, low_support: DataFrame, learned: list[s
         F.count_if(F.col("m.recall") > F.col(base[1])).alias("wins_over_neighbor"),
     )
     lows = low.select(
-        F.greatest(*base).alias("best_baseline_low_support"),
+        F.coalesce(F.greatest(*base), F.lit(0.0)).alias("best_baseline_low_support"),
         F.explode(
             F.array(*[F.struct(F.lit(m).alias("method"), F.coalesce(F.col(m), F.lit(0.0)).alias("low")) for m in learned])
         ).alias("m"),

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tideline", cores: str = "8", memory: str = "16g") -> SparkSession:
+def build_session(app: str = "tideline", cores: str = "8", memory: str = "10g") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
