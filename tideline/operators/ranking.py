@@ -82,7 +82,7 @@ def entity_metrics(ranked: DataFrame, keys: list[str], carry: dict[str, Column]
     )
 
 
-def pooled_metrics(entities: DataFrame, keys: list[str], undefined: float | None = None) -> DataFrame:
+def pooled_metrics(entities: DataFrame, keys: list[str], undefined: float | None = None, extra=()) -> DataFrame:
     """Micro recall from sums, macro recall and MRR as plain entity averages."""
 
     def settle(c: Column) -> Column:
@@ -96,4 +96,5 @@ def pooled_metrics(entities: DataFrame, keys: list[str], undefined: float | None
         *[settle(ratio(F.sum(f"hits_at_{k}"), total)).alias(f"micro_recall_at_{k}") for k in CUTOFFS],
         *[settle(F.avg(f"recall_at_{k}")).alias(f"macro_recall_at_{k}") for k in CUTOFFS],
         settle(F.avg("mrr")).alias("mrr"),
+        *extra,
     )

@@ -329,9 +329,7 @@ class PrescriberStudy:
         """By-year and pooled rows (``scope``) in one aggregation."""
         scope = F.explode(F.array(F.col("target").cast("string"), F.lit("pooled")))
         rows = entities.withColumn("scope", scope)
-        base = pooled_metrics(rows, [*keys, "scope"])
-        people = rows.groupBy(*keys, "scope").agg(F.countDistinct("npi").alias("providers"))
-        return base.join(people, [*keys, "scope"])
+        return pooled_metrics(rows, [*keys, "scope"], extra=[F.countDistinct("npi").alias("providers")])
 
     def paired_recall(self, entities: DataFrame, baseline: str) -> DataFrame:
         """Mean provider-year Recall@10 difference of every other method against ``baseline``."""
