@@ -281,7 +281,7 @@ class FacilityStudy:
         """(year, ccn, day, label, score): base rate of all strictly earlier model years."""
         per_year = self.base_rows.groupBy("year").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
         years = F.explode(F.sequence(F.col("year") + 1, F.lit(self.last_year).cast("long")))
-        rates = per_year.withColumn("t", years).groupBy(F.col("t").alias("year")).agg(
+        rates = per_year.filter(F.col("year") < self.last_year).withColumn("t", years).groupBy(F.col("t").alias("year")).agg(
             (F.sum("p") / F.sum("n")).alias("score")
         )
         return self.local_rows.filter(F.col("year") >= self.validation_year).join(rates, "year")
