@@ -137,7 +137,7 @@ class TrialStudy:
             "nct_id",
             F.coalesce(F.col("result") <= F.date_add("completion", HORIZON), F.lit(False)).cast("long").alias("timely"),
             F.datediff("result", "completion").cast("long").alias("delay"),
-        )
+        ).persist()
 
     @cached_property
     def eligible(self) -> DataFrame:
