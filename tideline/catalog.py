@@ -11,7 +11,7 @@ from tideline.functions.scalar import quarter_label
 from tideline.plans.device import DeviceStudy
 from tideline.sources.bindings import DeviceWindow
 
-STUDIES = ("device", "prescriber", "facility", "trials", "analysis")
+STUDIES = ("device", "prescriber", "facility", "trials", "analysis", "models")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +30,21 @@ def order_buckets(spark: SparkSession) -> int:
     return max(2, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; make a local one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a local one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (used between training epochs)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing the table to the shared checkpoint folder (used between epochs).
+
+    The written table survives executor loss, is computed once, and its known
+    size lets the optimiser decide on broadcasts by itself.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
