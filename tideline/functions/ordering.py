@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tideline.session import order_buckets
+from tideline.session import cut, order_buckets
 
 
 def _slices(df: DataFrame, keys: list[str], slices: int | None) -> DataFrame:
@@ -45,7 +45,7 @@ def running_totals(
     temp = not group
     if temp:
         df, group = df.withColumn("_all", F.lit(0)), ["_all"]
-    df = df.persist()  # read by the sample, the scan and the slice totals
+    df = df.transform(cut)  # read by the sample, the scan and the slice totals
     placed = _slices(df, [*group, *order], slices)
     inside = W.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     placed = placed.select("*", *[F.sum(c).over(inside).alias(f"_in_{k}") for k, c in totals.items()])

@@ -15,13 +15,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tideline.session import cut
+
 ROWS_PER_PARTITION = 20_000
 DIRECT_PARTITIONS = 256
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """A persisted table of block rows and how many tasks read it."""
+    """A written table of block rows and how many tasks read it."""
 
     table: DataFrame
     partitions: int
@@ -32,7 +34,7 @@ def pack(rows: DataFrame, features: list[str], label: str, period: str, keys: li
     data = rows.select(
         *keys, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
         F.col(label).cast("double").alias("_y"), F.col(period).cast("double").alias("_t"),
-    ).persist()
+    ).transform(cut)
     spark = rows.sparkSession
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), data.count() // ROWS_PER_PARTITION + 1))
     placed = data.repartition(parts, *keys).sortWithinPartitions(*keys).select("_x", "_y", "_t")
@@ -43,7 +45,7 @@ def pack(rows: DataFrame, features: list[str], label: str, period: str, keys: li
                 x = np.stack(f["_x"].to_numpy()).astype(np.float64)
                 yield pd.DataFrame({"x": [x.tobytes()], "y": [f["_y"].to_numpy().tobytes()], "t": [f["_t"].to_numpy().tobytes()]})
 
-    return Blocks(placed.mapInPandas(build, "x binary, y binary, t binary").persist(), parts)
+    return Blocks(placed.mapInPandas(build, "x binary, y binary, t binary").transform(cut), parts)
 
 
 def block_sum(blocks: Blocks, size: int, reduce: Callable[..., np.ndarray]) -> np.ndarray:

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tideline.session import cut
+
 TILE = 256
 FAR = np.iinfo(np.int32).max
 STATS = (
@@ -111,7 +113,7 @@ def peer_statistics(targets: DataFrame, attachments: DataFrame, events: DataFram
             F.col("e.serious").alias("serious"),
             "targets",
         )
-    ).persist()
+    ).transform(cut)
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     left = packed.filter("targets is not null").withColumn("ti", F.col("_t")).withColumn("tj", every)
     left = left.withColumn("side", F.lit("L")).withColumn("days", F.lit(None).cast("array<int>"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.ordering import running_totals
 from tideline.operators.blocks import Blocks, block_sum
+from tideline.session import cut
 
 RANK = 8
 GRAM_ITEMS = 2048
@@ -31,7 +32,7 @@ def _sparse_blocks(history: DataFrame, items: DataFrame) -> Blocks:
         history.join(items.select("q", "item", "idx"), ["q", "item"])
         .groupBy("q", "entity")
         .agg(F.sort_array(F.collect_list("idx")).alias("idx"))
-        .persist()
+        .transform(cut)
     )
     width = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(width, packed.count() // 2_000 + 1))
@@ -44,7 +45,7 @@ def _sparse_blocks(history: DataFrame, items: DataFrame) -> Blocks:
                 flat = np.concatenate(part["idx"].to_numpy()).astype(np.int32)
                 yield pd.DataFrame({"q": [int(q)], "idx": [flat.tobytes()], "lens": [lens.tobytes()]})
 
-    table = rows.select("q", "entity", "idx").mapInPandas(build, "q int, idx binary, lens binary").persist()
+    table = rows.select("q", "entity", "idx").mapInPandas(build, "q int, idx binary, lens binary").transform(cut)
     return Blocks(table, parts)
 
 
@@ -89,7 +90,7 @@ def fit_spectral(history: DataFrame, rank: int = RANK, iterations: int = ITERATI
     item-by-item product is summed once and iterated as a small matrix; beyond
     that every iteration is a pass over the blocks.  Both give the same vectors.
     """
-    items = item_positions(history).persist()
+    items = item_positions(history).transform(cut)
     table = items.orderBy("q", "idx").toPandas()  # one row per known item: the model itself
     blocks = _sparse_blocks(history, items)
     qs = sorted(int(q) for q in table["q"].unique())

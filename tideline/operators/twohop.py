@@ -36,6 +36,7 @@ def _tile_scores(left: pd.DataFrame, right: pd.DataFrame, kind: str) -> pd.DataF
     lists = [*left["items"], *right["items"], *(left["wanted"] if has_wanted else [])]
     cuts = np.cumsum([len(v) for v in lists])[:-1]
     flat, names = pd.factorize(np.concatenate([np.asarray(v, dtype=object) for v in lists]))
+    names = np.asarray(names, dtype=object)
     codes = np.split(flat, cuts)
     nl, nr = len(left), len(right)
     own, peer, wanted = codes[:nl], codes[nl : nl + nr], codes[nl + nr :]

@@ -12,6 +12,7 @@ from tideline.operators.candidates import candidate_grid
 from tideline.operators.ranking import entity_metrics, full_ranks, pooled_metrics, sparse_ranks
 from tideline.operators.temporal import accumulate, first_seen, recent_distinct, recent_sum
 from tideline.operators.twohop import two_hop_scores
+from tideline.session import cut
 from tideline.sources import bindings
 from tideline.sources.bindings import DeviceWindow
 
@@ -67,7 +68,7 @@ class DeviceStudy:
             self.reports.join(codes, "key")
             .groupBy("product", "problem", "quarter")
             .agg(F.count("*").alias("n_reports"))
-            .persist()
+            .transform(cut)
         )
 
     @cached_property
@@ -137,7 +138,7 @@ class DeviceStudy:
     @cached_property
     def edge_first(self) -> DataFrame:
         """(product, problem, first): when the edge was first observed."""
-        return first_seen(self.edge_quarter, ["product", "problem"], "quarter").persist()
+        return first_seen(self.edge_quarter, ["product", "problem"], "quarter").transform(cut)
 
     @cached_property
     def product_first(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tideline.functions.scalar import log1p, owner_token, ratio, strip_owner_kind
 from tideline.operators.peers import STATS, peer_statistics
+from tideline.session import cut
 from tideline.sources import bindings
 
 TARGET_YEARS = (1995, 2001)
@@ -157,7 +158,7 @@ class FacilityStudy:
     @cached_property
     def attachments(self) -> DataFrame:
         """(owner, ccn, first): first association of each pair."""
-        return self.combined_owners.groupBy("owner", "ccn").agg(F.min("association").alias("first")).persist()
+        return self.combined_owners.groupBy("owner", "ccn").agg(F.min("association").alias("first")).transform(cut)
 
     # ------------------------------------------------------------ model rows
 
@@ -232,7 +233,7 @@ class FacilityStudy:
     @cached_property
     def model_rows(self) -> DataFrame:
         return (
-            self.base_rows.join(self.change_counts(), ["ccn", "day"]).join(self.peer_stats(), ["ccn", "day"]).persist()
+            self.base_rows.join(self.change_counts(), ["ccn", "day"]).join(self.peer_stats(), ["ccn", "day"]).transform(cut)
         )
 
     @cached_property

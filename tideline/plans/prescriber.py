@@ -18,6 +18,7 @@ from tideline.operators.candidates import candidate_grid
 from tideline.operators.ranking import CUTOFFS, entity_metrics, full_ranks, pooled_metrics
 from tideline.operators.temporal import first_seen
 from tideline.operators.twohop import two_hop_scores
+from tideline.session import cut
 from tideline.sources import bindings
 
 YEARS = (1996, 1997, 1998, 1999, 2000, 2001)
@@ -80,10 +81,10 @@ class PrescriberStudy:
         """(target, npi) for every scored year; one fixed cohort when three years or fewer exist."""
         if len(self.years) > 3:
             seen = first_seen(self.rows.filter(F.col("year") < max(self.score_years)), ["npi"], "year")
-            return dynamic_cohorts(seen, self.score_years, self.cohort_size).persist()
+            return dynamic_cohorts(seen, self.score_years, self.cohort_size).transform(cut)
         fixed = hash_cohort(self.rows.filter(F.col("year") == self.years[0]), "npi", self.cohort_size)
         targets = F.explode(F.array(*[F.lit(t).cast("long") for t in self.score_years]))
-        return fixed.select(targets.alias("target"), "npi").persist()
+        return fixed.select(targets.alias("target"), "npi").transform(cut)
 
     @cached_property
     def cohort(self) -> DataFrame:
@@ -92,7 +93,7 @@ class PrescriberStudy:
     @cached_property
     def edges(self) -> DataFrame:
         """Rows of the union cohort."""
-        return self.rows.join(self.cohort, "npi", "left_semi").persist()
+        return self.rows.join(self.cohort, "npi", "left_semi").transform(cut)
 
     def export(self) -> DataFrame:
         """The fifteen-column edge table with half-open yearly validity."""
@@ -133,7 +134,7 @@ class PrescriberStudy:
                     F.sum("claims").alias("claims"),
                     F.array_sort(F.collect_set(F.when(F.col("specialty") != "", F.col("specialty")))).alias("specialties"),
                 )
-                .persist()
+                .transform(cut)
             )
         return self._drugs[kind]
 
@@ -145,7 +146,7 @@ class PrescriberStudy:
             self.projected(kind)
             .join(self.cohorts.filter(F.col("target").isin(targets)), "npi")
             .filter(F.col("year") < F.col("target"))
-            .persist()
+            .transform(cut)
         )
 
     def holdings(self, history: DataFrame) -> DataFrame:

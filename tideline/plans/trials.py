@@ -16,6 +16,7 @@ from tideline.functions.scalar import (
     ratio,
 )
 from tideline.operators.median import pooled_median
+from tideline.session import cut
 from tideline.sources import bindings
 
 HORIZON = 365
@@ -137,7 +138,7 @@ class TrialStudy:
             "nct_id",
             F.coalesce(F.col("result") <= F.date_add("completion", HORIZON), F.lit(False)).cast("long").alias("timely"),
             F.datediff("result", "completion").cast("long").alias("delay"),
-        ).persist()
+        ).transform(cut)
 
     @cached_property
     def eligible(self) -> DataFrame:
@@ -152,7 +153,7 @@ class TrialStudy:
             self.eligible.withColumn("_rn", F.row_number().over(order))
             .filter(F.col("_rn") <= self.cohort_size)
             .drop("_rn")
-            .persist()
+            .transform(cut)
         )
 
     # ------------------------------------------------------------ relations and history
@@ -164,7 +165,7 @@ class TrialStudy:
             "entity_type", "nct_id", normalize_name(F.col("name")).alias("name")
         ).filter("name is not null").distinct()
         retained = self.known.select("origin", "nct_id").unionByName(self.cohort.select("origin", "nct_id"))
-        return names.join(retained.distinct(), "nct_id").select("origin", "entity_type", "nct_id", "name").persist()
+        return names.join(retained.distinct(), "nct_id").select("origin", "entity_type", "nct_id", "name").transform(cut)
 
     def entity_history(self) -> DataFrame:
         """(origin, entity_type, name, trials, timely) over known trials."""
@@ -202,7 +203,7 @@ class TrialStudy:
         )
         return counts.join(pooled, ["origin", "nct_id", "entity_type"], "left").withColumn(
             "timely_fraction", ratio(F.col("timely"), F.col("prior_trial_count"))
-        ).persist()
+        ).transform(cut)
 
     def context(self) -> DataFrame:
         """(origin, nct_id) context over the four non-sponsor types: summed counts, weighted share, mean of medians."""
@@ -315,7 +316,7 @@ class TrialStudy:
             .join(tall, ["origin", "nct_id"], "left")
         )
         zero = [f"{e}_{h}" for e in ENTITY_TYPES for h in ("prior_trial_count", "entity_count", "history_entity_count")]
-        return rows.fillna(0.0, zero).persist()
+        return rows.fillna(0.0, zero).transform(cut)
 
 
 def _date(text: str):

@@ -12,6 +12,7 @@ from tideline.plans import analysis as A
 from tideline.plans import stability
 from tideline.plans.registry import Method, load_task
 from tideline.queries.prescriber import rounded
+from tideline.session import cut
 from tideline.sources import bindings, manifest
 from tideline.streaming import first_seen as stream
 
@@ -62,14 +63,14 @@ def m_rolling(spark, root):
 def m_analysis(spark, root):
     """Intervals of the message model against neighbour frequency, and within-product AUC against the averaged embeddings."""
     task = load_task("device", spark, root)
-    test = task.entities().filter(F.col("q") >= task.study.window.test).persist()
+    test = task.entities().filter(F.col("q") >= task.study.window.test).transform(cut)
     a, b = "neighbor_frequency", "graphsage_link_prediction"
     ranks = A.ranking_intervals(test, "product", a, b, RESAMPLES, SEED)
     wide = task.scored.filter(F.col("q") >= task.study.window.test)
     rows = task.study.prediction_rows(
         wide.select("q", "product", "problem", F.col("graph_message_passing_bpr").alias("score"), F.col(b).alias("score_b"))
     )
-    pairs = rows.select(F.col("product").alias("cluster"), F.col("label").cast("long").alias("label"), F.col("score").alias("score_a"), "score_b").persist()
+    pairs = rows.select(F.col("product").alias("cluster"), F.col("label").cast("long").alias("label"), F.col("score").alias("score_a"), "score_b").transform(cut)
     inside = A.cluster_intervals(pairs, "cluster", RESAMPLES, SEED + 3).filter("metric = 'pairwise_auc'")
     return rounded(ranks.unionByName(inside))
 
@@ -103,10 +104,10 @@ def c_analysis(spark, root):
     task = load_task("facility", spark, root)
     test = task.predictions.filter(F.col("year") > min(task.years))
     a, b = (test.filter(F.col("method") == m) for m in task.methods[1:])
-    pairs = A.pair_predictions(a, b, ["year", "ccn", "day"], []).withColumnRenamed("ccn", "cluster").persist()
+    pairs = A.pair_predictions(a, b, ["year", "ccn", "day"], []).withColumnRenamed("ccn", "cluster").transform(cut)
     ranked = A.rank_intervals(pairs, "cluster", ["day", "cluster"], RESAMPLES, SEED + 4)
     brier = A.additive_bootstrap(
-        A.brier_sums(pairs, "cluster").persist(), "cluster", {"brier": F.col("brier_gap") / F.col("n")}, RESAMPLES, SEED + 1
+        A.brier_sums(pairs, "cluster").transform(cut), "cluster", {"brier": F.col("brier_gap") / F.col("n")}, RESAMPLES, SEED + 1
     )
     return rounded(ranked.unionByName(brier))
 
@@ -169,7 +170,7 @@ def init_embedding(spark, root):
 
 def manifest_drift(spark, root):
     """Files of the data folder against a manifest with one wrong size and one missing file."""
-    listed = manifest.describe(spark, f"{root}/*.parquet").persist()
+    listed = manifest.describe(spark, f"{root}/*.parquet").transform(cut)
     expected = listed.withColumn("bytes", F.when(F.col("name") == "region.parquet", F.col("bytes") + 1).otherwise(F.col("bytes")))
     absent = expected.filter("name = 'nation.parquet'").withColumn("name", F.lit("absent.parquet"))
     return manifest.drift(expected.unionByName(absent), listed).select("name", "problem")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions.scalar import claims_error, cost_error, flag_error, npi_error, number_error
 from tideline.plans.prescriber import FEATURES, PrescriberStudy, hash_cohort
+from tideline.session import cut
 from tideline.sources import bindings, sinks
 
 MODEL_TARGETS = [2000, 2001]
@@ -178,7 +179,7 @@ def p_high_score_threshold(spark, root):
 def p_all_provider_metrics(spark, root):
     s = _study(spark, root)
     history = s.before("generic", MODEL_TARGETS)
-    scored = s.heuristic_scores(history).persist()
+    scored = s.heuristic_scores(history).transform(cut)
     return rounded(
         s.load_metrics(
             s.top_recommendations(scored, MODEL_HEURISTICS),
