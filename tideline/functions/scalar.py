@@ -92,10 +92,11 @@ def strip_owner_kind(token: Column) -> Column:
 def normalize_name(text: Column) -> Column:
     """Case-folded, whitespace-collapsed name; blank becomes NULL.
 
-    Case folding is upper-then-lower, which maps the special letters that have
-    a distinct folded form (for example sharp s) the way a full fold does.
+    Folding is upper-then-lower, which unifies letters with several lower forms
+    (for example the two sigmas), plus the sharp s, whose folded form is two letters.
     """
-    folded = F.lower(F.upper(F.coalesce(text, F.lit(""))))
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u00df\u1e9e]", "ss")
+    folded = F.lower(F.upper(plain))
     collapsed = F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
     return F.when(collapsed != "", collapsed)
 

@@ -29,7 +29,7 @@ def _incidence(codes: list[np.ndarray], lo: int, hi: int, dtype) -> np.ndarray:
 
 def _tile_scores(left: pd.DataFrame, right: pd.DataFrame, kind: str) -> pd.DataFrame:
     """Scores contributed by the right tile's entities to the left tile's candidates."""
-    empty = pd.DataFrame({"period": [], "entity": [], "item": [], "score": []})
+    empty = pd.DataFrame({"period": pd.Series(dtype="int64"), "entity": pd.Series(dtype=object), "item": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
     if left.empty or right.empty:
         return empty
     has_wanted = left["wanted"].notna().all()
@@ -68,7 +68,7 @@ def _tile_scores(left: pd.DataFrame, right: pd.DataFrame, kind: str) -> pd.DataF
     return pd.DataFrame(
         {
             "period": np.full(len(rows), left["period"].iloc[0]),
-            "entity": left["entity"].to_numpy()[rows],
+            "entity": np.asarray(left["entity"], dtype=object)[rows],
             "item": names[cols],
             "score": np.concatenate([p[2] for p in parts]),
         }
