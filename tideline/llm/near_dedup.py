@@ -33,8 +33,8 @@ from tideline.llm.common import LOWER, identified_bytes, in_slices, int_lists, s
 
 BANDS, ROWS = 32, 5
 SLICE_BYTES = 1 << 20
-#: Buckets up to this size compare all their open members in one round, larger ones a few at a time.
-WHOLE, PIVOTS = 64, 4
+#: Pairs that one bucket may put up in one round; what is left follows in later rounds.
+ROUND_PAIRS = 1 << 14
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -173,31 +173,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     centre = written(members.groupBy("bucket").agg(F.max_by("rep", F.struct("degree", "rep")).alias("centre")))
     several = named.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
     copies = named.join(several, "doc_id", "left_semi").join(sets, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    open_ = members.join(centre, "bucket").where("rep <> centre").select("bucket", "rep")
+    open_ = members.join(centre, "bucket").where("rep <> centre").select("bucket", "rep", "size", "degree")
     pivots = centre.select("bucket", F.col("centre").alias("pivot"))
     edges, checked = copies, None
+    root = components(edges)
     while True:
-        at = written(members.join(labels, "rep"))
+        at = members.join(labels, "rep")
         other = at.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
         pivot = at.select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("nb"), F.col("label").alias("lb")).join(pivots, ["bucket", "pivot"], "left_semi")
         pairs = other.join(pivot, "bucket").where("la <> lb").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", F.col("pivot").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs)
-        edges = written(edges.union(confirmed(pairs, texts, width, percent)))
+        new = written(confirmed(pairs, texts, width, percent))
         both = pairs.union(pairs.select(F.col("b"), F.col("a")))
         checked = both if checked is None else written(checked.union(both))
-        root = components(edges)
-        labels = written(degree.select("rep").join(root.withColumnRenamed("v", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("label")))
+        if not new.isEmpty():
+            edges = edges.union(new)
+            root = components(edges)
+            labels = written(degree.select("rep").join(root.withColumnRenamed("v", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("label")))
         open_ = open_.join(pivots.withColumnRenamed("pivot", "rep"), ["bucket", "rep"], "left_anti")
         home = centre.join(labels, F.col("centre") == F.col("rep")).select("bucket", F.col("label").alias("home"))
-        outside = open_.join(labels, "rep").join(home, "bucket").where("label <> home")
-        outside = written(outside.join(members.select("bucket", "rep", "size", "degree"), ["bucket", "rep"]).select("bucket", "rep", "size", "degree"))
-        if outside.isEmpty():
+        open_ = written(open_.join(labels, "rep").join(home, "bucket").where("label <> home").select("bucket", "rep", "size", "degree"))
+        if open_.isEmpty():
             break
-        open_ = outside.select("bucket", "rep")
-        chosen = outside.where(f"size > {WHOLE}").groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))).agg(F.max_by("rep", F.struct("degree", "rep")).alias("pivot"))
-        pivots = written(outside.where(f"size <= {WHOLE}").select("bucket", F.col("rep").alias("pivot")).union(chosen.select("bucket", "pivot")))
+        # a bucket with few open members compares them all at once, any other a few of them, by hash
+        few = open_.groupBy("bucket").agg(F.max("size").alias("most"), F.count("*").alias("left"))
+        few = few.select("bucket", F.when(F.col("left") * F.col("most") > ROUND_PAIRS, F.greatest(F.lit(1), F.floor(ROUND_PAIRS / F.col("most")))).alias("groups"))
+        chosen = open_.join(few, "bucket").withColumn("group", F.coalesce(F.pmod(F.xxhash64("rep"), "groups"), "rep"))
+        pivots = written(chosen.groupBy("bucket", "group").agg(F.max_by("rep", F.struct("degree", "rep")).alias("pivot")).select("bucket", "pivot"))
     named_root = sets.join(root.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", F.when(F.expr("doc_id IS NOT NULL AND n_shingles > 0"), F.col("d1")).alias("d1"), "d2")
     out = out.join(named_root, ["d1", "d2"], "left")
