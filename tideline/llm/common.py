@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tideline.session import checkpoint_root
 
@@ -54,20 +55,42 @@ def int_lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
+def slices(batch: pa.RecordBatch, texts: pa.Array, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of whole rows of about `max_bytes` of text, so that memory follows the run, not the batch."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(size, dtype=np.int64) // max_bytes
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def in_slices(work: Callable[[list, list], pa.RecordBatch], max_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that hands (keys, byte strings) to `work` in slices of about `max_bytes` of text.
+    """A mapInArrow function that hands (keys, byte strings) to `work`, slice by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.column(1), max_bytes):
+                yield work(part.column(0).to_pylist(), part.column(1).to_pylist())
 
-    Whole rows only: a text larger than that makes a slice of its own. Memory thus follows the slice, not the batch.
+    return run
+
+
+def appended(docs: DataFrame, prepare: Callable[[], Callable[[list], list]], new: str, max_bytes: int, text: str = "text") -> DataFrame:
+    """`docs` with columns computed from the UTF-8 bytes of its text (null: empty).
+
+    `prepare` runs once a task and gives a function from a list of byte strings to a list of Arrow arrays, one for each
+    column of the DDL string `new`. Columns of `docs` with those names are replaced; all others pass unchanged.
     """
+    names = [x.split()[0] for x in new.split(", ")]
+    base = docs.drop(*names)
+    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(new).fields])
+    source = base.withColumn("_data_", F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = prepare()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            size = np.diff(np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_binary(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0)
-            group = (np.cumsum(size) // max_bytes).astype(np.int64)
-            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-            for a, b in zip(edges, edges[1:]):
-                if b > a:
-                    yield work(keys.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist())
+            for part in slices(batch, batch.column(batch.num_columns - 1), max_bytes):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(part.columns[-1].to_pylist())], names=[*part.schema.names[:-1], *names])
 
-    return run
+    return source.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tideline.llm import bpe
 from tideline.llm.common import table
 from tideline.llm.near_dedup import near_duplicates
 
@@ -12,6 +13,22 @@ def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_superminhash_dedup,)}
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), decode=True)
+    return tokens.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded_text"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_superminhash_dedup, op4_bpe_roundtrip)}
 
 ORACLES: dict[str, str] = {}
