@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tideline.llm import bpe
 from tideline.llm.common import table
+from tideline.llm.decontaminate import contaminated
 from tideline.llm.near_dedup import near_duplicates
 
 
@@ -29,6 +30,19 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_superminhash_dedup, op4_bpe_roundtrip)}
+def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "hit_spans",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_superminhash_dedup, op4_bpe_roundtrip, op8_fm_index_decontamination)}
 
 ORACLES: dict[str, str] = {}
