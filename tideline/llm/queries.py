@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe
+from tideline.llm import bpe, secrets
 from tideline.llm.common import table
 from tideline.llm.decontaminate import contaminated
 from tideline.llm.near_dedup import near_duplicates
@@ -43,6 +43,35 @@ def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_superminhash_dedup, op4_bpe_roundtrip, op8_fm_index_decontamination)}
+def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = {r.kind for r in secrets.BASE}
+    count = lambda kind: F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return docs.select(
+        "doc_id",
+        *(count(r.kind) for r in secrets.BASE),
+        F.sha2(secrets.joined_spans(F.col("secret_spans"), base), 256).alias("base_sha256"),
+        secrets.joined_spans(F.col("secret_spans")).alias("spans"),
+    )
+
+
+def op5_sql() -> str:
+    """The same spans in DuckDB: matches and the texts between them give the places."""
+    lists = []
+    for k, r in enumerate(secrets._plain(secrets.RULES)):
+        p = r.pattern.replace("'", "''")
+        lists.append(f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{p}')) + 1), lambda i: {{
+            'start': list_sum(list_transform(string_split_regex(t, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i-1], lambda x: length(x))), 0),
+            'k': {k}, 'n': length(regexp_extract_all(t, '{p}')[i]), 'kind': '{r.kind}', 'v': length(regexp_extract_all(t, '{p}', {r.value})[i])}}), lambda z: z.v >= {r.least})""")
+    text = "list_transform({}, lambda z: z.kind || ':' || z.start::bigint || ':' || (z.start + z.n)::bigint)"
+    base = "list_filter(hits, lambda x: x.k < 3)"
+    return f"""
+    with found as (select doc_id, list_sort(list_concat({", ".join(lists)})) as hits from (select doc_id, coalesce(text, '') as t from documents))
+    select doc_id, {", ".join(f"len(list_filter(hits, lambda x: x.k = {k}))::bigint as n_{r.kind}" for k, r in enumerate(secrets.BASE))},
+      sha256(coalesce(array_to_string({text.format(base)}, ','), '')) as base_sha256, coalesce(array_to_string({text.format("hits")}, ','), '') as spans
+    from found"""
+
+
+QUERIES = {f.__name__: f for f in (op2_superminhash_dedup, op4_bpe_roundtrip, op5_trigram_secrets, op8_fm_index_decontamination)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_trigram_secrets": op5_sql()}
