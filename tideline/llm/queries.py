@@ -8,6 +8,12 @@ from tideline.llm import bpe, secrets
 from tideline.llm.common import table
 from tideline.llm.decontaminate import contaminated
 from tideline.llm.near_dedup import near_duplicates
+from tideline.llm.quality import judged
+
+
+def op1_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return judged(docs, table(spark, sf_dir, "labels")).select("doc_id", "evidence", "site_rate", "quality", "accepted")
 
 
 def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +78,6 @@ def op5_sql() -> str:
     from found"""
 
 
-QUERIES = {f.__name__: f for f in (op2_superminhash_dedup, op4_bpe_roundtrip, op5_trigram_secrets, op8_fm_index_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bayes_quality, op2_superminhash_dedup, op4_bpe_roundtrip, op5_trigram_secrets, op8_fm_index_decontamination)}
 
 ORACLES = {"op5_trigram_secrets": op5_sql()}
