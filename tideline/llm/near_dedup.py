@@ -207,3 +207,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     out = out.join(named_root, ["d1", "d2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group with all its columns; of rows with equal id and text one stays."""
+    groups = written(near_duplicates(docs, width, percent))
+    kept = groups.where("kept").select(F.col("doc_id").alias("_id_")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id_")), "left_semi")
+    repeated = written(groups.groupBy(F.col("doc_id").alias("_id_")).agg(F.count("*").alias("n")).where("n > 1").select("_id_"))
+    if repeated.isEmpty():
+        return out
+    same = F.col("doc_id").eqNullSafe(F.col("_id_"))
+    return out.join(repeated, same, "left_anti").union(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

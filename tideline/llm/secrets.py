@@ -222,3 +222,18 @@ def joined_spans(column: Column, kinds: set[str] | None = None) -> Column:
     """kind:start:end of each span, comma-joined."""
     rows = column if kinds is None else F.filter(column, lambda x: x["kind"].isin(*sorted(kinds)))
     return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """`docs` with every span of its text replaced by `mark` (overlapping spans by one); a null text stays null."""
+    found = with_spans(docs, rules, key, text)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, span: Column) -> Column:
+        fresh = span["start"] >= acc["at"]
+        piece = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, span["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), piece.alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
+    clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", start, step, rest)).otherwise(F.col(text))
+    return found.withColumn(text, clean).drop("secret_spans")
