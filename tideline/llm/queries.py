@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, secrets
+from tideline.llm import ann, bpe, secrets
 from tideline.llm.common import table
 from tideline.llm.decontaminate import contaminated
 from tideline.llm.near_dedup import near_duplicates
 from tideline.llm.quality import judged
+from tideline.llm.url_filter import filtered
 
 
 def op1_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,16 @@ def op5_sql() -> str:
     from found"""
 
 
-QUERIES = {f.__name__: f for f in (op1_bayes_quality, op2_superminhash_dedup, op4_bpe_roundtrip, op5_trigram_secrets, op8_fm_index_decontamination)}
+def op9_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return filtered(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op10_learned_partitions_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"), nearest=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_bayes_quality, op2_superminhash_dedup, op4_bpe_roundtrip, op5_trigram_secrets, op8_fm_index_decontamination, op9_link_graph_url_filter, op10_learned_partitions_ann)}
 
 ORACLES = {"op5_trigram_secrets": op5_sql()}
