@@ -28,7 +28,7 @@ from tideline.llm.common import written
 
 SAMPLE, PART_ROWS, GRAPH_DEGREE = 8192, 800, 16
 BLOCK, QUERY_BLOCK = 2048, 512
-WANTED = 0.97
+WANTED = 0.95
 
 
 @dataclass

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import ann, bpe, secrets
+from tideline.llm import ann, bpe, ngram_lm, secrets
 from tideline.llm.common import table
 from tideline.llm.decontaminate import contaminated
 from tideline.llm.near_dedup import near_duplicates
@@ -37,6 +37,11 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
+
+
 def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contaminated(docs, table(spark, sf_dir, "benchmark")).select(
@@ -89,6 +94,6 @@ def op10_learned_partitions_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 20 = 0"), nearest=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_bayes_quality, op2_superminhash_dedup, op4_bpe_roundtrip, op5_trigram_secrets, op8_fm_index_decontamination, op9_link_graph_url_filter, op10_learned_partitions_ann)}
+QUERIES = {f.__name__: f for f in (op1_bayes_quality, op2_superminhash_dedup, op4_bpe_roundtrip, op5_trigram_secrets, op6_bloom_lm, op8_fm_index_decontamination, op9_link_graph_url_filter, op10_learned_partitions_ann)}
 
 ORACLES = {"op5_trigram_secrets": op5_sql()}
