@@ -10,9 +10,11 @@ documents at once.
 Candidates share a band of ROWS slots. At a similarity of 0.8 a pair misses all BANDS bands with probability 3e-6.
 Candidate pairs are confirmed on the full shingle sets.
 
-Groups of thousands of copies are not expanded to pairs: copies with equal sets fold to one representative (partial
-aggregation), each bucket compares its members to the member with most bucket mates, and only members that are still
-in another component are compared further, until no bucket holds an unchecked pair of different components. Two
+Groups of thousands of copies are not expanded to pairs. Copies with equal sets fold to one representative (partial
+aggregation). Each bucket compares its members to the member with most bucket mates. What is still in another component
+than that member is then compared on: with components of BIG or more members block against block (both sides packed,
+each block read once for BLOCK texts), with members of smaller components pair by pair, unless their signatures differ
+in more slots than five deviations allow at the wanted similarity (a pair is lost so with probability below 1e-6). Two
 documents of one component need no further check, so no link that would change a component is lost.
 
 Defined cases: null text is empty; a text without words is alone in its component; repeated rows are all returned; a
@@ -26,15 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
 from tideline.llm.common import LOWER, identified_bytes, in_slices, int_lists, scramble, starts_of, written
 
 BANDS, ROWS = 32, 5
 SLICE_BYTES = 1 << 20
-#: Pairs that one bucket may put up in one round; what is left follows in later rounds.
-ROUND_PAIRS = 1 << 14
+#: Components from this size are compared in blocks of about so many texts.
+BIG, BLOCK = 64, 64
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -92,8 +94,25 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def nibbles(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each slot, sixteen slots to a word."""
+    low = (scramble(sig, 99) & np.uint64(15)).reshape(len(sig), -1, 16)
+    return np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+
+
+def differing(a: Column, b: Column, words: int) -> Column:
+    """In how many slots two rows of nibbles differ."""
+    total = F.lit(0)
+    for k in range(words):
+        x = a[k].bitwiseXOR(b[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the shingle set (d1, d2) and its band keys."""
+    """doc_id, n_shingles, a 128-bit digest of the shingle set (d1, d2), its band keys and four bits of each slot."""
 
     def work(keys: list, texts: list) -> pa.RecordBatch:
         sets = [shingle_set(x, width) for x in texts]
@@ -101,20 +120,21 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
         full = lengths > 0
         values = np.concatenate(sets)
         digest = np.zeros((2, len(sets)), np.uint64)
-        keys_of = np.zeros((0, bands), np.int64)
+        keys_of, slots_of = np.zeros((0, bands), np.int64), np.zeros((0, bands * rows // 16), np.int64)
         if full.any():
             at = starts_of(lengths[full])
             with np.errstate(over="ignore"):
                 for k in (0, 1):
                     digest[k, full] = np.add.reduceat(scramble(values, 1001 + k), at)
-            keys_of = band_keys(signatures(values, lengths[full], bands * rows), bands, rows)
+            sig = signatures(values, lengths[full], bands * rows)
+            keys_of, slots_of = band_keys(sig, bands, rows), nibbles(sig)
         return pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64()), pa.array(lengths), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-             int_lists(keys_of.ravel(), full * bands, pa.int64())],
-            names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+             int_lists(keys_of.ravel(), full * bands, pa.int64()), int_lists(slots_of.ravel(), full * (bands * rows // 16), pa.int64())],
+            names=["doc_id", "n_shingles", "d1", "d2", "bands", "slots"],
         )
 
-    return identified_bytes(docs).mapInArrow(in_slices(work, SLICE_BYTES), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return identified_bytes(docs).mapInArrow(in_slices(work, SLICE_BYTES), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, slots array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -139,6 +159,39 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return sides.mapInArrow(work, "a long, b long")
 
 
+def block_links(left: DataFrame, right: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """One link (a, b) for each a of `left` (a, label) and each block of `right` (b, label) of its label that holds one.
+
+    Both sides are packed into blocks of about BLOCK texts, dealt by hash, so that a label of any size is spread over
+    many rows and a text is read once for each block of the other side.
+    """
+
+    def packed(side: DataFrame, id_: str, name: str) -> DataFrame:
+        count = side.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        rows = side.join(count, "label").withColumn("block", F.pmod(F.xxhash64(id_), "blocks")).join(texts.toDF(id_, "data"), id_)
+        return rows.groupBy("label", "block").agg(F.collect_list(F.struct(F.col(id_).alias("id"), "data")).alias(name)).drop("block")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in batch.to_pylist():
+                own, held = ([(x["id"], shingle_set(x["data"], width)) for x in row[c]] for c in ("left", "right"))
+                size = np.array([len(s) for _, s in held])
+                names, place = np.unique(np.concatenate([s for _, s in held]), return_inverse=True)
+                for a, s in own:
+                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                    mask = np.zeros(len(names), np.int64)
+                    mask[at[names[at] == s]] = 1
+                    both = np.add.reduceat(mask[place], starts_of(size))
+                    linked = np.flatnonzero(100 * both >= percent * (size + len(s) - both))
+                    if len(linked):
+                        found.append((a, held[linked[0]][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    both = packed(left, "a", "left").join(packed(right, "b", "right"), "label").select("left", "right")
+    return both.repartition(both.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(work, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every node that isn't the least of its component, by alternating large-star and small-star rounds."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -161,47 +214,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """doc_id, n_shingles, component_id (least doc_id of the group) and kept, for every row of `docs`."""
     sketch = written(sketches(docs, width, bands, rows))
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
-    sets = written(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")))
-    slots = sets.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(slots.join(shared, "bucket"))
+    sets = written(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("slots").alias("slots")))
+    spread = sets.select("rep", "n", "slots", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(spread.join(shared, "bucket"))
     degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
     members = written(members.join(degree, "rep"))
     texts = identified_bytes(docs).join(degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     texts = written(texts.select("doc_id", "data").distinct())
-    labels = degree.select("rep", F.col("rep").alias("label"))
     centre = written(members.groupBy("bucket").agg(F.max_by("rep", F.struct("degree", "rep")).alias("centre")))
     several = named.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
     copies = named.join(several, "doc_id", "left_semi").join(sets, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    open_ = members.join(centre, "bucket").where("rep <> centre").select("bucket", "rep", "size", "degree")
-    pivots = centre.select("bucket", F.col("centre").alias("pivot"))
-    edges, checked = copies, None
+    # every bucket against its centre
+    near = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+    middle = centre.join(members.select("bucket", F.col("rep").alias("centre"), F.col("n").alias("nc")), ["bucket", "centre"])
+    pairs = members.join(middle, "bucket").where("rep <> centre").where(near("n", "nc")).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    edges = written(copies.union(confirmed(pairs, texts, width, percent)))
     root = components(edges)
-    while True:
-        at = members.join(labels, "rep")
-        other = at.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        pivot = at.select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("nb"), F.col("label").alias("lb")).join(pivots, ["bucket", "pivot"], "left_semi")
-        pairs = other.join(pivot, "bucket").where("la <> lb").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", F.col("pivot").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        new = written(confirmed(pairs, texts, width, percent))
-        both = pairs.union(pairs.select(F.col("b"), F.col("a")))
-        checked = both if checked is None else written(checked.union(both))
-        if not new.isEmpty():
-            edges = edges.union(new)
-            root = components(edges)
-            labels = written(degree.select("rep").join(root.withColumnRenamed("v", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("label")))
-        open_ = open_.join(pivots.withColumnRenamed("pivot", "rep"), ["bucket", "rep"], "left_anti")
-        home = centre.join(labels, F.col("centre") == F.col("rep")).select("bucket", F.col("label").alias("home"))
-        open_ = written(open_.join(labels, "rep").join(home, "bucket").where("label <> home").select("bucket", "rep", "size", "degree"))
-        if open_.isEmpty():
-            break
-        # a bucket with few open members compares them all at once, any other a few of them, by hash
-        few = open_.groupBy("bucket").agg(F.max("size").alias("most"), F.count("*").alias("left"))
-        few = few.select("bucket", F.when(F.col("left") * F.col("most") > ROUND_PAIRS, F.greatest(F.lit(1), F.floor(ROUND_PAIRS / F.col("most")))).alias("groups"))
-        chosen = open_.join(few, "bucket").withColumn("group", F.coalesce(F.pmod(F.xxhash64("rep"), "groups"), "rep"))
-        pivots = written(chosen.groupBy("bucket", "group").agg(F.max_by("rep", F.struct("degree", "rep")).alias("pivot")).select("bucket", "pivot"))
+    labels = degree.select("rep").join(root.withColumnRenamed("v", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("label"))
+    labels = written(labels)
+    # what is left outside of its bucket's component
+    big = labels.groupBy("label").agg(F.count("*").alias("many")).where(f"many >= {BIG}").select("label")
+    at = written(members.join(labels.join(big.withColumn("big", F.lit(True)), "label", "left"), "rep").select("bucket", "rep", "n", "slots", "label", F.coalesce("big", F.lit(False)).alias("big")))
+    home = centre.join(labels, F.col("centre") == F.col("rep")).select("bucket", F.col("label").alias("home"))
+    outside = written(at.join(home, "bucket").where("label <> home").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("slots").alias("sa"), F.col("label").alias("la")))
+    if not outside.isEmpty():
+        touched = at.where("big").select("bucket", "label").distinct()
+        left = outside.join(touched, "bucket").where("la <> label").select("a", "label").distinct()
+        right = labels.join(big, "label", "left_semi").select(F.col("rep").alias("b"), "label")
+        blocks = block_links(left, right, texts, width, percent)
+        m = bands * rows
+        p = percent / 100 + (1 - percent / 100) / 16
+        most = int(m * (1 - p) + 5 * (m * p * (1 - p)) ** 0.5)
+        other = at.where("NOT big").select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("slots").alias("sb"), F.col("label").alias("lb"))
+        alike = (F.col("la") != F.col("lb")) & near("na", "nb") & (differing(F.col("sa"), F.col("sb"), m // 16) <= most)
+        small = outside.join(other, (outside["bucket"] == other["bucket"]) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        edges = written(edges.union(blocks).union(confirmed(small, texts, width, percent)))
+        root = components(edges)
     named_root = sets.join(root.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", F.when(F.expr("doc_id IS NOT NULL AND n_shingles > 0"), F.col("d1")).alias("d1"), "d2")
     out = out.join(named_root, ["d1", "d2"], "left")
