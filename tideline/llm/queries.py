@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import ann, bpe, ngram_lm, secrets
+from tideline.llm import ann, bpe, ngram_lm, secrets, toxicity
 from tideline.llm.common import table
 from tideline.llm.decontaminate import contaminated
 from tideline.llm.near_dedup import near_duplicates
@@ -27,6 +27,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), grade="toxic", split=True)
+    return toxicity.scored(docs, model).select("doc_id", "severity", "grade", (F.col("grade") >= 1).alias("toxic"))
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), decode=True)
     return tokens.select(
@@ -94,6 +100,6 @@ def op10_learned_partitions_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 20 = 0"), nearest=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_bayes_quality, op2_superminhash_dedup, op4_bpe_roundtrip, op5_trigram_secrets, op6_bloom_lm, op8_fm_index_decontamination, op9_link_graph_url_filter, op10_learned_partitions_ann)}
+QUERIES = {f.__name__: f for f in (op1_bayes_quality, op2_superminhash_dedup, op3_ordinal_toxicity, op4_bpe_roundtrip, op5_trigram_secrets, op6_bloom_lm, op8_fm_index_decontamination, op9_link_graph_url_filter, op10_learned_partitions_ann)}
 
 ORACLES = {"op5_trigram_secrets": op5_sql()}
