@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import ann, bpe, ngram_lm, secrets, toxicity
+from tideline.llm import ann, bpe, ngram_lm, secrets, token_counts, toxicity
 from tideline.llm.common import table
 from tideline.llm.decontaminate import contaminated
 from tideline.llm.near_dedup import near_duplicates
@@ -48,6 +48,13 @@ def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
 
 
+def op7_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.section_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contaminated(docs, table(spark, sf_dir, "benchmark")).select(
@@ -100,6 +107,6 @@ def op10_learned_partitions_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 20 = 0"), nearest=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_bayes_quality, op2_superminhash_dedup, op3_ordinal_toxicity, op4_bpe_roundtrip, op5_trigram_secrets, op6_bloom_lm, op8_fm_index_decontamination, op9_link_graph_url_filter, op10_learned_partitions_ann)}
+QUERIES = {f.__name__: f for f in (op1_bayes_quality, op2_superminhash_dedup, op3_ordinal_toxicity, op4_bpe_roundtrip, op5_trigram_secrets, op6_bloom_lm, op7_section_token_counts, op8_fm_index_decontamination, op9_link_graph_url_filter, op10_learned_partitions_ann)}
 
 ORACLES = {"op5_trigram_secrets": op5_sql()}
