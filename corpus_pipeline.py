@@ -24,23 +24,33 @@ from tideline.llm.quality import judged
 from tideline.llm.queries import vocabulary_path
 
 
+def guarded(docs: DataFrame, *used: str) -> tuple[DataFrame, list]:
+    """`docs` with all but the used columns out of the operators' way, and the columns that bring the names back."""
+    names = {c: f"_own_{k}_" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", *used)}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judged(docs, table(spark, sf_dir, "labels")).where("accepted").select(docs.columns)
+    held, own = guarded(docs, "source", "lang")
+    return judged(held, table(spark, sf_dir, "labels")).where("accepted").select(own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_near_duplicates(docs)
+    held, own = guarded(docs)
+    return without_near_duplicates(held).select(own)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return contaminated(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
+    held, own = guarded(docs)
+    return contaminated(held, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(own)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redacted(docs)
+    held, own = guarded(docs)
+    clean = secrets.redacted(held).select(own)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(docs.columns)
+        clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from tideline.llm.common import appended, int_lists
 
@@ -207,7 +207,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """`tokens` with decoded_text from a column of token ids."""
     shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary(path))
     base = tokens.drop("decoded_text")
-    schema = base.schema.add("decoded_text", "string")
+    schema = T.StructType([*base.schema.fields, T.StructField("decoded_text", T.StringType())])
 
     def run(batches):
         for batch in batches:

@@ -4,8 +4,9 @@
    overall and in the worst line; word lengths; repetition) gives each document the evidence p. It is fitted on at most
    `max_labelled` labelled documents, those with the least hash of their id; the bound is a parameter.
 2. Grouped sums of p give every host and every path of a host its number of documents and expected good ones. The
-   global prior is a beta distribution whose strength comes from the spread of the hosts' rates (method of moments);
-   a host's posterior mean shrinks towards the global mean, a path's towards its host, and sparse sites shrink most.
+   global prior is a beta distribution whose strength comes from the spread of the hosts' rates (method of moments), a
+   host's from the spread of its paths; a host's posterior mean shrinks towards the global mean, a path's towards its
+   host, and sparse sites shrink most.
 3. The classifier's odds are multiplied by the ratio of the path's prior odds to the global odds; a document is
    accepted if the result is at least `threshold`.
 
@@ -104,17 +105,24 @@ def fit(scored: DataFrame, labels: DataFrame, key: str, label: str, max_labelled
 def site_rates(scored: DataFrame, host: str, path: str) -> DataFrame:
     """(host, path, site_rate, base_rate): shrunken rates from grouped sums of the evidence."""
     paths = written(scored.groupBy(F.col(host).alias("h"), F.col(path).alias("q")).agg(F.count("*").alias("n"), F.sum("evidence").alias("good")))
-    hosts = paths.groupBy("h").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
+    hosts = paths.groupBy("h").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood")).withColumnRenamed("h", "hh")
     total = hosts.agg(F.sum("hn"), F.sum("hgood")).first()
     mean = (total[1] + 0.5) / (total[0] + 1.0) if total[0] else 0.5
-    between = hosts.agg(F.sum(F.col("hn") * F.pow(F.col("hgood") / F.col("hn") - mean, 2)) / F.sum("hn"), F.sum(F.lit(1.0)) / F.sum("hn")).first()
-    noise = mean * (1 - mean) * (between[1] or 0.0)  # sampling variance of a host's rate, weighted by documents
-    spread = max((between[0] or 0.0) - noise, mean * (1 - mean) / MAX_STRENGTH)
-    strength = max(1.0, mean * (1 - mean) / spread - 1)
-    host_rate = (F.col("hgood") + strength * mean) / (F.col("hn") + strength)
-    hosts = hosts.withColumnRenamed("h", "hh")
-    rates = paths.join(hosts, F.col("h").eqNullSafe(F.col("hh"))).select("h", "q", "n", "good", host_rate.alias("host_rate"))
-    return rates.select("h", "q", ((F.col("good") + strength * F.col("host_rate")) / (F.col("n") + strength)).alias("site_rate"), F.lit(mean).alias("base_rate"))
+    own = F.col("hgood") / F.col("hn")
+    strong = strength(hosts.agg(F.sum(F.col("hn") * F.pow(own - mean, 2)), F.sum(own * 0 + 1), F.sum("hn")).first(), mean)
+    both = paths.join(hosts, F.col("h").eqNullSafe(F.col("hh")))
+    within = strength(both.agg(F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - own, 2)), F.count("*"), F.sum("n")).first(), mean)
+    host_rate = (F.col("hgood") + strong * mean) / (F.col("hn") + strong)
+    return both.select("h", "q", ((F.col("good") + within * host_rate) / (F.col("n") + within)).alias("site_rate"), F.lit(mean).alias("base_rate"))
+
+
+def strength(sums: tuple, mean: float) -> float:
+    """How many documents a prior counts: the method of moments over (weighted squared deviations, sites, documents)."""
+    if not sums[2]:
+        return 1.0
+    variance = mean * (1 - mean)
+    spread = max(sums[0] / sums[2] - variance * sums[1] / sums[2], variance / MAX_STRENGTH)
+    return max(1.0, variance / spread - 1)
 
 
 def judged(
