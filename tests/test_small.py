@@ -20,7 +20,7 @@ from tideline.operators.temporal import recent_distinct
 from tideline.operators.twohop import two_hop_scores
 from tideline.plans.device import DeviceStudy
 from tideline.plans.prescriber import PrescriberStudy
-from tideline.plans.registry import Method, load_task
+from tideline.plans.registry import load_task
 from tideline.sources import manifest, records, reports, sinks
 
 
@@ -299,12 +299,10 @@ def test_prescriber_future_rows_do_not_leak(spark):
 def test_registry_rejects_unknown_names(spark, root):
     task = load_task("MAUDE", spark, root)
     with pytest.raises(ValueError):
-        task.get_split("future")
-    splits = [task.get_split(n) for n in ("train", "validation", "test")]
+        task.period("future")
+    assert task.period(" Test ")["split"] == "test"
     with pytest.raises(ValueError):
-        Method("no_such_method").fit_predict(*splits)
-    with pytest.raises(ValueError):
-        Method("global_popularity").fit_predict(splits[0], splits[1], load_task("maude", spark, root).get_split("test"))
+        task.test_scores("no_such_method")
     with pytest.raises(ValueError):
         load_task("other", spark, root)
 
@@ -367,12 +365,12 @@ def test_report_text_files(spark, tmp_path):
             fields[28] = product
         return "|".join(fields)
 
-    text = "\n".join([line("5"), "", line("x"), line("4"), line("6", product=" UNK "), line("7", date="1999/01/01"), line("8", width=20)]) + "\n"
+    text = "\n".join(["|".join(f"FIELD_{k}" for k in range(34)), line("5"), "", line("x"), line("4"), line("6", product=" UNK "), line("7", date="1999/01/01"), line("8", width=20)]) + "\n"
     path = tmp_path / "device2019.txt"
     path.write_bytes(text.encode("latin1"))
-    rows = reports.classify_device_lines(reports.read_lines(spark, [str(path)]), "2019Q1", "2025Q4")
+    rows = reports.classify_device_lines(reports.read_lines(spark, [str(path)], header=True), "2019Q1", "2025Q4")
     got = {r["status"]: r["n_lines"] for r in reports.parse_audit(rows).collect()}
-    assert got["valid"] == 2 and got["non_numeric_key"] == 1 and got["wrong_width"] == 1 and got["outside_window"] == 1 and got["blank_product"] == 1
+    assert got["blank"] == 1 and got["valid"] == 2 and got["non_numeric_key"] == 1 and got["wrong_width"] == 1 and got["outside_window"] == 1 and got["blank_product"] == 1
     assert {r["manufacturer"] for r in rows.filter("status = 'valid'").collect()} == {"Makeré"}
     assert one(reports.key_inversions(rows.filter("key is not null")).select("key_inversions")) == 1
 
@@ -437,3 +435,28 @@ def test_stream_equals_batch(spark, root):
 
     want = {tuple(r) for r in first_seen_batch(spark.read.parquet(f"{root}/events.parquet")).collect()}
     assert {tuple(r) for r in run_first_seen(spark, root).collect()} == want
+
+
+# ------------------------------------------------------------ facility task
+
+
+def test_facility_has_one_provider_row_and_no_blank_owner(spark):
+    from tideline.plans.facility import FacilityStudy
+
+    providers = spark.createDataFrame(
+        [("A", "TX", "2010-01-01", "x"), ("A", "NY", "2009-01-01", "y"), ("B", "TX", None, "x"), ("", "TX", "2010-01-01", "x")],
+        "ccn string, state string, approval string, provider_type string",
+    ).withColumn("approval", F.col("approval").cast("date"))
+    owners = spark.createDataFrame([("E1", " ", "r", "2011-01-01"), ("E1", "7", "r", "2011-01-01")], "enrollment string, associate string, role string, association string")
+    filings = spark.createDataFrame([("E1", "A", 1)], "enrollment string, ccn string, row_no long")
+    empty = spark.createDataFrame([], "ccn string, owner_type string, owner_name string, role string, association date")
+    days = spark.createDataFrame([], "ccn string, day date, serious int")
+    study = FacilityStudy(days, providers, empty, filings, owners.withColumn("association", F.col("association").cast("date")), (), ("r",))
+    assert [(r.ccn, r.state) for r in study.provider_static.collect()] == [("A", "NY")]
+    assert [r.owner for r in study.change_owners.collect()] == ["PAC:7"]
+
+
+def test_facility_task_predicts(spark, root):
+    task = load_task("facility", spark, root)
+    counts = {r["method"]: r["n"] for r in task.predictions.groupBy("method").agg(F.count("*").alias("n")).collect()}
+    assert set(counts) == set(task.methods) and len(set(counts.values())) == 1

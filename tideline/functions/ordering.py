@@ -25,7 +25,14 @@ def _slices(df: DataFrame, keys: list[str], slices: int | None) -> DataFrame:
         .agg(F.sort_array(F.collect_set("k")).alias("bounds"))
     )
     placed = df.withColumn("_bounds", bounds.scalar())
-    slice_no = F.size(F.filter("_bounds", lambda b: b < key))
+    # binary search: the number of bounds below the key, by halving steps
+    steps = [F.lit(1 << k) for k in reversed(range(n.bit_length()))]
+
+    def halve(low: Column, step: Column) -> Column:
+        inside = low + step <= F.size("_bounds")
+        return F.when(inside & (F.get("_bounds", low + step - 1) < key), low + step).otherwise(low)
+
+    slice_no = F.aggregate(F.array(*steps), F.lit(0), halve)
     return placed.withColumn("_slice", slice_no).drop("_bounds")
 
 

@@ -3,7 +3,7 @@
 Edges meet their node vectors by joins, gradients are summed per node (with
 map-side partial sums, so a popular node is combined before it is shuffled),
 and every epoch ends with its tables written to the shared checkpoint folder.  A node's step is its mean
-gradient times ``min(edges, STEP_CAP)``: like that many sequential updates, and
+gradient times ``edges / (1 + edges / STEP_EDGES)``: like that many sequential updates, and
 bounded for a node that holds a third of all edges.
 """
 
@@ -17,7 +17,13 @@ from tideline.functions.ordering import running_totals
 from tideline.functions.scalar import stable_hex, stable_modulo
 from tideline.session import cut
 
-STEP_CAP = 32
+#: Edges at which a node's step reaches half of its limit; one rule for every degree.
+STEP_EDGES = 32
+
+
+def _damped(n: Column) -> Column:
+    """How many sequential updates a mean gradient over ``n`` edges stands for: n for few, levelling off smoothly."""
+    return n / (1 + n / STEP_EDGES)
 
 
 def sine_embedding(index: Column, dimension: int, salt: int) -> Column:
@@ -81,7 +87,7 @@ def next_free(held: DataFrame, size: Column) -> DataFrame:
 def _step(nodes: DataFrame, gradients: DataFrame, keys: list[str], d: int, rate: float, decay: float) -> DataFrame:
     """nodes(keys, e) moved by gradients(keys, g, n)."""
     joined = nodes.join(gradients, keys, "left")
-    n = F.least(F.coalesce(F.col("n"), F.lit(0)), F.lit(STEP_CAP))
+    n = _damped(F.coalesce(F.col("n"), F.lit(0)))
     pull = lambda k: F.coalesce(F.col("g")[k] / F.col("n"), F.lit(0.0))
     moved = vmap(d, lambda k: F.col("e")[k] + rate * n * (pull(k) - decay * F.col("e")[k]))
     return joined.select(*[c for c in nodes.columns if c != "e"], moved.alias("e"))
@@ -260,7 +266,7 @@ def fit_graphsage(
                 )
             ).alias("x"),
         ).select("q", "x.*").groupBy("q", "side", "node").agg(vsum("g", d).alias("g"), F.count("*").alias("n"))
-        scale = F.least(F.col("n"), F.lit(STEP_CAP)) / F.col("n")
+        scale = _damped(F.col("n")) / F.col("n")
         pre = cut(
             state.join(hidden, ["q", "side", "node"]).withColumn(
                 "pre", vmap(d, lambda k: scale * F.col("g")[k] * (1.0 - F.col("h")[k] * F.col("h")[k]))
@@ -283,7 +289,7 @@ def fit_graphsage(
             near_w[q] = [x + rate * (g - decay * x) for x, g in zip(near_w[q], row["gr"])]
         moved = nodes.join(summed, ["q", "side", "node"], "left")
         # The summed gradient of a popular neighbour is clipped component-wise like its step count.
-        clipped = lambda k: F.greatest(F.lit(-1.0 * STEP_CAP), F.least(F.lit(1.0 * STEP_CAP), F.coalesce(F.col("g")[k], F.lit(0.0))))
+        clipped = lambda k: STEP_EDGES * F.tanh(F.coalesce(F.col("g")[k], F.lit(0.0)) / STEP_EDGES)
         nodes = cut(
             moved.select("q", "side", "node", "idx", vmap(d, lambda k: F.col("e")[k] + rate * (clipped(k) - decay * F.col("e")[k])).alias("e"))
         )

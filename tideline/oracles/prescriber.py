@@ -1,7 +1,8 @@
 """DuckDB SQL for the prescriber-drug queries."""
 
 
-def base(kind: str = "variant", targets: str = "1999,2000,2001") -> str:
+def base(kind: str = "variant", targets: str = "1999,2000,2001", size: int | None = None) -> str:
+    bound = f" WHERE rn<={size}" if size else ""
     drug = "generic" if kind == "generic" else "brand||chr(31)||generic"
     return f"""
 WITH prow AS (
@@ -13,7 +14,7 @@ WITH prow AS (
   WHERE year(o_orderdate) BETWEEN 1996 AND 2001 GROUP BY ALL),
 seen AS (SELECT npi, min(year) AS f0 FROM prow WHERE year<2001 GROUP BY ALL),
 allcoh AS (SELECT target, npi FROM (SELECT CAST(t AS BIGINT) AS target, npi, row_number() OVER (PARTITION BY t ORDER BY sha256(npi), npi) AS rn
-  FROM (VALUES (1999),(2000),(2001)) v(t) JOIN seen ON f0<t) WHERE rn<=2000),
+  FROM (VALUES (1999),(2000),(2001)) v(t) JOIN seen ON f0<t){bound}),
 ucoh AS (SELECT DISTINCT npi FROM allcoh),
 edges AS (SELECT * FROM prow SEMI JOIN ucoh USING (npi)),
 coh AS (SELECT * FROM allcoh WHERE target IN ({targets})),
@@ -112,8 +113,8 @@ ORACLES = {
     "dup_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*)>1",
     "p_rankings_read": G2 + OVERLAP + ranks(M2) + " SELECT target AS year, npi, method, drug AS generic, rank FROM rk WHERE rank<=20",
     "hash_cohort": "SELECT id FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS id FROM orders) ORDER BY sha256(id), id LIMIT 100",
-    "p_dynamic_cohort": base() + END + "SELECT * FROM allcoh",
-    "p_union_cohort": base() + END + "SELECT * FROM ucoh",
+    "p_dynamic_cohort": base(size=2000) + END + "SELECT * FROM allcoh",
+    "p_union_cohort": base(size=2000) + END + "SELECT * FROM ucoh",
     "cohort_disappeared": base() + END
     + "SELECT y.year, npi FROM (SELECT CAST(range AS BIGINT) AS year FROM range(1996,2002)) y CROSS JOIN ucoh ANTI JOIN edges e USING (year, npi)",
     "p_project_generic": base("generic") + END

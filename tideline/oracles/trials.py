@@ -15,7 +15,7 @@ st AS (SELECT origin, nxt, tr.*, CASE WHEN r0<=origin THEN r0 END AS result, CAS
   FROM og JOIN tr ON completion<=origin WHERE k%50<>0 AND k%40<>0),
 kn AS (SELECT origin, nct_id, CASE WHEN result<=completion+365 THEN 1 ELSE 0 END AS timely, CAST(result-completion AS BIGINT) AS delay FROM st WHERE age>=365),
 el AS (SELECT * FROM st WHERE age BETWEEN 0 AND 90 AND result IS NULL),
-co AS (SELECT * FROM el QUALIFY row_number() OVER (PARTITION BY origin ORDER BY sha256(nct_id), nct_id)<=2000),
+co AS (SELECT * FROM el),
 rel AS (SELECT DISTINCT * FROM (
   SELECT 'sponsor' AS entity_type, 'NCT'||lpad(CAST(o_orderkey AS VARCHAR),8,'0') AS nct_id, 'sponsor '||o_custkey AS name FROM orders
   UNION ALL SELECT 'facility', 'NCT'||lpad(CAST(l_orderkey AS VARCHAR),8,'0'), 'site '||l_suppkey FROM lineitem
@@ -59,7 +59,7 @@ dl AS (SELECT a.origin, a.model, a.ap-b.ap AS delta FROM ap a JOIN ap b ON a.ori
 ORACLES = {
     "t_studies": BASE + END + "SELECT origin, nct_id, completion, result, enrollment, age FROM st",
     "t_eligible": BASE + END + "SELECT origin, nct_id FROM el",
-    "t_cohort": BASE + END + "SELECT origin, nct_id FROM co",
+    "t_cohort": BASE + END + "SELECT origin, nct_id FROM el QUALIFY row_number() OVER (PARTITION BY origin ORDER BY sha256(nct_id), nct_id)<=2000",
     "t_design_conflicts": """WITH d AS (SELECT 'NCT'||lpad(CAST(p_partkey%100 AS VARCHAR),8,'0') AS nct_id, p_brand, CASE WHEN p_size%2=0 THEN NULL ELSE p_type END AS m FROM part)
       SELECT nct_id, 'allocation' AS field, count(DISTINCT p_brand) AS "values" FROM d GROUP BY ALL HAVING count(DISTINCT p_brand)>1
       UNION ALL SELECT nct_id, 'masking', count(DISTINCT m) FROM d GROUP BY ALL HAVING count(DISTINCT m)>1""",

@@ -97,7 +97,11 @@ class FacilityStudy:
 
     @cached_property
     def provider_static(self) -> DataFrame:
-        return self.providers.filter("ccn <> '' and approval is not null")
+        """One row for each facility: the first record with an approval date."""
+        usable = self.providers.filter("ccn <> '' and approval is not null")
+        rest = F.struct(*[c for c in usable.columns if c != "ccn"])
+        order = F.col("row_no") if "row_no" in usable.columns else F.struct("approval", rest)
+        return usable.groupBy("ccn").agg(F.min_by(rest, order).alias("_r")).select("ccn", "_r.*")
 
     @cached_property
     def histories(self) -> DataFrame:
@@ -143,7 +147,7 @@ class FacilityStudy:
     @cached_property
     def change_owners(self) -> DataFrame:
         return (
-            self.filing_owners.filter(F.col("role").isin(*self.change_roles) & F.col("association").isNotNull())
+            self.filing_owners.filter(F.col("role").isin(*self.change_roles) & F.col("association").isNotNull() & (F.trim("associate") != ""))
             .join(self.filing_ccns, "enrollment")
             .join(self.provider_static, "ccn", "left_semi")
             .select("ccn", F.concat(F.lit("PAC:"), "associate").alias("owner"), "association", "role")

@@ -22,6 +22,7 @@ from tideline.session import cut
 from tideline.sources import bindings
 
 YEARS = (1996, 1997, 1998, 1999, 2000, 2001)
+#: Size of the bounded cohorts that the cohort queries show; studies score all entities unless told otherwise.
 COHORT = 2000
 FEATURES = (
     "log_global_provider_support",
@@ -39,14 +40,19 @@ HIGH_SCORE_QUANTILE = 0.95
 TRANSFORMATION = "prescriber_drug_edge_v1"
 
 
-def hash_cohort(ids: DataFrame, column: str, size: int) -> DataFrame:
-    """The ``size`` distinct ids with the smallest (SHA-256, id): a bounded top-k, no full sort."""
-    distinct = ids.select(column).distinct().withColumn("_h", F.sha2(F.col(column), 256))
-    return distinct.orderBy("_h", column).limit(size).drop("_h")
+def hash_cohort(ids: DataFrame, column: str, size: int | None) -> DataFrame:
+    """The ``size`` distinct ids with the smallest (SHA-256, id): a bounded top-k, no full sort; all ids without a size."""
+    distinct = ids.select(column).distinct()
+    if size is None:
+        return distinct
+    return distinct.withColumn("_h", F.sha2(F.col(column), 256)).orderBy("_h", column).limit(size).drop("_h")
 
 
-def dynamic_cohorts(first_years: DataFrame, targets: list[int], size: int) -> DataFrame:
+def dynamic_cohorts(first_years: DataFrame, targets: list[int], size: int | None) -> DataFrame:
     """(target, npi): per target year, the hash cohort of ids first seen strictly earlier."""
+    if size is None:
+        later = F.filter(F.array(*[F.lit(t).cast("long") for t in targets]), lambda t: t > F.col("first"))
+        return first_years.select(F.explode(later).alias("target"), "npi")
     parts = [
         hash_cohort(first_years.filter(F.col("first") < t), "npi", size).select(
             F.lit(t).cast("long").alias("target"), "npi"
@@ -63,12 +69,12 @@ def dynamic_cohorts(first_years: DataFrame, targets: list[int], size: int) -> Da
 class PrescriberStudy:
     rows: DataFrame
     years: tuple[int, ...] = YEARS
-    cohort_size: int = COHORT
+    cohort_size: int | None = None
     _drugs: dict = field(default_factory=dict)
 
     @classmethod
-    def bound(cls, spark: SparkSession, root: str) -> "PrescriberStudy":
-        return cls(bindings.prescriber_rows(spark, root))
+    def bound(cls, spark: SparkSession, root: str, cohort_size: int | None = None) -> "PrescriberStudy":
+        return cls(bindings.prescriber_rows(spark, root), cohort_size=cohort_size)
 
     @property
     def score_years(self) -> list[int]:
@@ -208,7 +214,6 @@ class PrescriberStudy:
     def overlap_scores(self, history: DataFrame) -> DataFrame:
         """(target, npi, drug, overlap): Jaccard sums over peers holding the drug.
 
-        The target cohort is bounded, so the tiles cover at most cohort^2 pairs.
         """
         drug_type = dict(history.dtypes)["drug"]
         packed = self.holdings(history).select(

@@ -21,6 +21,7 @@ from tideline.sources import bindings
 
 HORIZON = 365
 MAX_LAG = 90
+#: Size of the bounded cohort that `t_cohort` shows; studies score all eligible trials unless told otherwise.
 COHORT = 2000
 ENTITY_TYPES = ("sponsor", "condition", "intervention", "facility", "collaborator")
 CONTEXT_TYPES = ("facility", "condition", "intervention", "collaborator")
@@ -62,15 +63,16 @@ class TrialStudy:
     raw_designs: DataFrame
     raw_relations: DataFrame
     snapshots: tuple[str, ...]
-    cohort_size: int = COHORT
+    cohort_size: int | None = None
 
     @classmethod
-    def bound(cls, spark: SparkSession, root: str) -> "TrialStudy":
+    def bound(cls, spark: SparkSession, root: str, cohort_size: int | None = None) -> "TrialStudy":
         return cls(
             bindings.trial_studies(spark, root),
             bindings.trial_designs(spark, root),
             bindings.trial_relations(spark, root),
             bindings.TRIAL_SNAPSHOTS,
+            cohort_size=cohort_size,
         )
 
     @property
@@ -147,14 +149,12 @@ class TrialStudy:
 
     @cached_property
     def cohort(self) -> DataFrame:
-        """Per origin, the trials with the smallest (SHA-256, id); the rank limit is pushed below the shuffle."""
+        """Eligible trials; with a size, per origin the ones with the smallest (SHA-256, id), limited below the shuffle."""
+        if self.cohort_size is None:
+            return self.eligible.transform(cut)
         order = W.partitionBy("origin").orderBy(F.sha2("nct_id", 256), "nct_id")
-        return (
-            self.eligible.withColumn("_rn", F.row_number().over(order))
-            .filter(F.col("_rn") <= self.cohort_size)
-            .drop("_rn")
-            .transform(cut)
-        )
+        ranked = self.eligible.withColumn("_rn", F.row_number().over(order))
+        return ranked.filter(F.col("_rn") <= self.cohort_size).drop("_rn").transform(cut)
 
     # ------------------------------------------------------------ relations and history
 

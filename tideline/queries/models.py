@@ -10,7 +10,7 @@ from tideline.operators import latent, logistic, spectral
 from tideline.operators.metrics import classification_metrics
 from tideline.plans import analysis as A
 from tideline.plans import stability
-from tideline.plans.registry import Method, load_task
+from tideline.plans.registry import load_task
 from tideline.queries.prescriber import rounded
 from tideline.session import cut
 from tideline.sources import bindings, manifest
@@ -151,8 +151,7 @@ def t_stability_intervals(spark, root):
 def registry_predictions(spark, root):
     """Test ranks of one heuristic and one learned prescriber method through the common interface."""
     task = load_task("partd", spark, root)
-    splits = [task.get_split(n) for n in ("train", "validation", "test")]
-    sets = [Method(m).fit_predict(*splits) for m in ("specialty_popularity", "tabular_logistic")]
+    sets = [task.test_scores(m) for m in ("specialty_popularity", "tabular_logistic")]
     out = task.evaluate(sets[0]).unionByName(task.evaluate(sets[1]))
     return rounded(out)
 

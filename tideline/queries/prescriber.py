@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions.scalar import claims_error, cost_error, flag_error, npi_error, number_error
-from tideline.plans.prescriber import FEATURES, PrescriberStudy, hash_cohort
+from tideline.plans.prescriber import COHORT, FEATURES, PrescriberStudy, hash_cohort
 from tideline.session import cut
 from tideline.sources import bindings, sinks
 
@@ -65,11 +65,11 @@ def hash_cohort_query(spark, root):
 
 
 def p_dynamic_cohort(spark, root):
-    return _study(spark, root).cohorts
+    return PrescriberStudy.bound(spark, root, COHORT).cohorts
 
 
 def p_union_cohort(spark, root):
-    return _study(spark, root).cohort
+    return PrescriberStudy.bound(spark, root, COHORT).cohort
 
 
 def cohort_disappeared(spark, root):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators.encode import fit_encoder
 from tideline.operators.metrics import average_precision
-from tideline.plans.trials import HISTORY, TrialStudy
+from tideline.plans.trials import COHORT, HISTORY, TrialStudy
 from tideline.queries.prescriber import rounded
 from tideline.sources import bindings
 
@@ -33,7 +33,7 @@ def t_eligible(spark, root):
 
 
 def t_cohort(spark, root):
-    return _study(spark, root).cohort.select("origin", "nct_id")
+    return TrialStudy.bound(spark, root, COHORT).cohort.select("origin", "nct_id")
 
 
 def t_design_conflicts(spark, root):

@@ -29,7 +29,7 @@ def build_session(app: str = "tideline", cores: str = "8", memory: str = "10g")
 
 def order_buckets(spark: SparkSession) -> int:
     """How many ordered slices a global running total is cut into."""
-    return max(2, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def checkpoint_root(spark: SparkSession) -> str:

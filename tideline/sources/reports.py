@@ -9,22 +9,25 @@ from tideline.functions.scalar import is_real_code, quarter_from_text
 DEVICE_WIDTH = 34
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, split, position, value) of plain text files, keeping file order.
+def read_lines(spark: SparkSession, paths: list[str], header: bool = False) -> DataFrame:
+    """(file, split, position, value) of Latin-1 text files, keeping file order and blank lines.
+
+    With ``header`` the first line of every file is set aside.
 
     ``split`` and ``position`` together order the lines of a file without one
     task reading it whole: splits are ordered by offset and lines within a
     split by the increasing id.
     """
-    raw = spark.read.option("encoding", "ISO-8859-1").option("header", "false").option("sep", "\x01").option(
-        "quote", ""
-    ).option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").schema("value string").csv(paths)
-    return raw.select(
+    lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("position"),
-        "value",
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value"),
     )
+    if not header:
+        return lines
+    first = lines.groupBy("file").agg(F.min(F.struct("split", "position")).alias("_first"))
+    return lines.join(first, "file").filter(F.struct("split", "position") != F.col("_first")).drop("_first")
 
 
 def classify_device_lines(lines: DataFrame, first: str, last: str) -> DataFrame:
