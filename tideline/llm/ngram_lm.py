@@ -33,7 +33,7 @@ from xxhash import xxh3_64_intdigest
 from tideline.llm.common import LOWER, int_lists, scramble, slices, starts_of, written
 
 SLICE_BYTES = 4 << 20
-FLUSH = 6_000_000
+FLUSH = 4_000_000
 BITS, PROBES = 8, 5
 HEAD = 1 << 17
 MU = 2.0
@@ -174,6 +174,17 @@ class Filter:
         return out
 
 
+def found_levels(one: Filter, words: np.ndarray, lengths: np.ndarray, known: list[bytes | None]) -> np.ndarray:
+    """Levels of each token and of its pair with the one before, and those that earlier slices have found."""
+    found = np.zeros((len(words), 2), np.uint8)
+    for order, grams in enumerate((words, pairs(words, lengths))):
+        names, place = np.unique(grams, return_inverse=True)
+        found[:, order] = one.levels(names, order)[place]
+    if any(known):
+        found = np.maximum(found, np.frombuffer(b"".join(known), np.uint8).reshape(-1, 2))
+    return found
+
+
 def count_at(level: np.ndarray) -> np.ndarray:
     return np.where(level > 1, 1.5 * 2.0 ** (level.astype(np.float64) - 1), level)
 
@@ -204,33 +215,28 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         groups[-1].append(part)
         filled += size
 
-    def looked_up(df: DataFrame, chosen: list[int]) -> DataFrame:
+    def slice_of(chosen: list[int]):
         rows = [(r[0], bytes(r[1])) for r in model.where(F.col("part").isin(chosen)).select("part", "bits").collect()] if chosen else []
-        shared = spark.sparkContext.broadcast(Filter(rows, 2 * buckets, buckets))
+        return spark.sparkContext.broadcast(Filter(rows, 2 * buckets, buckets))
+
+    def looked_up(df: DataFrame, chosen: list[int]) -> DataFrame:
+        shared = slice_of(chosen)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, batch.column("data"), SLICE_BYTES):
                     words, lengths = tokens(part.column("data").to_pylist())
-                    found = np.zeros((2, len(words)), np.uint8)
-                    for order, grams in enumerate((words, pairs(words, lengths))):
-                        names, place = np.unique(grams, return_inverse=True)
-                        found[order] = shared.value.levels(names, order)[place]
-                    known = [x or b"" for x in part.column("levels").to_pylist()]
-                    if any(known):
-                        found = np.maximum(found, np.frombuffer(b"".join(known), np.uint8).reshape(-1, 2).T)
+                    flat = found_levels(shared.value, words, lengths, part.column("levels").to_pylist()).tobytes()
                     ends = np.cumsum(lengths) * 2
-                    flat = found.T.tobytes()
                     levels = pa.array([flat[a:b] for a, b in zip((ends - 2 * lengths).tolist(), ends.tolist())], pa.binary())
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], levels], names=part.schema.names)
 
         return df.mapInArrow(run, "doc_id long, train boolean, data binary, levels binary")
 
     state = base.select("doc_id", "train", F.coalesce("text", F.lit("")).cast("binary").alias("data"), F.lit(None).cast("binary").alias("levels"))
-    for k, chosen in enumerate(groups):
-        state = looked_up(state, chosen)
-        if k + 1 < len(groups):
-            state = written(state)
+    for chosen in groups[:-1]:
+        state = written(looked_up(state, chosen))
+    last = slice_of(groups[-1])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_words, head_counts = head.value
@@ -238,7 +244,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             for part in slices(batch, batch.column("data"), SLICE_BYTES):
                 words, lengths = tokens(part.column("data").to_pylist())
                 starts = starts_of(lengths)
-                level = np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8).reshape(-1, 2)
+                level = found_levels(last.value, words, lengths, part.column("levels").to_pylist())
                 own, pair = count_at(level[:, 0]), count_at(level[:, 1])
                 before = np.empty(len(own))
                 before[1:] = own[:-1]
