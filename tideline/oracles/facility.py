@@ -71,6 +71,11 @@ mt AS (SELECT {keys} count(*) AS n_rows, CAST(sum({label}) AS BIGINT) AS positiv
 
 
 ORACLES = {
+    "c_sources": BASE + END + """SELECT 'inspections' AS source, count(*) AS n_rows, count(DISTINCT ccn) AS keys FROM ins
+      UNION ALL SELECT 'providers', count(*), count(DISTINCT ccn) FROM prov UNION ALL SELECT 'owners', count(*), count(DISTINCT ccn) FROM own
+      UNION ALL SELECT 'filings', count(*), count(DISTINCT ccn) FROM fil
+      UNION ALL SELECT 'filing_owners', count(*), count(DISTINCT l_orderkey//2) FROM lineitem
+      UNION ALL SELECT 'serious', count(*), count(DISTINCT ccn) FROM ins WHERE serious=1""",
     "json_records": "SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS ccn FROM orders",
     "c_episodes": BASE + END + "SELECT ccn, day, CAST(serious AS BIGINT) AS serious FROM ins",
     "date_parse": """SELECT CASE WHEN l_linenumber IN (4,5,6) THEN NULL ELSE CAST(l_shipdate AS DATE) END AS parsed, count(*) AS n FROM lineitem GROUP BY 1""",

@@ -1 +1,15 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the model queries that have a closed form."""
+
+
+def start_vectors() -> str:
+    """Sine start vectors by position and hash start vectors by name."""
+    sine = ", ".join(f"0.05::DOUBLE * sin((idx + 1) * {(k + 8) * 0.173!r}::DOUBLE) AS s{k}" for k in range(8))
+    unit = "0.05::DOUBLE * (CAST(CAST('0x' || substr(sha256('initial|drug|' || item || '|{k}'), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0::DOUBLE * 2.0 - 1.0) AS h{k}"
+    return f"""SELECT item, idx, {sine}, {", ".join(unit.format(k=k) for k in range(12))}
+    FROM (SELECT p_brand AS item, row_number() OVER (ORDER BY p_brand) - 1 AS idx FROM (SELECT DISTINCT p_brand FROM part))"""
+
+
+ORACLES = {
+    "first_seen_stream": "SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY ALL",
+    "init_embedding": start_vectors(),
+}

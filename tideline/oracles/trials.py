@@ -57,6 +57,9 @@ dl AS (SELECT a.origin, a.model, a.ap-b.ap AS delta FROM ap a JOIN ap b ON a.ori
 """
 
 ORACLES = {
+    "t_sources": """SELECT snapshot, count(*) AS studies, count(*) FILTER (posted>=CAST(o_orderdate AS DATE) AND posted<=snapshot) AS with_results
+      FROM (SELECT make_date(range,1,1) AS snapshot FROM range(1996,2003)), orders
+      LEFT JOIN (SELECT l_orderkey, CAST(max(l_shipdate) AS DATE) AS posted FROM lineitem GROUP BY ALL) ON l_orderkey=o_orderkey GROUP BY ALL""",
     "t_studies": BASE + END + "SELECT origin, nct_id, completion, result, enrollment, age FROM st",
     "t_eligible": BASE + END + "SELECT origin, nct_id FROM el",
     "t_cohort": BASE + END + "SELECT origin, nct_id FROM el QUALIFY row_number() OVER (PARTITION BY origin ORDER BY sha256(nct_id), nct_id)<=2000",
