@@ -163,6 +163,7 @@ def parse_number(text: Column) -> Column:
 
 def parse_flag(text: Column) -> Column:
     token = F.lower(F.trim(text))
+    # The words that count as true and false.
     return F.when(token.isin("t", "true", "yes", "y", "1"), 1.0).when(
         token.isin("f", "false", "no", "n", "0"), 0.0
     )

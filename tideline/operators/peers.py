@@ -18,6 +18,7 @@ from tideline.session import cut
 
 TILE = 256
 FAR = np.iinfo(np.int32).max
+# Names that the results carry, in their order.
 STATS = (
     "peer_count",
     "peer_prior_facilities",

@@ -51,6 +51,7 @@ def _sparse_blocks(history: DataFrame, items: DataFrame) -> Blocks:
 
 def _unit(v: np.ndarray) -> np.ndarray:
     norm = np.sqrt((v * v).sum())
+    # Fixed value: shorter vectors count as zero.
     return np.zeros_like(v) if norm <= 1e-12 else v / norm
 
 

@@ -16,6 +16,7 @@ from tideline.session import cut
 from tideline.sources import bindings
 from tideline.sources.bindings import DeviceWindow
 
+# Names that the results carry, in their order.
 FEATURES = (
     "product_log_prior_reports",
     "problem_log_prior_reports",

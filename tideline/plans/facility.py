@@ -13,6 +13,7 @@ from tideline.session import cut
 from tideline.sources import bindings
 
 TARGET_YEARS = (1995, 2001)
+# Names that the results carry, in their order.
 BASE_FEATURES = (
     "log_prior_inspections",
     "log_prior_serious",

@@ -24,6 +24,7 @@ from tideline.sources import bindings
 YEARS = (1996, 1997, 1998, 1999, 2000, 2001)
 #: Size of the bounded cohorts that the cohort queries show; studies score all entities unless told otherwise.
 COHORT = 2000
+# Names that the results carry, in their order.
 FEATURES = (
     "log_global_provider_support",
     "log_global_claim_total",

@@ -25,6 +25,7 @@ MAX_LAG = 90
 COHORT = 2000
 ENTITY_TYPES = ("sponsor", "condition", "intervention", "facility", "collaborator")
 CONTEXT_TYPES = ("facility", "condition", "intervention", "collaborator")
+# Names that the results carry, in their order.
 CATEGORICAL = ("phase", "allocation", "intervention_model", "masking", "primary_purpose", "time_perspective")
 NUMERIC = (
     "enrollment",
