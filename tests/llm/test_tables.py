@@ -194,8 +194,9 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df, 20).count() == 0
 
 
-def test_op5_equals_its_sql(spark, root):
-    assert difference(queries.op5_trigram_secrets(spark, root).toPandas(), oracle_frame(queries.ORACLES["op5_trigram_secrets"], root)) is None
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_query_equals_its_sql(spark, root, name):
+    assert difference(queries.QUERIES[name](spark, root).toPandas(), oracle_frame(queries.ORACLES[name], root)) is None
 
 
 def test_pipeline_stages(spark, docs, root):

@@ -64,7 +64,6 @@ def op8_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_items",
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "hit_spans",
     )
 
 
@@ -107,6 +106,33 @@ def op10_learned_partitions_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 20 = 0"), nearest=20)
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = rf"""
+with recursive words as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (select distinct doc_id, unnest(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from words where len(w) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select x, y from common join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reached as (select doc_id, doc_id as root from documents union select y, root from reached join both_ways on x = doc_id)
+select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(root) as component_id, doc_id = min(root) as kept
+from reached left join sizes using (doc_id) group by doc_id"""
+
+OP8_SQL = rf"""
+with words as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+sized as (select item_id, w, least(10, len(w)) as n from items where len(w) > 0),
+windows as (select distinct item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as win from sized),
+places as (select doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'win': array_to_string(w[i:i + n - 1], ' ')}})) as p from words, (select distinct n from windows)),
+hits as (select doc_id, p.i as i, places.n as n, item_id from places join windows on windows.n = places.n and win = p.win),
+covered as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as at from hits) group by doc_id),
+found as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as ids from hits group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from words left join covered using (doc_id) left join found using (doc_id)"""
+
+
 QUERIES = {f.__name__: f for f in (op1_bayes_quality, op2_superminhash_dedup, op3_ordinal_toxicity, op4_bpe_roundtrip, op5_trigram_secrets, op6_bloom_lm, op7_section_token_counts, op8_fm_index_decontamination, op9_link_graph_url_filter, op10_learned_partitions_ann)}
 
-ORACLES = {"op5_trigram_secrets": op5_sql()}
+ORACLES = {"op2_superminhash_dedup": OP2_SQL, "op5_trigram_secrets": op5_sql(), "op8_fm_index_decontamination": OP8_SQL}
