@@ -37,6 +37,8 @@ BANDS, ROWS = 32, 5
 SLICE_BYTES = 1 << 20
 #: Components from this size are compared in blocks of about so many texts.
 BIG, BLOCK = 64, 64
+#: Most ids (8 bytes each) that are sent to all tasks.
+MAX_SENT = 1 << 20
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -111,6 +113,25 @@ def differing(a: Column, b: Column, words: int) -> Column:
     return total
 
 
+def variance_factor(m: int, union: float) -> float:
+    """How much less SuperMinHash estimates vary than independent slots, for a union of so many elements (Ertl 2017)."""
+    u, l = max(2.0, union), np.arange(1, m)
+    full = m * (m - 1)
+    terms = (l * (l + 1) / full) ** u + (l * (l - 1) / full) ** u - 2 * (l * l / full) ** u
+    return float(np.clip(1 - (m - 1) / (u - 1) * terms.sum(), 0.0, 1.0))
+
+
+def most_differing(m: int, percent: int) -> list[int]:
+    """By half octaves of the larger set: slots of four bits that may differ at the wanted similarity, with five deviations."""
+    j = percent / 100
+    out = []
+    for k in range(64):
+        factor = variance_factor(m, 2 ** ((k + 1) / 2) / j)
+        spread = (15 / 16) ** 2 * factor * j * (1 - j) + (1 - j) * 15 / 256
+        out.append(int(m * (1 - j) * 15 / 16 + 5 * (m * spread) ** 0.5))
+    return out
+
+
 def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the shingle set (d1, d2), its band keys and four bits of each slot."""
 
@@ -210,17 +231,23 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
+def sent_if_small(ids: DataFrame) -> DataFrame:
+    """Ids marked for broadcast if there are at most MAX_SENT; otherwise the join shuffles as usual."""
+    return F.broadcast(ids) if ids.count() <= MAX_SENT else ids
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the group) and kept, for every row of `docs`."""
     sketch = written(sketches(docs, width, bands, rows))
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
-    sets = written(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("slots").alias("slots")))
-    spread = sets.select("rep", "n", "slots", F.explode("bands").alias("bucket"))
+    sets = written(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").cast("int").alias("n"), F.any_value("bands").alias("bands"), F.any_value("slots").alias("slots")))
+    spread = sets.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(spread.join(shared, "bucket"))
     degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
+    degree = written(degree)
     members = written(members.join(degree, "rep"))
-    texts = identified_bytes(docs).join(degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = identified_bytes(docs).join(sent_if_small(degree.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
     texts = written(texts.select("doc_id", "data").distinct())
     centre = written(members.groupBy("bucket").agg(F.max_by("rep", F.struct("degree", "rep")).alias("centre")))
     several = named.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
@@ -235,17 +262,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     labels = written(labels)
     # what is left outside of its bucket's component
     big = labels.groupBy("label").agg(F.count("*").alias("many")).where(f"many >= {BIG}").select("label")
-    at = written(members.join(labels.join(big.withColumn("big", F.lit(True)), "label", "left"), "rep").select("bucket", "rep", "n", "slots", "label", F.coalesce("big", F.lit(False)).alias("big")))
+    placed = members.join(labels.join(big.withColumn("big", F.lit(True)), "label", "left"), "rep").select("bucket", "rep", "n", "label", F.coalesce("big", F.lit(False)).alias("big"))
     home = centre.join(labels, F.col("centre") == F.col("rep")).select("bucket", F.col("label").alias("home"))
-    outside = written(at.join(home, "bucket").where("label <> home").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("slots").alias("sa"), F.col("label").alias("la")))
+    outside = written(placed.join(home, "bucket").where("label <> home").select("bucket", "rep", "n", "label"))
     if not outside.isEmpty():
+        slots = sets.select("rep", "n", "slots")
+        at = written(placed.join(outside.select("bucket").distinct(), "bucket", "left_semi").join(slots, ["rep", "n"]))
+        outside = outside.join(slots, ["rep", "n"]).select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("slots").alias("sa"), F.col("label").alias("la"))
         touched = at.where("big").select("bucket", "label").distinct()
         left = outside.join(touched, "bucket").where("la <> label").select("a", "label").distinct()
         right = labels.join(big, "label", "left_semi").select(F.col("rep").alias("b"), "label")
         blocks = block_links(left, right, texts, width, percent)
         m = bands * rows
-        p = percent / 100 + (1 - percent / 100) / 16
-        most = int(m * (1 - p) + 5 * (m * p * (1 - p)) ** 0.5)
+        limits = F.array(*[F.lit(x) for x in most_differing(m, percent)])
+        most = F.get(limits, F.least(F.lit(63), F.floor(2 * F.log2(F.greatest("na", "nb")))).cast("int"))
         other = at.where("NOT big").select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("slots").alias("sb"), F.col("label").alias("lb"))
         alike = (F.col("la") != F.col("lb")) & near("na", "nb") & (differing(F.col("sa"), F.col("sb"), m // 16) <= most)
         small = outside.join(other, (outside["bucket"] == other["bucket"]) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -261,8 +291,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group with all its columns; of rows with equal id and text one stays."""
     groups = written(near_duplicates(docs, width, percent))
-    kept = groups.where("kept").select(F.col("doc_id").alias("_id_")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id_")), "left_semi")
+    dropped = written(groups.where("NOT kept").select("doc_id").distinct())
+    out = docs.join(sent_if_small(dropped), "doc_id", "left_anti")  # rows without id have no match and stay
     repeated = written(groups.groupBy(F.col("doc_id").alias("_id_")).agg(F.count("*").alias("n")).where("n > 1").select("_id_"))
     if repeated.isEmpty():
         return out
