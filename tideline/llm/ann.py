@@ -49,11 +49,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 def neighbours(queries: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
     """Numbers of the k rows with the largest inner product, without the row that a query is itself."""
     out = []
-    for at in range(0, len(queries), 1024):
-        score = queries[at : at + 1024] @ rows.T
+    for at in range(0, len(queries), 128):  # a few rows of scores at a time
+        score = -(queries[at : at + 128] @ rows.T)
         if own is not None:
-            score[np.arange(len(score)), own[at : at + 1024]] = -np.inf
-        out.append(np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, :k])
+            score[np.arange(len(score)), own[at : at + 128]] = np.inf
+        out.append(np.argpartition(score, min(k, score.shape[1] - 1), axis=1)[:, :k].copy())
     return np.concatenate(out)
 
 
@@ -150,8 +150,8 @@ def search(rows: DataFrame, queries: DataFrame, nearest: int = 20, key: str = "v
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    held = base.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-    shared = spark.sparkContext.broadcast(fit_router(np.stack(held["v"].to_list()), total, nearest))
+    held = base.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column(0).combine_chunks()
+    shared = spark.sparkContext.broadcast(fit_router(np.asarray(held.flatten()).reshape(len(held), -1), total, nearest))
 
     def routed(df: DataFrame, first: bool) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
