@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -60,18 +61,17 @@ class Model:
 
 
 def telling_features(ids: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """Features that occur in marked documents clearly more or less often than chance."""
+    """Whether each feature occurs in marked documents clearly more or less often than chance."""
     seen, hits, rate = np.bincount(ids, minlength=BUCKETS), np.bincount(ids[marked], minlength=BUCKETS), marked.mean() if len(marked) else 0.0
     spread = np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-12))
-    return np.flatnonzero((np.abs(hits - seen * rate) >= LEAST_DEVIATIONS * spread) & (seen >= 3))
+    return (np.abs(hits - seen * rate) >= LEAST_DEVIATIONS * spread) & (seen >= 3)
 
 
 def fit(ids: np.ndarray, lengths: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int, penalty: float = 0.1, steps: int = 300) -> Model:
     """Maximum likelihood of the cumulative-link model by Adam over the whole sample; thresholds stay ordered by their gaps."""
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    telling = np.isin(ids, telling_features(ids, grade[row] > 0))
+    telling = telling_features(ids, np.repeat(grade > 0, lengths))[ids]
     used, place = np.unique(ids[telling], return_inverse=True)
-    row = row[telling]
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[telling]
     weight = weight / weight.sum()
     above = np.array([(weight * (grade >= k)).sum() for k in range(1, grades)]).clip(1e-6, 1 - 1e-6)
     first = np.log((1 - above) / above)
@@ -102,10 +102,9 @@ def fit(ids: np.ndarray, lengths: np.ndarray, grade: np.ndarray, weight: np.ndar
 
 def split_top(ids: np.ndarray, lengths: np.ndarray, grade: np.ndarray) -> np.ndarray:
     """Grades with the top one split in two: documents with more telling features than the middle one are worse."""
-    row = np.repeat(np.arange(len(lengths)), lengths)
     top = grade == grade.max()
-    telling = np.isin(ids, telling_features(ids, top[row]))
-    hits = np.bincount(row[telling], minlength=len(lengths))
+    telling = telling_features(ids, np.repeat(top, lengths))[ids]
+    hits = np.bincount(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[telling], minlength=len(lengths))
     return grade + (top & (hits > np.median(hits[top])))
 
 
@@ -130,10 +129,12 @@ def trained(docs: DataFrame, grades: DataFrame, key: str = "doc_id", grade: str
     dealt = known.withColumn("deal", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(64)))  # each deal gives its least, the least of those stay
     least = dealt.withColumn("n", F.row_number().over(order)).where(F.col("n") <= share)
     chosen = least.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64(key), key))).where(F.col("n") <= share).select(key, "g")
-    rows = with_feature_ids(docs.select(key, text).join(chosen, key), text).select("g", "feature_ids").toPandas()
-    lengths = rows["feature_ids"].map(len).to_numpy(np.int64)
-    ids = np.concatenate(rows["feature_ids"].to_list()).astype(np.int32)
-    grade_of = rows["g"].to_numpy(np.int64)
+    sample = docs.select(key, text).join(F.broadcast(chosen), key)  # at most max_rows keys
+    rows = with_feature_ids(sample, text).select("g", "feature_ids").toArrow()
+    lists = rows.column("feature_ids").combine_chunks()
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    grade_of = rows.column("g").to_numpy().astype(np.int64)
     taken = np.bincount(grade_of, minlength=max(totals) + 1)
     weight = np.array([totals.get(g, 0) / max(1, taken[g]) for g in range(len(taken))])[grade_of]
     if split:
