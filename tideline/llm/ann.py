@@ -28,6 +28,8 @@ from tideline.llm.common import written
 
 SAMPLE, PART_ROWS, GRAPH_DEGREE = 8192, 800, 16
 BLOCK, QUERY_BLOCK = 2048, 512
+#: Found rows that a task merges before it passes on what it has.
+MERGE_ROWS = 400_000
 WANTED = 0.95
 
 
@@ -174,6 +176,21 @@ def search(rows: DataFrame, queries: DataFrame, nearest: int = 20, key: str = "v
         return dealt.groupBy("part", "block").agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("block")
 
     def nearest_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+        def best() -> None:
+            """Keep the nearest of each query among what the task has found so far."""
+            order = np.lexsort((held[1], -held[2], held[0]))
+            held[:] = [c[order] for c in held]
+            first = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]])) if len(order) else order
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            held[:] = [c[place < nearest] for c in held]
+
+        def emit() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["query_id", "vec_id", "score"])
+            held[:] = [c[:0] for c in held]
+            return out
+
         for batch in batches:
             for k in range(batch.num_rows):
                 (qid, q), (rid, r) = (unpacked(batch.column(c)[k].values) for c in (0, 1))
@@ -186,7 +203,13 @@ def search(rows: DataFrame, queries: DataFrame, nearest: int = 20, key: str = "v
                 top = np.argsort(-score, axis=1, kind="stable")[:, :nearest]
                 value = np.take_along_axis(score, top, 1)
                 real = value > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, real.sum(1))), pa.array(rid[top][real]), pa.array(value[real])], names=["query_id", "vec_id", "score"])
+                held[:] = [np.concatenate(c) for c in zip(held, (np.repeat(qid, real.sum(1)), rid[top][real], value[real]))]
+                if len(held[0]) > MERGE_ROWS:
+                    best()
+                    if len(held[0]) > MERGE_ROWS // 2:
+                        yield emit()
+        best()
+        yield emit()
 
     index = packed(written(routed(base, True)), BLOCK, "rows")
     probes = packed(written(routed(asked, False)), QUERY_BLOCK, "queries")
