@@ -194,6 +194,23 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df, 20).count() == 0
 
 
+def test_neighbours_of_outliers_in_a_skewed_table(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.tile(rng.normal(size=16), (2390, 1)), rng.normal(size=(10, 16))])[rng.permutation(2400)]
+    out = np.flatnonzero((x != np.median(x, axis=0)).any(1)).tolist()
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.search(df, df.where(df["vec_id"].isin([*out, 0, 1])), 20).toPandas()
+    count = found.groupby("query_id").size()
+    assert sorted(count.index) == sorted({*out, 0, 1}) and (count == 20).all()
+    hit = 0
+    for q, rows in found.groupby("query_id"):
+        score = (x * x[q]).sum(1)
+        assert q not in set(rows.vec_id) and rows.vec_id.is_unique and np.allclose(rows.score, score[rows.vec_id])
+        score[q] = -np.inf
+        hit += (rows.score >= np.sort(score)[-20] - 1e-9).sum()
+    assert hit >= 0.9 * len(found)
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_equals_its_sql(spark, root, name):
     assert difference(queries.QUERIES[name](spark, root).toPandas(), oracle_frame(queries.ORACLES[name], root)) is None

@@ -7,7 +7,8 @@
    a query visits is the least at which held-out sample queries find `wanted` of their true neighbours.
 3. Every row is indexed in its most probable part; parts are packed into blocks of about BLOCK rows, so a part of any
    size (also one of equal vectors) is spread over tasks. A query meets all blocks of its most probable parts, each
-   gives its nearest, and those are merged.
+   gives its nearest, and those are merged. It goes on through its parts until they hold `nearest` rows besides itself,
+   so it gets `nearest` rows, or all others of the table if there are fewer.
 
 Scores are sums over the dimensions in their order, in double precision, so equal vectors have equal scores; ties go
 to the smaller id. Rows without id, and vectors that are null, zero, of another length than the longest, or that hold
@@ -42,6 +43,11 @@ class Router:
         """Parts from the most probable on, for each row."""
         return np.argsort(-(unit(x) @ self.weights[:-1] + self.weights[-1]), axis=1, kind="stable")
 
+    def reach(self, order: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
+        """How many parts each row visits: `visits`, or more until those hold `rows` rows."""
+        short = np.cumsum(sizes[order], axis=1) < rows
+        return np.minimum(np.maximum(short.sum(1) + 1, self.visits), order.shape[1])
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one (the nearest of a query don't depend on its own length)."""
@@ -155,18 +161,20 @@ def search(rows: DataFrame, queries: DataFrame, nearest: int = 20, key: str = "v
     held = base.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column(0).combine_chunks()
     shared = spark.sparkContext.broadcast(fit_router(np.asarray(held.flatten()).reshape(len(held), -1), total, nearest))
 
-    def routed(df: DataFrame, first: bool) -> DataFrame:
+    def routed(df: DataFrame, sizes: np.ndarray | None = None) -> DataFrame:
+        """Rows in their most probable part or, with the sizes of the parts, in all that they visit."""
+
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             router = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                order = router.order(x)[:, : 1 if first else router.visits]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(order.ravel().astype(np.int32)), batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), order.shape[1]))), batch.column(1).take(pa.array(np.repeat(np.arange(len(x)), order.shape[1])))],
-                    names=["part", "id", "v"],
-                )
+                order = router.order(x)
+                visits = np.ones(len(x), int) if sizes is None else router.reach(order, sizes, nearest + 1)
+                part = order[np.arange(order.shape[1]) < visits[:, None]].astype(np.int32)
+                row = pa.array(np.repeat(np.arange(len(x)), visits))
+                yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0).take(row), batch.column(1).take(row)], names=["part", "id", "v"])
 
         return df.mapInArrow(work, "part int, id long, v array<double>")
 
@@ -211,8 +219,12 @@ def search(rows: DataFrame, queries: DataFrame, nearest: int = 20, key: str = "v
         best()
         yield emit()
 
-    index = packed(written(routed(base, True)), BLOCK, "rows")
-    probes = packed(written(routed(asked, False)), QUERY_BLOCK, "queries")
+    homes = written(routed(base))
+    sizes = np.zeros(shared.value.weights.shape[1], np.int64)
+    for part, n in homes.groupBy("part").count().collect():  # a row for each part
+        sizes[part] = n
+    index = packed(homes, BLOCK, "rows")
+    probes = packed(written(routed(asked, sizes)), QUERY_BLOCK, "queries")
     pairs = probes.join(index, "part").select("queries", "rows").repartition(spark.sparkContext.defaultParallelism * 2)
     found = pairs.mapInArrow(nearest_in_block, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
