@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -18,6 +19,7 @@ from tideline.operators.peers import peer_statistics
 from tideline.operators.ranking import full_ranks, sparse_ranks
 from tideline.operators.temporal import recent_distinct
 from tideline.operators.twohop import two_hop_scores
+from tideline.plans import stability
 from tideline.plans.device import DeviceStudy
 from tideline.plans.prescriber import PrescriberStudy
 from tideline.plans.registry import load_task
@@ -460,3 +462,29 @@ def test_facility_task_predicts(spark, root):
     task = load_task("facility", spark, root)
     counts = {r["method"]: r["n"] for r in task.predictions.groupBy("method").agg(F.count("*").alias("n")).collect()}
     assert set(counts) == set(task.methods) and len(set(counts.values())) == 1
+
+
+def test_stability_covers_every_origin_and_group(spark, monkeypatch):
+    days = [dt.date(1997, 1, 1), dt.date(1998, 1, 1)]
+    rows = [
+        (o, m, f"N{i}", i % 2, ((i * 7 + k * 5 + o.year) % 11) / 11)
+        for o in days for k, m in enumerate(stability.GROUPS) for i in range(8 if o.year == 1997 else 11)
+    ]
+    predicted = spark.createDataFrame(rows, "origin date, model string, nct_id string, label int, score double")
+    examples = spark.createDataFrame([(days[0],)], "origin date")
+    study = SimpleNamespace(origins=("1996-01-01", "1997-01-01", "1998-01-01"), examples=examples)
+    monkeypatch.setattr(stability, "TrialStudy", SimpleNamespace(bound=lambda *a: study))
+    monkeypatch.setattr(stability, "rolling_predictions", lambda s: predicted)
+    monkeypatch.setattr(stability, "fit_group", lambda train, group: (SimpleNamespace(names=["f"]), SimpleNamespace(coefficients=[1.5], intercept=0.5)))
+    got = {(r["origin"], r["comparison"]): r for r in stability.intervals(spark, "", 20).collect()}
+    assert set(got) == {(o, f"{b}_minus_{a}") for o in days for b, a in stability.comparisons()}
+    for day in days:  # a key draws as its comparison does alone
+        b, a = stability.comparisons()[3]
+        one = {r[2]: [r[3], r[4]] for r in rows if r[:2] == (day, a)}
+        alone = spark.createDataFrame([(n, *one[n], r[4]) for r in rows if r[:2] == (day, b) for n in [r[2]]], "nct_id string, label int, score_a double, score_b double")
+        seed = bootstrap.comparison_seed(stability.VERSION, day.isoformat(), f"{b}_minus_{a}")
+        want = bootstrap.rank_metric_bootstrap(alone, "nct_id", ["nct_id"], 20, seed).filter("metric = 'average_precision'").first()
+        for c in ("estimate", "lower", "upper", "valid_resamples"):
+            assert got[day, f"{b}_minus_{a}"][c] == pytest.approx(want[c])
+    fitted = {tuple(r) for r in stability.coefficient_table(spark, "").collect()}
+    assert fitted == {(o, g, n, w) for o in days for g in stability.GROUPS for n, w in (("f", 1.5), ("intercept", 0.5))}
