@@ -205,3 +205,22 @@ def test_partitions_are_balanced_and_routing_reaches_neighbours():
     assert np.bincount(part, minlength=8).max() <= 1.1 * 100 + 1
     router = ann.fit_router(x, 6400, 10)
     assert router.weights.shape[1] == 8 and router.visits < 8
+
+
+def test_visits_are_set_on_rows_kept_out_of_the_fit(monkeypatch):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(40, 12))
+    x, later = (centre[rng.integers(0, 40, n)] + 0.5 * rng.normal(size=(n, 12)) for n in (2000, 2000))
+    fitted, asked = [], []
+    graph, near = ann.balanced_parts, ann.neighbours
+    monkeypatch.setattr(ann, "balanced_parts", lambda g, *a: fitted.append(len(g)) or graph(g, *a))
+    monkeypatch.setattr(ann, "neighbours", lambda q, *a: asked.append(q) or near(q, *a))
+    router = ann.fit_router(x, 8000, 20)
+    rows = {tuple(v) for v in np.round(asked[0], 12)}
+    check = np.round(ann.unit(asked[-1]), 12)
+    assert fitted[0] + len(check) == len(x) and not any(tuple(v) in rows for v in check)
+    # recall over several parts, of rows that the router has not seen, against brute force
+    order, home = router.order(later), router.order(later)[:, 0]
+    true = near(later, later, 20, np.arange(len(later)))
+    met = [(np.isin(home[t], order[i, : router.visits])).mean() for i, t in enumerate(true)]
+    assert router.weights.shape[1] == 10 and np.mean(met) >= 0.9

@@ -109,10 +109,15 @@ def balanced_parts(graph: np.ndarray, parts: int, slack: float = 1.1, rounds: in
 
 
 def fit_router(x: np.ndarray, total: int, nearest: int, part_rows: int = PART_ROWS, wanted: float = WANTED) -> Router:
-    """Cut the sample's neighbour graph and learn which parts hold the neighbours of a vector."""
+    """Cut the sample's neighbour graph and learn which parts hold the neighbours of a vector.
+
+    Some 512 rows (an eighth of a small sample at most) are kept out of the graph and the fit; their recall sets the visits.
+    """
     parts = int(np.clip(round(total / part_rows), 1, max(1, len(x) // 64)))
     if parts == 1:
         return Router(np.zeros((x.shape[1] + 1, 1)), 1)
+    whole, check = x, np.arange(0, len(x), max(8, len(x) // 512))
+    x = np.delete(whole, check, axis=0)
     degree = min(GRAPH_DEGREE, len(x) - 1)
     graph = neighbours(unit(x), x, degree, np.arange(len(x)))
     part = balanced_parts(graph, parts)
@@ -128,9 +133,8 @@ def fit_router(x: np.ndarray, total: int, nearest: int, part_rows: int = PART_RO
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= 0.2 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
     router = Router(w, parts)
-    check = np.arange(0, len(x), max(1, len(x) // 512))
-    true = neighbours(x[check], x, min(nearest, len(x) - 1), check)
-    order, home = router.order(x), None
+    true = neighbours(whole[check], whole, min(nearest, len(whole) - 1), check)
+    order = router.order(whole)
     home = order[:, 0]
     place = np.argsort(order[check], axis=1)  # at which visit each part comes
     seen = np.take_along_axis(place, home[true], 1)
