@@ -194,6 +194,17 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df, 20).count() == 0
 
 
+def test_an_overlong_vector_drops_no_other(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(60, [1.0] * 9), (7, [-9.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(df, df.where("vec_id IN (0, 7, 60)"), 20).toPandas()
+    assert found.groupby("query_id").size().to_dict() == {0: 20, 7: 20} and found.vec_id.max() < 60
+    alone = ann.search(df.where("vec_id < 60"), df.where("vec_id = 60"), 20)
+    assert alone.count() == 0
+
+
 def test_neighbours_of_outliers_in_a_skewed_table(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([np.tile(rng.normal(size=16), (2390, 1)), rng.normal(size=(10, 16))])[rng.permutation(2400)]

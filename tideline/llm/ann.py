@@ -11,8 +11,8 @@
    so it gets `nearest` rows, or all others of the table if there are fewer.
 
 Scores are sums over the dimensions in their order, in double precision, so equal vectors have equal scores; ties go
-to the smaller id. Rows without id, and vectors that are null, zero, of another length than the longest, or that hold
-a null or non-finite number take no part. Rows that repeat an id count once (the least vector). An empty table gives
+to the smaller id. Rows without id, and vectors that are null, zero, of another length than most rows of the table, or
+that hold a null or non-finite number take no part; that length holds for the queries too. Rows that repeat an id count once (the least vector). An empty table gives
 an empty result. Extra columns are not read.
 """
 
@@ -143,21 +143,33 @@ def fit_router(x: np.ndarray, total: int, nearest: int, part_rows: int = PART_RO
     return router
 
 
-def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v): one row for each id, with vectors that can take part."""
+def sound(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v): rows with an id and a finite vector that is not zero."""
     v = F.col("v")
     good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    good = good.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    good = good.groupBy("id").agg(F.min("v").alias("v"))
-    longest = good.agg(F.max(F.size("v"))).first()[0]
-    return good.where(F.size("v") == F.lit(longest or 0))
+    return good.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
+
+
+def usable(rows: DataFrame, key: str, vector: str, length: int | None = None) -> DataFrame:
+    """(id, v): one row for each id, with vectors that can take part: those of `length`, or of the most frequent length."""
+    good = sound(rows, key, vector)
+    if length is None:
+        length = usual_length(good)
+    return good.where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"))
+
+
+def usual_length(good: DataFrame) -> int:
+    """The most frequent length (the larger of two as frequent); 0 without rows."""
+    first = good.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).first()
+    return first["n"] if first else 0
 
 
 def search(rows: DataFrame, queries: DataFrame, nearest: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the `nearest` found rows of each query, without the query's own."""
     spark = rows.sparkSession
-    base = written(usable(rows, key, vector))
-    asked = usable(queries, key, vector)
+    length = usual_length(sound(rows, key, vector))
+    base = written(usable(rows, key, vector, length))
+    asked = usable(queries, key, vector, length)
     total = base.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
