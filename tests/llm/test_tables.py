@@ -194,6 +194,19 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df, 20).count() == 0
 
 
+def test_count_buckets_follow_the_corpus(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    few = ngram_lm.score(docs, F.col("doc_id") != 8).toPandas()
+    used, filters = [], ngram_lm.filters
+    monkeypatch.setattr(ngram_lm, "filters", lambda partial, buckets: used.append(buckets) or filters(partial, buckets))
+    monkeypatch.setattr(ngram_lm, "BUCKET_BYTES", 1024)
+    many = ngram_lm.score(docs, F.col("doc_id") != 8).toPandas()
+    assert used[0] >= len(LONG) / 1024 > max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    exact = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    assert difference(few[exact], many[exact]) is None
+
+
 def test_an_overlong_vector_drops_no_other(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 8))

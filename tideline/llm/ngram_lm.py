@@ -38,6 +38,8 @@ BITS, PROBES = 8, 5
 HEAD = 1 << 17
 MU = 2.0
 SLICE_MB = 256
+#: Training text that a hash bucket stands for; its partial counts meet in one task.
+BUCKET_BYTES = 4 << 20
 END, START = (np.uint64(xxh3_64_intdigest(x)) for x in (b"", b" "))
 
 
@@ -75,6 +77,11 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
 
+def bucket_count(size: int, partitions: int) -> int:
+    """Buckets for `size` bytes of training text, so that a bucket keeps its size however large the corpus is."""
+    return max(64, 4 * partitions, -(-size // BUCKET_BYTES))
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
@@ -193,11 +200,11 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts, size = base.where("train").agg(F.count("*"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()
+    buckets = bucket_count(int(size or 0), int(spark.conf.get("spark.sql.shuffle.partitions")))
     model = written(filters(counted(base.where("train"), "text", buckets), buckets))
     single = model.where(F.col("part") < buckets)
     total, distinct = (int(x or 0) for x in single.agg(F.sum("total"), F.sum("n")).first())
-    texts = base.where("train").count()
     counts = single.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     counts = written(counts)
     top = counts.orderBy(F.col("c").desc(), "word").limit(HEAD).toPandas().sort_values("word")
