@@ -90,9 +90,11 @@ def planned(
     `parts` lists the occurrences in training order: (epoch, words, position).
     """
     held = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    # running totals join by their group, so the null source gets a name and a flag
+    held = held.withColumn("unsourced", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
     held = written(held.withColumn("place", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
     goals = targets(held, weights, most).withColumnRenamed("source", "goal_source")
-    placed = running_totals(held, ["source"], ["place", "id", "size"], {"upto": F.col("size")})
+    placed = running_totals(held, ["unsourced", "name"], ["place", "id", "size"], {"upto": F.col("size")})
     joined = placed.join(goals, F.col("source").eqNullSafe(F.col("goal_source")))
     demand = F.floor(F.col("target") + 0.5).cast("long")
     rounds = F.when(F.col("source_size") > 0, F.expr("demand div source_size")).otherwise(F.lit(0))
@@ -102,7 +104,7 @@ def planned(
 
     def occurrence(epoch: Column) -> Column:
         words = F.when(epoch < F.col("rounds"), F.col("size")).otherwise(F.col("rest"))
-        share = (epoch * F.col("source_size") + before + words / 2) / F.col("demand")
+        share = (epoch * F.col("source_size") + before + words / 2) / F.nullif(F.col("demand"), F.lit(0))
         position = F.element_at(F.array(*(position_at(share, s) for s in schedules)), F.col("kind") % len(schedules) + 1)
         return F.struct(epoch.cast("int").alias("epoch"), words.alias("words"), position.alias("position"))
 
