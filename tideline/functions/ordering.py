@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tideline.session import cut, order_buckets
 
 
-def _slices(df: DataFrame, keys: list[str], slices: int | None) -> DataFrame:
+def placed_in_slices(df: DataFrame, keys: list[str], slices: int | None = None) -> DataFrame:
+    """Add ``_slice``: the number of the row's slice in the global order of ``keys``."""
     n = slices or order_buckets(df.sparkSession)
     key = F.struct(*keys)
     bounds = (
@@ -53,10 +54,10 @@ def running_totals(
     if temp:
         df, group = df.withColumn("_all", F.lit(0)), ["_all"]
     df = df.transform(cut)  # read by the sample, the scan and the slice totals
-    placed = _slices(df, [*group, *order], slices)
+    placed = placed_in_slices(df, [*group, *order], slices)
     inside = W.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     placed = placed.select("*", *[F.sum(c).over(inside).alias(f"_in_{k}") for k, c in totals.items()])
-    source = _slices(df, [*group, *order], slices)
+    source = placed_in_slices(df, [*group, *order], slices)
     sums = source.groupBy(*group, "_slice").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in totals.items()])
     before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
