@@ -2,18 +2,20 @@
 
 Two entities are peers at date t when some owner was attached to both by t.
 Listing all (entity, peer) pairs of a common owner is quadratic in the owner's
-size, so entities are cut into tiles, Spark pairs the tiles, and each bounded
-task computes its link dates and sums as small matrices.
+size, so entities are cut into tiles and each bounded task computes the link
+dates and sums of two tiles as small matrices.  Entities are sorted by an owner
+first, so that the tiles keep owners together, and only tiles that the postings
+of the owners connect are paired: what is shuffled follows the real links.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tideline.functions.ordering import running_totals
+from tideline.operators.tiles import meeting_tiles
 from tideline.session import cut
 
 TILE = 256
@@ -97,9 +99,7 @@ def peer_statistics(targets: DataFrame, attachments: DataFrame, events: DataFram
     one row per pair; ``events``: distinct (entity, day INT, serious INT).  Days
     are day numbers.
     """
-    entities = attachments.agg(F.approx_count_distinct("entity")).first()[0]
-    tiles = max(1, math.ceil(entities / tile))
-    owners = attachments.groupBy("entity").agg(F.collect_list(F.struct("owner", "since")).alias("o"))
+    owners = attachments.groupBy("entity").agg(F.collect_list(F.struct("owner", "since")).alias("o"), F.min("owner").alias("first"))
     history = events.groupBy("entity").agg(F.collect_list(F.struct("day", "serious")).alias("e"))
     wanted = targets.groupBy("entity").agg(F.collect_list("day").alias("targets"))
     packed = (
@@ -107,21 +107,23 @@ def peer_statistics(targets: DataFrame, attachments: DataFrame, events: DataFram
         .join(wanted, "entity", "left")
         .select(
             "entity",
-            F.pmod(F.xxhash64("entity"), F.lit(tiles)).cast("int").alias("_t"),
+            "first",
             F.col("o.owner").alias("owners"),
             F.col("o.since").alias("owner_days"),
             F.col("e.day").alias("days"),
             F.col("e.serious").alias("serious"),
             "targets",
         )
-    ).transform(cut)
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = packed.filter("targets is not null").withColumn("ti", F.col("_t")).withColumn("tj", every)
-    left = left.withColumn("side", F.lit("L")).withColumn("days", F.lit(None).cast("array<int>"))
-    left = left.withColumn("serious", F.lit(None).cast("array<int>"))
-    right = packed.withColumn("tj", F.col("_t")).withColumn("ti", every).withColumn("side", F.lit("R"))
-    right = right.withColumn("targets", F.lit(None).cast("array<int>"))
-    both = left.unionByName(right)
+    )
+    numbered = running_totals(packed, [], ["first", "entity"], {"_n": F.lit(1).cast("long")})
+    packed = numbered.withColumn("tile", F.floor((F.col("_n") - 1) / tile).cast("long")).drop("_n", "first").transform(cut)
+    held = lambda rows: rows.select("tile", F.explode("owners").alias("item")).distinct()
+    left = packed.filter("targets is not null")
+    pairs = meeting_tiles(held(left), held(packed), []).transform(cut)
+    left = left.withColumnRenamed("tile", "ti").join(pairs, "ti").withColumn("side", F.lit("L"))
+    left = left.withColumn("days", F.lit(None).cast("array<int>")).withColumn("serious", F.lit(None).cast("array<int>"))
+    right = packed.withColumnRenamed("tile", "tj").join(pairs, "tj").withColumn("side", F.lit("R"))
+    both = left.unionByName(right.withColumn("targets", F.lit(None).cast("array<int>")))
     kind = dict(targets.dtypes)["entity"]
     schema = f"entity {kind}, day int, " + ", ".join(f"{s} long" for s in STATS)
 

@@ -2,77 +2,105 @@
 
 Entities sharing an item are neighbours; a candidate's score sums a weight over
 the neighbours that hold it.  Joining item lists to themselves would emit
-every pair of holders of a popular item.  Instead each entity travels once per
-tile row as one packed row, Spark pairs the tiles, and inside a task of
-bounded size the pair counts are one small matrix product.
+every pair of holders of a popular item.
+
+Items get dense ids, and entities with equal item sets fold into one set with a
+multiplicity: what an entity adds to its own score are items it holds, which
+are no candidates, so the scores of a set serve all its entities.  Sets are
+sorted by their items and cut into tiles, which keeps similar ones together.
+Postings of the items say which tiles meet; each left tile is read once, and
+the tiles it meets stream by while their products add up, so a task holds two
+tiles and one block of scores, and no pair of entities is ever a row.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-COLUMN_CHUNK = 4096
+from tideline.functions.ordering import dense_index, running_totals
+from tideline.operators.tiles import meeting_tiles
+from tideline.session import cut
+
+LARGEST, SMALLEST = 1024, 64
 CELLS_PER_TASK = 1 << 22
+COLUMN_CHUNK = 4096
 
 
-def _incidence(codes: list[np.ndarray], lo: int, hi: int, dtype) -> np.ndarray:
-    out = np.zeros((len(codes), hi - lo), dtype=dtype)
-    for row, values in enumerate(codes):
-        inside = values[(values >= lo) & (values < hi)]
-        out[row, inside - lo] = 1
+def _sparse(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of every entry of some lists."""
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _dense(entries: tuple[np.ndarray, np.ndarray], rows: int, lo: int, hi: int, dtype) -> np.ndarray:
+    row, value = entries
+    inside = (value >= lo) & (value < hi)
+    out = np.zeros((rows, hi - lo), dtype)
+    out[row[inside], value[inside] - lo] = 1
     return out
 
 
-def _tile_scores(left: pd.DataFrame, right: pd.DataFrame, kind: str) -> pd.DataFrame:
-    """Scores contributed by the right tile's entities to the left tile's candidates."""
-    empty = pd.DataFrame({"period": pd.Series(dtype="int64"), "entity": pd.Series(dtype=object), "item": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
-    if left.empty or right.empty:
-        return empty
-    has_wanted = left["wanted"].notna().all()
-    lists = [*left["items"], *right["items"], *(left["wanted"] if has_wanted else [])]
-    cuts = np.cumsum([len(v) for v in lists])[:-1]
-    flat, names = pd.factorize(np.concatenate([np.asarray(v, dtype=object) for v in lists]))
-    names = np.asarray(names, dtype=object)
-    codes = np.split(flat, cuts)
-    nl, nr = len(left), len(right)
-    own, peer, wanted = codes[:nl], codes[nl : nl + nr], codes[nl + nr :]
-    dtype = np.float32 if kind == "count" else np.float64
-    width = len(names)
-    shared = np.zeros((nl, nr), dtype=dtype)
-    for lo in range(0, width, COLUMN_CHUNK):
-        hi = min(width, lo + COLUMN_CHUNK)
-        shared += _incidence(own, lo, hi, dtype) @ _incidence(peer, lo, hi, dtype).T
-    same = left["entity"].to_numpy()[:, None] == right["entity"].to_numpy()[None, :]
-    shared[same] = 0
-    if kind == "count":
-        weight = (shared > 0).astype(dtype)
-    else:
-        sizes = np.array([len(v) for v in own])[:, None] + np.array([len(v) for v in peer])[None, :]
-        weight = shared / np.maximum(sizes - shared, 1)
-    parts = []
-    for lo in range(0, width, COLUMN_CHUNK):
-        hi = min(width, lo + COLUMN_CHUNK)
-        score = weight @ _incidence(peer, lo, hi, dtype)
-        keep = score > 0
-        keep &= _incidence(own, lo, hi, np.int8) == 0
-        if has_wanted:
-            keep &= _incidence(wanted, lo, hi, np.int8) == 1
-        rows, cols = np.nonzero(keep)
-        parts.append((rows, cols + lo, score[rows, cols].astype(np.float64)))
-    rows = np.concatenate([p[0] for p in parts])
-    cols = np.concatenate([p[1] for p in parts])
-    return pd.DataFrame(
-        {
-            "period": np.full(len(rows), left["period"].iloc[0]),
-            "entity": np.asarray(left["entity"], dtype=object)[rows],
-            "item": names[cols],
-            "score": np.concatenate([p[2] for p in parts]),
-        }
-    )
+class _Tile:
+    """The sets of one left tile and the scores that they have gathered."""
+
+    def __init__(self, period: pa.Array, sets: pa.StructArray, kind: str, items: int):
+        self.period, self.kind, self.items = period, kind, items
+        self.numbers = sets.field("no").to_numpy()
+        self.own = _sparse(sets.field("items"))
+        self.sizes = np.bincount(self.own[0], minlength=len(self.numbers))
+        wanted = sets.field("wanted")
+        self.wanted = None if wanted.null_count == len(wanted) else _sparse(wanted)
+        self.scores = np.zeros((len(self.numbers), items))
+
+    def meet(self, sets: pa.StructArray) -> None:
+        many = sets.field("m").to_numpy().astype(np.float64)
+        peer = _sparse(sets.field("items"))
+        shared = np.zeros((len(self.numbers), len(many)))
+        for lo in range(0, self.items, COLUMN_CHUNK):
+            hi = min(self.items, lo + COLUMN_CHUNK)
+            shared += _dense(self.own, len(self.numbers), lo, hi, np.float32) @ _dense(peer, len(many), lo, hi, np.float32).T
+        if self.kind == "count":
+            weight = (shared > 0) * many
+        else:
+            sizes = self.sizes[:, None] + np.bincount(peer[0], minlength=len(many))[None]
+            weight = shared / np.maximum(sizes - shared, 1) * many
+        for lo in range(0, self.items, COLUMN_CHUNK):
+            hi = min(self.items, lo + COLUMN_CHUNK)
+            self.scores[:, lo:hi] += weight @ _dense(peer, len(many), lo, hi, np.float64)
+
+    def rows(self) -> pa.RecordBatch:
+        keep = self.scores > 0
+        keep[self.own] = False
+        if self.wanted is not None:
+            asked = np.zeros_like(keep)
+            asked[self.wanted] = True
+            keep &= asked
+        row, item = np.nonzero(keep)
+        period = self.period.take(pa.array(np.zeros(len(row), np.int64)))
+        return pa.RecordBatch.from_arrays([period, pa.array(self.numbers[row]), pa.array(item), pa.array(self.scores[row, item])], names=["period", "no", "id", "score"])
+
+
+def _products(kind: str, items: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: _Tile | None = None
+        for batch in batches:
+            periods, tj, lists = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            for k, other in enumerate(tj):
+                sets = lists[k].values
+                if other < 0:
+                    if tile is not None:
+                        yield tile.rows()
+                    tile = _Tile(periods.slice(k, 1), sets, kind, items)
+                else:
+                    tile.meet(sets)
+        if tile is not None:
+            yield tile.rows()
+
+    return run
 
 
 def two_hop_scores(
@@ -88,32 +116,38 @@ def two_hop_scores(
     entity) rows to score; ``wanted``: or the exact (period, entity, item) rows.
     ``kind``: ``count`` counts neighbours, ``jaccard`` sums their similarity.
     """
-    sizes = incidence.agg(
-        F.approx_count_distinct("entity").alias("e"), F.approx_count_distinct("item").alias("i")
-    ).first()
-    edge = tile or int(max(16, min(512, CELLS_PER_TASK // max(1, sizes["i"]))))
-    tiles = max(1, math.ceil(sizes["e"] / edge))
-    packed = incidence.groupBy("period", "entity").agg(F.collect_list("item").alias("items"))
-    packed = packed.withColumn("_t", F.pmod(F.xxhash64("entity"), F.lit(tiles)).cast("int"))
+    ids = dense_index(incidence.select("item").distinct(), "item", "id").withColumn("id", F.col("id").cast("int")).transform(cut)
+    items = ids.count()
+    edge = tile or max(SMALLEST, min(LARGEST, CELLS_PER_TASK // max(1, items)))
+    packed = incidence.join(ids, "item").groupBy("period", "entity").agg(F.sort_array(F.collect_list("id")).alias("items")).transform(cut)
+    sets = packed.groupBy("period", "items").agg(F.count("*").alias("m"))
+    sets = running_totals(sets, ["period"], ["items"], {"no": F.lit(1).cast("long")})
+    sets = sets.withColumn("tile", F.floor((F.col("no") - 1) / edge).cast("long")).transform(cut)
+    members = packed.join(sets.select("period", "items", "no"), ["period", "items"]).select("period", "entity", "no")
+    asked = F.lit(None).cast("array<int>")
     if wanted is not None:
-        lists = wanted.groupBy("period", "entity").agg(F.collect_list("item").alias("wanted"))
-        left = packed.join(lists, ["period", "entity"])
+        members = members.join(wanted.select("period", "entity").distinct(), ["period", "entity"], "left_semi").transform(cut)
+        lists = wanted.join(members, ["period", "entity"]).join(ids, "item").groupBy("period", "no").agg(F.collect_set("id").alias("wanted"))
+        heads = sets.join(lists, ["period", "no"])
     else:
-        left = packed.withColumn("wanted", F.lit(None).cast("array<string>"))
         if targets is not None:
-            left = left.join(targets.select("period", "entity").distinct(), ["period", "entity"], "left_semi")
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    columns = ["side", "period", "ti", "tj", "entity", "items", "wanted"]
-    left = left.withColumn("ti", F.col("_t")).withColumn("tj", every).withColumn("side", F.lit("L"))
-    right = packed.withColumn("tj", F.col("_t")).withColumn("ti", every).withColumn("side", F.lit("R"))
-    right = right.withColumn("wanted", F.lit(None).cast("array<string>"))
-    both = left.select(*columns).unionByName(right.select(*columns))
-    types = dict(incidence.dtypes)
-    schema = f"period {types['period']}, entity {types['entity']}, item {types['item']}, score double"
+            members = members.join(targets.select("period", "entity").distinct(), ["period", "entity"], "left_semi").transform(cut)
+        heads = sets.join(members.select("period", "no").distinct(), ["period", "no"], "left_semi").withColumn("wanted", asked)
+    heads = heads.transform(cut)
 
-    def scores(rows: pd.DataFrame) -> pd.DataFrame:
-        return _tile_scores(rows[rows["side"] == "L"], rows[rows["side"] == "R"], kind)
+    def blobs(rows: DataFrame, *fields: str) -> DataFrame:
+        return rows.groupBy("period", "tile").agg(F.sort_array(F.collect_list(F.struct("no", "m", "items", *fields))).alias("sets"))
 
-    paired = both.groupBy("period", "ti", "tj")
-    partial = paired.applyInPandas(scores, schema)
-    return partial.groupBy("period", "entity", "item").agg(F.sum("score").alias("score"))
+    spread = lambda rows: rows.select("period", "tile", F.explode("items").alias("item")).distinct()
+    pairs = meeting_tiles(spread(heads), spread(sets), ["period"])
+    peers = blobs(sets.withColumn("wanted", asked), "wanted").withColumnRenamed("tile", "tj")
+    left = blobs(heads, "wanted").select("period", F.col("tile").alias("ti"), F.lit(-1).cast("long").alias("tj"), "sets")
+    rows = left.unionByName(pairs.join(peers, ["period", "tj"]).select("period", "ti", "tj", "sets"))
+    tiles = heads.select("period", "tile").distinct().count()
+    dealt = rows.repartition(max(1, min(4 * tiles, 1 << 13)), "period", "ti").sortWithinPartitions("period", "ti", "tj")
+    types = dict(incidence.dtypes)
+    found = dealt.select("period", "tj", "sets").mapInArrow(_products(kind, items), f"period {types['period']}, no long, id long, score double")
+    scores = found.join(members, ["period", "no"]).join(ids, "id").select("period", "entity", "item", "score")
+    if wanted is not None:
+        scores = scores.join(wanted.select("period", "entity", "item").distinct(), ["period", "entity", "item"], "left_semi")
+    return scores
