@@ -1,23 +1,24 @@
 """Spectral factors of the column-normalised incidence by power iteration with deflation.
 
-The model vectors have one entry per item and live on the driver, as in any
-iterative matrix-free solver; the incidence stays in the executors as packed
-sparse blocks and every iteration is one pass over them.
+The incidence is cut into cells, a block of entities by a block of items, and
+the vectors into item blocks; both stay in the executors.  There is one path
+for every size, and the driver holds some numbers for each cutoff only.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.ordering import running_totals
-from tideline.operators.blocks import Blocks, block_sum
 from tideline.session import cut
 
 RANK = 8
-GRAM_ITEMS = 2048
 ITERATIONS = 18
+#: Items of a block, and entries of a block of entities.
+BLOCK = 1024
+ENTRIES = 1 << 18
 
 
 def item_positions(history: DataFrame) -> DataFrame:
@@ -27,120 +28,108 @@ def item_positions(history: DataFrame) -> DataFrame:
     return placed.select("q", "item", (F.col("_n") - 1).cast("int").alias("idx"), "degree")
 
 
-def _sparse_blocks(history: DataFrame, items: DataFrame) -> Blocks:
-    packed = (
-        history.join(items.select("q", "item", "idx"), ["q", "item"])
-        .groupBy("q", "entity")
-        .agg(F.sort_array(F.collect_list("idx")).alias("idx"))
-        .transform(cut)
-    )
-    width = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(width, packed.count() // 2_000 + 1))
-    rows = packed.repartition(parts, "q", "entity").sortWithinPartitions("q", "entity")
-
-    def build(frames):
-        for f in frames:
-            for q, part in f.groupby("q"):
-                lens = part["idx"].map(len).to_numpy(np.int32)
-                flat = np.concatenate(part["idx"].to_numpy()).astype(np.int32)
-                yield pd.DataFrame({"q": [int(q)], "idx": [flat.tobytes()], "lens": [lens.tobytes()]})
-
-    table = rows.select("q", "entity", "idx").mapInPandas(build, "q int, idx binary, lens binary").transform(cut)
-    return Blocks(table, parts)
-
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((v * v).sum())
-    # Fixed value: shorter vectors count as zero.
-    return np.zeros_like(v) if norm <= 1e-12 else v / norm
-
-
-def _deflated(candidate: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
-    candidate = candidate.copy()
-    for previous in found:
-        candidate -= (candidate @ previous) * previous
-    return _unit(candidate)
-
-
-def _gram(blocks: Blocks, qs: list[int], weight: dict, size: dict) -> dict[int, np.ndarray]:
-    """Weighted item-by-item products, one bounded matrix per cutoff."""
-    start = dict(zip(qs, np.cumsum([0, *[size[q] ** 2 for q in qs]])))
-    length = sum(size[q] ** 2 for q in qs)
-
-    def product(q, idx, lens):
-        flat, lens = np.frombuffer(idx, np.int32), np.frombuffer(lens, np.int32)
-        out = np.zeros(length)
-        n, rows = size[q], np.repeat(np.arange(len(lens)), lens)
-        total = np.zeros((n, n))
-        for lo in range(0, len(lens), 1024):
-            inside = (rows >= lo) & (rows < lo + 1024)
-            dense = np.zeros((min(1024, len(lens) - lo), n))
-            dense[rows[inside] - lo, flat[inside]] = weight[q][flat[inside]]
-            total += dense.T @ dense
-        out[start[q] : start[q] + n * n] = total.ravel()
-        return out
-
-    flat = block_sum(blocks, length, product)
-    return {q: flat[start[q] : start[q] + size[q] ** 2].reshape(size[q], size[q]) for q in qs}
-
-
-def fit_spectral(history: DataFrame, rank: int = RANK, iterations: int = ITERATIONS, gram_items: int = GRAM_ITEMS) -> DataFrame:
+def _cells(history: DataFrame, items: DataFrame) -> DataFrame:
+    """(q, eb, ib, rows, cols): the incidence cut into blocks of entities and blocks of items."""
+    entities = running_totals(history.select("q", "entity").distinct(), ["q"], ["entity"], {"_n": F.lit(1).cast("long")}).transform(cut)
+    edges, holders = history.count(), entities.count()
+    size = max(1, ENTRIES * holders // max(1, edges))
+    row = F.col("_n") - 1
+    numbered = entities.select("q", "entity", F.floor(row / size).cast("long").alias("eb"), (row % size).cast("int").alias("row"))
+    placed = history.join(numbered, ["q", "entity"]).join(items.select("q", "item", "ib", "at"), ["q", "item"])
+    lists = placed.groupBy("q", "eb", "ib").agg(F.collect_list(F.struct("row", "at")).alias("x"))
+    return lists.select("q", "eb", "ib", F.col("x.row").alias("rows"), F.col("x.at").alias("cols")).transform(cut)
+
+
+def _ints(column: pa.ListScalar) -> np.ndarray:
+    return column.values.to_numpy(zero_copy_only=False)
+
+
+def _product(cells: DataFrame, vectors: DataFrame, block: int) -> DataFrame:
+    """(q, ib, y): transposed incidence x incidence x vector; ``vectors`` are (q, ib, x)."""
+    types = dict(cells.dtypes)
+
+    def through(group: pa.Table) -> pa.Table:
+        rows, cols, x = (group.column(c) for c in ("rows", "cols", "x"))
+        found = [(_ints(rows[k]), _ints(cols[k])) for k in range(group.num_rows)]
+        total = np.zeros(1 + max(int(r.max()) for r, _ in found))
+        for k, (r, c) in enumerate(found):
+            total += np.bincount(r, weights=_ints(x[k])[c], minlength=len(total))
+        out = [np.bincount(c, weights=total[r], minlength=block) for r, c in found]
+        return pa.table({"q": group.column("q"), "ib": group.column("ib"), "y": pa.array(out, pa.list_(pa.float64()))})
+
+    def added(group: pa.Table) -> pa.Table:
+        total = np.sum([_ints(x) for x in group.column("y")], axis=0)
+        return pa.table({"q": group.column("q").slice(0, 1), "ib": group.column("ib").slice(0, 1), "y": pa.array([total], pa.list_(pa.float64()))})
+
+    schema = f"q {types['q']}, ib long, y array<double>"
+    partial = cells.join(vectors, ["q", "ib"]).groupBy("q", "eb").applyInArrow(through, schema)
+    return partial.groupBy("q", "ib").applyInArrow(added, schema)
+
+
+def _of_q(values: dict) -> Column:
+    """The number that belongs to the row's cutoff."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("q"))
+
+
+def _dot_products(table: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> dict:
+    """{q: {name: sum of the products}}: one row for each cutoff."""
+    each = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = table.groupBy("q").agg(*[F.sum(each(a, b)).alias(n) for n, (a, b) in pairs.items()]).collect()
+    return {r["q"]: {n: r[n] for n in pairs} for r in rows}
+
+
+def _less(x: Column, steps: dict, found: Column, k: int) -> Column:
+    return F.zip_with(x, found[k], lambda a, b: a - _of_q({q: s[f"c{k}"] for q, s in steps.items()}) * b)
+
+
+def fit_spectral(history: DataFrame, rank: int = RANK, iterations: int = ITERATIONS, block: int = BLOCK) -> DataFrame:
     """(q, item, weight, v array): item factors for every cutoff, fitted side by side.
 
-    ``history``: distinct (q, entity, item).  Up to ``gram_items`` items the
-    item-by-item product is summed once and iterated as a small matrix; beyond
-    that every iteration is a pass over the blocks.  Both give the same vectors.
+    ``history``: distinct (q, entity, item).  A vector is a table of item blocks (q, ib, x).  A step joins the blocks of
+    the incidence with it, goes to the entities and back inside each block of entities, and sums by item block; the
+    driver sees one row of scalars for each cutoff.
     """
-    items = item_positions(history).transform(cut)
-    table = items.orderBy("q", "idx").toPandas()  # one row per known item: the model itself
-    blocks = _sparse_blocks(history, items)
-    qs = sorted(int(q) for q in table["q"].unique())
-    weight = {q: 1.0 / np.sqrt(np.maximum(1, table.loc[table["q"] == q, "degree"].to_numpy())) for q in qs}
-    size = {q: len(weight[q]) for q in qs}
-    start = dict(zip(qs, np.cumsum([0, *[size[q] for q in qs]])))
-    length = sum(size.values())
-    found: dict[int, list[np.ndarray]] = {q: [] for q in qs}
-    small = max(size.values(), default=0) <= gram_items
-    gram = _gram(blocks, qs, weight, size) if small else None
+    items = item_positions(history)
+    items = items.withColumns({"ib": F.floor(F.col("idx") / block).cast("long"), "at": (F.col("idx") % block).cast("int")}).transform(cut)
+    cells = _cells(history, items)
+    size = {r["q"]: r["n"] for r in items.groupBy("q").agg(F.count("*").alias("n")).collect()}
+    lists = items.groupBy("q", "ib").agg(F.sort_array(F.collect_list(F.struct("at", "degree"))).alias("d"))
+    weights = F.transform("d.degree", lambda n: F.lit(1.0) / F.sqrt(F.greatest(F.lit(1), n)))
+    padded = F.slice(F.concat(weights, F.array_repeat(F.lit(0.0), block)), 1, block)  # blocks are of one length
+    base = lists.select("q", "ib", padded.alias("w"), F.array().cast("array<array<double>>").alias("found")).transform(cut)
+    live = set(size)
     for component in range(rank):
-        live = [q for q in qs if len(found[q]) == component and component < size[q]]
+        live = {q for q in live if component < size[q]}
         if not live:
             break
-        vector = {}
-        for q in live:
-            i = np.arange(size[q])
-            vector[q] = _unit(np.sin((i + 1) * (component + 1) * 0.731) + 0.1 / (i + component + 1))
-        for _ in range(iterations):
-            if gram is not None:
-                flat = np.concatenate([gram[q] @ vector[q] if q in vector else np.zeros(size[q]) for q in qs])
-                vector = {q: _deflated(flat[start[q] : start[q] + size[q]], found[q]) for q in live}
-                continue
-            scaled = {q: weight[q] * vector[q] for q in live}
-
-            def product(q, idx, lens):
-                out = np.zeros(length)
-                if q in scaled:
-                    flat, lens = np.frombuffer(idx, np.int32), np.frombuffer(lens, np.int32)
-                    edges = np.concatenate([[0], np.cumsum(lens)[:-1]])
-                    rows = np.add.reduceat(scaled[q][flat], edges)
-                    got = np.bincount(flat, weights=np.repeat(rows, lens), minlength=size[q])
-                    out[start[q] : start[q] + size[q]] = got * weight[q]
-                return out
-
-            flat = block_sum(blocks, length, product)
-            vector = {q: _deflated(flat[start[q] : start[q] + size[q]], found[q]) for q in live}
-        for q in live:
-            if np.any(np.abs(vector[q]) > 1e-9):
-                found[q].append(vector[q])
-    frames = []
-    for q in qs:
-        part = table.loc[table["q"] == q, ["q", "item"]].copy()
-        part["weight"] = weight[q].tolist()
-        part["v"] = np.stack(found[q], axis=1).tolist() if found[q] else [[] for _ in range(len(part))]
-        frames.append(part)
-    types = dict(history.dtypes)
-    spark = history.sparkSession
-    return spark.createDataFrame(list(pd.concat(frames).itertuples(index=False, name=None)), f"q {types['q']}, item {types['item']}, weight double, v array<double>")
+        place = lambda k: F.col("ib") * block + k  # noqa: B023, E731
+        start = lambda k: F.sin((place(k) + 1) * F.lit((component + 1) * 0.731)) + F.lit(0.1) / (place(k) + component + 1)  # noqa: B023, E731
+        known = F.zip_with(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), start), F.col("w"), lambda x, w: F.when(w > 0, x).otherwise(0.0))
+        now = base.filter(F.col("q").isin(*live)).withColumn("x", known).transform(cut)
+        norms: dict = {}
+        for step in range(iterations + 1):
+            norms = {q: s["n"] ** 0.5 for q, s in _dot_products(now, {"n": (F.col("x"), F.col("x"))}).items()}
+            if step == iterations:
+                break
+            # Fixed value: shorter vectors count as zero.
+            scale = _of_q({q: 0.0 if n <= 1e-12 else 1.0 / n for q, n in norms.items()})
+            unit = now.select("q", "ib", F.zip_with("x", "w", lambda x, w: x * w * scale).alias("x"))  # noqa: B023
+            y = _product(cells, unit, block).join(base, ["q", "ib"]).withColumn("x", F.zip_with("y", "w", lambda y, w: y * w)).drop("y").transform(cut)
+            if component:
+                steps = _dot_products(y, {f"c{k}": (F.col("x"), F.col("found")[k]) for k in range(component)})
+                left = F.col("x")
+                for k in range(component):
+                    left = _less(left, steps, F.col("found"), k)
+                y = y.withColumn("x", left)
+            now = y
+        scale = _of_q({q: 0.0 if n <= 1e-12 else 1.0 / n for q, n in norms.items()})
+        vector = now.select("q", "ib", F.transform("x", lambda x: x * scale).alias("v")).transform(cut)  # noqa: B023
+        seen = vector.filter(F.exists("v", lambda x: F.abs(x) > 1e-9)).select("q").distinct().collect()
+        live = {r["q"] for r in seen}
+        grown = base.join(vector.filter(F.col("q").isin(*live)), ["q", "ib"], "left")
+        base = grown.withColumn("found", F.when(F.col("v").isNotNull(), F.concat("found", F.array("v"))).otherwise(F.col("found"))).drop("v").transform(cut)
+    own = items.join(base, ["q", "ib"])
+    return own.select("q", "item", F.get("w", F.col("at")).alias("weight"), F.transform("found", lambda v: F.get(v, F.col("at"))).alias("v"))
 
 
 def entity_factors(history: DataFrame, factors: DataFrame, rank: int = RANK) -> DataFrame:
