@@ -1,16 +1,22 @@
 """Pairwise-ranking embeddings fitted in synchronous epochs of joins and aggregations.
 
-Edges meet their node vectors by joins, gradients are summed per node (with
-map-side partial sums, so a popular node is combined before it is shuffled),
-and every epoch ends with its tables written to the shared checkpoint folder.  A node's step is its mean
-gradient times ``edges / (1 + edges / STEP_EDGES)``: like that many sequential updates, and
-bounded for a node that holds a third of all edges.
+Edges are sorted by their nodes and cut into cells of CELL edges.  A cell
+gathers the vector of each of its nodes once, takes its edges in one matrix
+step, and returns one gradient for each node; so a popular node travels once
+for each cell and not for each edge, and a node with a third of all edges is
+spread over as many cells.  Every epoch ends with its tables written to the
+shared checkpoint folder.  A node's step is its mean gradient times ``edges /
+(1 + edges / STEP_EDGES)``: like that many sequential updates, and bounded for
+any degree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.functions.ordering import running_totals
@@ -19,6 +25,8 @@ from tideline.session import cut
 
 #: Edges at which a node's step reaches half of its limit; one rule for every degree.
 STEP_EDGES = 32
+#: Edges of a cell.
+CELL = 1 << 16
 
 
 def _damped(n: Column) -> Column:
@@ -84,6 +92,89 @@ def next_free(held: DataFrame, size: Column) -> DataFrame:
     return ended.select("q", "entity", "idx", F.when(after < F.col("_n"), after).alias("free"))
 
 
+def in_cells(rows: DataFrame, order: list[str], name: str = "cell") -> DataFrame:
+    """The rows with the number of their cell: runs of CELL rows in the given order, inside each q."""
+    placed = running_totals(rows, ["q"], order, {"_at": F.lit(1).cast("long")})
+    return placed.withColumn(name, F.floor((F.col("_at") - 1) / CELL).cast("long")).drop("_at")
+
+
+def _gathered(need: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
+    """(q, cell, name): the (id, e) of the nodes that each cell needs; ``need`` has (q, cell, id), ``vectors`` (q, id, e)."""
+    return need.distinct().join(vectors.select("q", "id", "e"), ["q", "id"]).groupBy("q", "cell").agg(F.collect_list(F.struct("id", "e")).alias(name))
+
+
+def _table(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their vectors."""
+    rows = cell.values
+    ids = rows.field("id").to_numpy()
+    order = np.argsort(ids)
+    return ids[order], rows.field("e").flatten().to_numpy().reshape(len(ids), -1)[order]
+
+
+def _summed(place: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([np.bincount(place, weights=values[:, k], minlength=size) for k in range(values.shape[1])], axis=1)
+
+
+def _node_rows(q: object, kind: pa.DataType, side: int, ids: np.ndarray, sums: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array([q] * len(ids), kind), pa.array(np.full(len(ids), side, np.int32)), pa.array(ids), lists, pa.array(n.astype(np.int64))], names=["q", "side", "id", "g", "n"])
+
+
+def _cell_sums(cells: DataFrame, kernel: Callable[..., Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]], d: int) -> DataFrame:
+    """(q, side, id, g, n): what ``kernel`` gives for each cell (its columns but q and cell), summed by node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for side, ids, sums, n in kernel(*(batch.column(c)[k] for c in range(2, batch.num_columns))):
+                    yield _node_rows(batch.column(0)[k].as_py(), batch.column(0).type, side, ids, sums, n)
+
+    types = dict(cells.dtypes)
+    found = cells.mapInArrow(run, f"q {types['q']}, side int, id long, g array<double>, n long")
+    return found.groupBy("q", "side", "id").agg(vsum("g", d).alias("g"), F.sum("n").alias("n"))
+
+
+ENTITY, ITEM = 0, 1
+
+
+def _ranking_kernel(samples: pa.ListScalar, entities: pa.ListScalar, items: pa.ListScalar) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Gradients of the pairwise-ranking loss of a cell's (row, idx, neg) samples."""
+    rows, u = _table(entities)
+    ids, v = _table(items)
+    row, idx, neg = (np.searchsorted(known, samples.values.field(c).to_numpy()) for known, c in ((rows, "row"), (ids, "idx"), (ids, "neg")))
+    gap = v[idx] - v[neg]
+    w = 1.0 / (1.0 + np.exp(np.clip((u[row] * gap).sum(axis=1), -60.0, 60.0)))[:, None]
+    yield ENTITY, rows, _summed(row, w * gap, len(rows)), np.bincount(row, minlength=len(rows))
+    both = np.concatenate([idx, neg])
+    yield ITEM, ids, _summed(both, np.concatenate([w * u[row], -w * u[row]]), len(ids)), np.bincount(both, minlength=len(ids))
+
+
+def ranking_gradients(samples: DataFrame, entities: DataFrame, items: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+    """(q, row, g, n) of entities and (q, idx, g, n) of items: summed gradients over (q, cell, row, idx, neg) samples."""
+    packed = samples.groupBy("q", "cell").agg(F.collect_list(F.struct("row", "idx", "neg")).alias("samples"))
+    need_u = samples.select("q", "cell", F.col("row").alias("id"))
+    need_v = samples.select("q", "cell", F.explode(F.array("idx", "neg")).alias("id"))
+    cells = packed.join(_gathered(need_u, entities.withColumnRenamed("row", "id"), "u"), ["q", "cell"])
+    cells = cells.join(_gathered(need_v, items.withColumnRenamed("idx", "id"), "v"), ["q", "cell"])
+    sums = _cell_sums(cells, _ranking_kernel, d).transform(cut)
+    pick = lambda side, name: sums.filter(F.col("side") == side).select("q", F.col("id").alias(name), "g", "n")
+    return pick(ENTITY, "row"), pick(ITEM, "idx")
+
+
+def _sum_kernel(links: pa.ListScalar, vectors: pa.ListScalar) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    ids, v = _table(vectors)
+    other = np.searchsorted(ids, links.values.field("other").to_numpy())
+    nodes, place = np.unique(links.values.field("node").to_numpy(), return_inverse=True)
+    yield 0, nodes, _summed(place, v[other], len(nodes)), np.bincount(place, minlength=len(nodes))
+
+
+def neighbour_means(links: DataFrame, vectors: DataFrame, d: int) -> DataFrame:
+    """(q, id, m, n): mean vector of the other ends of each node's links; (q, cell, node, other) links, (q, id, e) vectors."""
+    packed = links.groupBy("q", "cell").agg(F.collect_list(F.struct("node", "other")).alias("links"))
+    cells = packed.join(_gathered(links.select("q", "cell", F.col("other").alias("id")), vectors, "v"), ["q", "cell"])
+    return _cell_sums(cells, _sum_kernel, d).select("q", "id", vmap(d, lambda k: F.col("g")[k] / F.col("n")).alias("m"), "n")
+
+
 def _step(nodes: DataFrame, gradients: DataFrame, keys: list[str], d: int, rate: float, decay: float) -> DataFrame:
     """nodes(keys, e) moved by gradients(keys, g, n)."""
     joined = nodes.join(gradients, keys, "left")
@@ -111,7 +202,7 @@ class Factors:
 
 
 def _draws(edges: DataFrame, held: DataFrame, epochs: int, prefix: list) -> DataFrame:
-    """(epoch, q, entity, item, idx, neg) for all epochs in one join.
+    """(epoch, q, cell, row, idx, neg) for all epochs in one join.
 
     The negative is the first unheld item at or after a hashed position, cyclically.
     """
@@ -120,15 +211,15 @@ def _draws(edges: DataFrame, held: DataFrame, epochs: int, prefix: list) -> Data
     hit = held.select("q", "entity", F.col("idx").alias("_start"), "free", F.lit(True).alias("_held"))
     joined = start.join(hit, ["q", "entity", "_start"], "left")
     neg = F.when(F.col("_held"), F.col("free")).otherwise(F.col("_start"))
-    return cut(joined.withColumn("neg", neg).filter("neg is not null").select("epoch", "q", "entity", "item", "idx", "neg"))
+    return cut(joined.withColumn("neg", neg).filter("neg is not null").select("epoch", "q", "cell", "row", "idx", "neg"))
 
 
 def _graph(history: DataFrame):
-    """Edges with item positions and item-set sizes, node tables, and the next-free lookup."""
+    """Edges with the positions of their nodes, item-set sizes and cells; node tables; the next-free lookup."""
     items = cut(_positions(history.select("q", "item"), "item"))
-    entities = cut(_positions(history.select("q", "entity"), "entity"))
+    entities = cut(_positions(history.select("q", "entity"), "entity").withColumnRenamed("idx", "row"))
     sizes = items.groupBy("q").agg(F.count("*").alias("_n"))
-    edges = cut(history.join(items, ["q", "item"]).join(sizes, "q"))
+    edges = cut(in_cells(history.select("q", "entity", "item").join(items, ["q", "item"]).join(entities, ["q", "entity"]).join(sizes, "q"), ["row", "idx"]))
     held = next_free(edges.select("q", "entity", "idx", "_n"), F.col("_n"))
     return items, entities, edges, held
 
@@ -140,41 +231,18 @@ def fit_bpr(history: DataFrame, dimension: int = 8, epochs: int = 4, rate: float
     """
     d = dimension
     items, entities, edges, held = _graph(history)
-    u = cut(entities.select("q", "entity", sine_embedding(F.col("idx"), d, 1).alias("e")))
+    u = cut(entities.select("q", "entity", "row", sine_embedding(F.col("row"), d, 1).alias("e")))
     v = cut(items.select("q", "idx", "item", sine_embedding(F.col("idx"), d, 7).alias("e")))
     draws = _draws(edges, held, epochs, [])
     for epoch in range(epochs):
-        drawn = draws.filter(F.col("epoch") == epoch)
-        lit = (
-            drawn.join(u.withColumnRenamed("e", "a"), ["q", "entity"])
-            .join(v.select("q", "idx", F.col("e").alias("b")), ["q", "idx"])
-            .join(v.select("q", F.col("idx").alias("neg"), F.col("e").alias("c")), ["q", "neg"])
-        )
-        margin = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), vdot("a", "b", d) - vdot("a", "c", d)))
-        lit = lit.withColumn("w", 1.0 / (1.0 + F.exp(margin))).persist()
-        a, b, c, w = F.col("a"), F.col("b"), F.col("c"), F.col("w")
-        to_u = lit.select("q", "entity", vmap(d, lambda k: w * (b[k] - c[k])).alias("g"))
-        to_v = lit.select(
-            "q",
-            F.explode(
-                F.array(
-                    F.struct(F.col("idx").alias("idx"), vmap(d, lambda k: w * a[k]).alias("g")),
-                    F.struct(F.col("neg").alias("idx"), vmap(d, lambda k: -w * a[k]).alias("g")),
-                )
-            ).alias("x"),
-        ).select("q", "x.*")
-        gu = to_u.groupBy("q", "entity").agg(vsum("g", d).alias("g"), F.count("*").alias("n"))
-        gv = to_v.groupBy("q", "idx").agg(vsum("g", d).alias("g"), F.count("*").alias("n"))
-        u, v = (
-            cut(_step(u, gu, ["q", "entity"], d, rate, decay)),
-            cut(_step(v, gv, ["q", "idx"], d, rate, decay)),
-        )
-        lit.unpersist()
-    near_u = edges.join(v.select("q", "idx", F.col("e").alias("b")), ["q", "idx"]).groupBy("q", "entity").agg(vavg("b", d).alias("m"))
-    near_v = edges.join(u.withColumnRenamed("e", "a"), ["q", "entity"]).groupBy("q", "idx").agg(vavg("a", d).alias("m"))
+        gu, gv = ranking_gradients(draws.filter(F.col("epoch") == epoch), u, v, d)
+        u, v = cut(_step(u, gu, ["q", "row"], d, rate, decay)), cut(_step(v, gv, ["q", "idx"], d, rate, decay))
+    ends = lambda node, other: edges.select("q", "cell", F.col(node).alias("node"), F.col(other).alias("other"))
+    near_u = neighbour_means(ends("row", "idx"), v.select("q", F.col("idx").alias("id"), "e"), d).withColumnRenamed("id", "row")
+    near_v = neighbour_means(ends("idx", "row"), u.select("q", F.col("row").alias("id"), "e"), d).withColumnRenamed("id", "idx")
     mix = vmap(d, lambda k: 0.5 * F.col("e")[k] + 0.5 * F.col("m")[k]).alias("e")
     return Factors(
-        cut(u.join(near_u, ["q", "entity"]).select("q", "entity", mix)),
+        cut(u.join(near_u, ["q", "row"]).select("q", "entity", mix)),
         cut(v.join(near_v, ["q", "idx"]).select("q", "item", mix)),
         d,
     )
@@ -215,17 +283,17 @@ def fit_graphsage(
     """
     d = dimension
     items, entities, edges, held = _graph(history)
-    named = edges.select("q", "entity", "item")
-    pairs_u = rotated_neighbors(named, "entity", "item", "p", fanout)
-    pairs_v = rotated_neighbors(named, "item", "entity", "d", fanout)
+    named = edges.select("q", "entity", "item", "row", "idx")
+    item_id = -1 - F.col("idx")  # entities count up from 0, items down from -1
+    pairs_u = rotated_neighbors(named, "entity", "item", "p", fanout).join(named, ["q", "entity", "item"])
+    pairs_v = rotated_neighbors(named, "item", "entity", "d", fanout).join(named, ["q", "entity", "item"])
     nodes = cut(
-        entities.select("q", F.lit("p").alias("side"), F.col("entity").alias("node"), F.lit(-1).cast("long").alias("idx"), sine_embedding(F.col("idx"), d, 11).alias("e"))
-        .unionByName(items.select("q", F.lit("d").alias("side"), F.col("item").alias("node"), "idx", sine_embedding(F.col("idx"), d, 17).alias("e")))
-    )
-    links = cut(
-        pairs_u.select("q", F.lit("p").alias("side"), F.col("entity").alias("node"), F.lit("d").alias("oside"), F.col("item").alias("other"))
-        .unionByName(pairs_v.select("q", F.lit("d").alias("side"), F.col("item").alias("node"), F.lit("p").alias("oside"), F.col("entity").alias("other")))
+        entities.select("q", F.col("row").alias("id"), sine_embedding(F.col("row"), d, 11).alias("e"))
+        .unionByName(items.select("q", item_id.alias("id"), sine_embedding(F.col("idx"), d, 17).alias("e")))
     )
+    links = cut(in_cells(
+        pairs_u.select("q", F.col("row").alias("node"), item_id.alias("other")).unionByName(pairs_v.select("q", item_id.alias("node"), F.col("row").alias("other"))), ["node", "other"]
+    ))
     spark = history.sparkSession
     qs = [r["q"] for r in items.select("q").distinct().collect()]
     eye = [1.0 if i == k else 0.0 for i in range(d) for k in range(d)]
@@ -234,69 +302,46 @@ def fit_graphsage(
     qtype = dict(history.dtypes)["q"]
 
     def messages() -> DataFrame:
-        """(q, side, node, idx, e, mean, deg, s, r, h): inputs, neighbour mean, transforms and hidden vector."""
-        others = nodes.select("q", F.col("side").alias("oside"), F.col("node").alias("other"), F.col("e").alias("oe"))
-        mean = links.join(others, ["q", "oside", "other"]).groupBy("q", "side", "node").agg(vavg("oe", d).alias("mean"), F.count("*").alias("deg"))
+        """(q, id, e, m, n, s, r, h): inputs, neighbour mean, degree, transforms and hidden vector."""
         weights = spark.createDataFrame([(q, own_w[q], near_w[q]) for q in qs], f"q {qtype}, s array<double>, r array<double>")
-        joined = nodes.join(mean, ["q", "side", "node"]).join(F.broadcast(weights), "q")
-        own, near = _matrix(F.col("s"), F.col("e"), d), _matrix(F.col("r"), F.col("mean"), d)
+        joined = nodes.join(neighbour_means(links, nodes, d), ["q", "id"]).join(F.broadcast(weights), "q")
+        own, near = _matrix(F.col("s"), F.col("e"), d), _matrix(F.col("r"), F.col("m"), d)
         return joined.withColumn("h", F.array(*[F.tanh(a + b) for a, b in zip(own, near)]))
 
     draws = _draws(edges, held, epochs, ["graphsage-negative"])
     for epoch in range(epochs):
         state = cut(messages())
-        hu = state.filter("side = 'p'").select("q", F.col("node").alias("entity"), F.col("h").alias("a"))
-        hv = state.filter("side = 'd'").select("q", "idx", F.col("node").alias("item"), "h")
-        drawn = draws.filter(F.col("epoch") == epoch)
-        lit = (
-            drawn.join(hu, ["q", "entity"])
-            .join(hv.select("q", "idx", F.col("h").alias("b")), ["q", "idx"])
-            .join(hv.select("q", F.col("idx").alias("neg"), F.col("item").alias("neg_item"), F.col("h").alias("c")), ["q", "neg"])
-        )
-        margin = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), vdot("a", "b", d) - vdot("a", "c", d)))
-        lit = lit.withColumn("w", 1.0 / (1.0 + F.exp(margin)))
-        a, b, c, w = F.col("a"), F.col("b"), F.col("c"), F.col("w")
-        hidden = lit.select(
-            "q",
-            F.explode(
-                F.array(
-                    F.struct(F.lit("p").alias("side"), F.col("entity").alias("node"), vmap(d, lambda k: w * (b[k] - c[k])).alias("g")),
-                    F.struct(F.lit("d").alias("side"), F.col("item").alias("node"), vmap(d, lambda k: w * a[k]).alias("g")),
-                    F.struct(F.lit("d").alias("side"), F.col("neg_item").alias("node"), vmap(d, lambda k: -w * a[k]).alias("g")),
-                )
-            ).alias("x"),
-        ).select("q", "x.*").groupBy("q", "side", "node").agg(vsum("g", d).alias("g"), F.count("*").alias("n"))
-        scale = _damped(F.col("n")) / F.col("n")
+        hu = state.filter("id >= 0").select("q", F.col("id").alias("row"), F.col("h").alias("e"))
+        hv = state.filter("id < 0").select("q", (-1 - F.col("id")).alias("idx"), F.col("h").alias("e"))
+        gu, gv = ranking_gradients(draws.filter(F.col("epoch") == epoch), hu, hv, d)
+        hidden = gu.select("q", F.col("row").alias("id"), "g", F.col("n").alias("uses")).unionByName(gv.select("q", (-1 - F.col("idx")).alias("id"), "g", F.col("n").alias("uses")))
+        scale = _damped(F.col("uses")) / F.col("uses")
         pre = cut(
-            state.join(hidden, ["q", "side", "node"]).withColumn(
+            state.join(hidden, ["q", "id"]).withColumn(
                 "pre", vmap(d, lambda k: scale * F.col("g")[k] * (1.0 - F.col("h")[k] * F.col("h")[k]))
             ).drop("g")
         )
         own_g = F.array(*_matrix(F.col("s"), F.col("pre"), d, transpose=True))
-        near_g = F.array(*[x / F.col("deg") for x in _matrix(F.col("r"), F.col("pre"), d, transpose=True)])
-        direct = pre.select("q", "side", "node", own_g.alias("g"))
-        passed = pre.select("q", "side", "node", near_g.alias("g")).join(links, ["q", "side", "node"]).select(
-            "q", F.col("oside").alias("side"), F.col("other").alias("node"), "g"
-        )
-        summed = direct.unionByName(passed).groupBy("q", "side", "node").agg(vsum("g", d).alias("g"))
+        near_g = F.array(*[x / F.col("n") for x in _matrix(F.col("r"), F.col("pre"), d, transpose=True)])
+        direct = pre.select("q", "id", own_g.alias("g"))
+        passed = pre.select("q", F.col("id").alias("node"), near_g.alias("g")).join(links, ["q", "node"]).select("q", F.col("other").alias("id"), "g")
+        summed = direct.unionByName(passed).groupBy("q", "id").agg(vsum("g", d).alias("g"))
         outer = pre.groupBy("q").agg(
             F.array(*[F.avg(F.col("pre")[i] * F.col("e")[k]) for i in range(d) for k in range(d)]).alias("gs"),
-            F.array(*[F.avg(F.col("pre")[i] * F.col("mean")[k]) for i in range(d) for k in range(d)]).alias("gr"),
+            F.array(*[F.avg(F.col("pre")[i] * F.col("m")[k]) for i in range(d) for k in range(d)]).alias("gr"),
         )
         for row in outer.collect():
             q = row["q"]
             own_w[q] = [x + rate * (g - decay * x) for x, g in zip(own_w[q], row["gs"])]
             near_w[q] = [x + rate * (g - decay * x) for x, g in zip(near_w[q], row["gr"])]
-        moved = nodes.join(summed, ["q", "side", "node"], "left")
-        # The summed gradient of a popular neighbour is clipped component-wise like its step count.
-        clipped = lambda k: STEP_EDGES * F.tanh(F.coalesce(F.col("g")[k], F.lit(0.0)) / STEP_EDGES)
-        nodes = cut(
-            moved.select("q", "side", "node", "idx", vmap(d, lambda k: F.col("e")[k] + rate * (clipped(k) - decay * F.col("e")[k])).alias("e"))
-        )
-    final = cut(messages().select("q", "side", "node", "h"))
+        moved = nodes.join(summed, ["q", "id"], "left")
+        # The summed gradient of a popular neighbour is bounded component-wise like its step count.
+        bounded = lambda k: STEP_EDGES * F.tanh(F.coalesce(F.col("g")[k], F.lit(0.0)) / STEP_EDGES)
+        nodes = cut(moved.select("q", "id", vmap(d, lambda k: F.col("e")[k] + rate * (bounded(k) - decay * F.col("e")[k])).alias("e")))
+    final = cut(messages().select("q", "id", F.col("h").alias("e")))
     return Factors(
-        final.filter("side = 'p'").select("q", F.col("node").alias("entity"), F.col("h").alias("e")),
-        final.filter("side = 'd'").select("q", F.col("node").alias("item"), F.col("h").alias("e")),
+        cut(entities.join(final, (entities["q"] == final["q"]) & (entities["row"] == final["id"])).select(entities["q"], "entity", "e")),
+        cut(items.join(final, (items["q"] == final["q"]) & (-1 - items["idx"] == final["id"])).select(items["q"], "item", "e")),
         d,
     )
 
@@ -319,59 +364,65 @@ def fit_specialty_bpr(
     """
     d = dimension
     items, entities, edges, _ = _graph(history)
-    gaps = edges.groupBy("q", "entity", "_n").agg(
-        F.transform(F.array_sort(F.collect_list("idx")), lambda x, i: x - i).alias("gaps")
-    ).withColumn("pool", F.col("_n") - F.size("gaps"))
-    base = cut(
-        edges.drop("_n").join(gaps.filter("pool > 0"), ["q", "entity"]).join(specialties.select("q", "entity", "specialty"), ["q", "entity"], "left")
+    u = cut(
+        entities.join(specialties.select("q", "entity", "specialty"), ["q", "entity"], "left")
+        .select("q", "entity", "row", "specialty", hash_embedding("provider", F.col("entity"), d).alias("e"))
     )
-    u = cut(entities.select("q", "entity", hash_embedding("provider", F.col("entity"), d).alias("e")))
     v = cut(items.select("q", "idx", "item", hash_embedding("drug", F.col("item"), d).alias("e")))
     s = cut(
         specialties.filter("specialty is not null").select("q", "specialty").distinct().select(
             "q", "specialty", hash_embedding("specialty", F.col("specialty"), d).alias("e")
         )
     )
+    draws = _unheld_draws(edges, epochs, negatives)
+
+    def shared() -> DataFrame:
+        """Entity vectors with their specialty's share."""
+        joined = u.join(s.withColumnRenamed("e", "sp"), ["q", "specialty"], "left")
+        return joined.select("q", "entity", "row", vmap(d, lambda k: F.col("e")[k] + F.coalesce(weight * F.col("sp")[k], F.lit(0.0))).alias("e"))
+
     for epoch in range(epochs):
-        sampled = base.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))))
-        pick = stable_modulo(F.col("pool"), "graph-bpr-negative", F.col("q"), epoch, F.col("entity"), F.col("item"), F.col("sample"))
-        # The pick-th unheld position is pick plus the held positions that precede it.
-        drawn = sampled.withColumn("_k", pick).withColumn("neg", F.col("_k") + F.size(F.filter("gaps", lambda g: g <= F.col("_k"))))
-        lit = (
-            drawn.drop("gaps").join(u.withColumnRenamed("e", "a"), ["q", "entity"])
-            .join(v.select("q", "idx", F.col("e").alias("b")), ["q", "idx"])
-            .join(v.select("q", F.col("idx").alias("neg"), F.col("e").alias("c")), ["q", "neg"])
-            .join(s.withColumnRenamed("e", "sp"), ["q", "specialty"], "left")
-        )
-        known = F.col("sp").isNotNull()
-        shared = vmap(d, lambda k: F.col("a")[k] + F.when(known, weight * F.col("sp")[k]).otherwise(0.0))
-        lit = lit.withColumn("z", shared)
-        margin = vdot("z", "b", d) - vdot("z", "c", d)
-        lit = lit.withColumn("w", 1.0 / (1.0 + F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), margin)))))
-        z, b, c, w = F.col("z"), F.col("b"), F.col("c"), F.col("w")
-        lit = lit.withColumn("g", vmap(d, lambda k: w * (b[k] - c[k]))).persist()
-        gu = lit.groupBy("q", "entity").agg(vsum("g", d).alias("g"), F.count("*").alias("n"))
-        gs = lit.filter(known).groupBy("q", "specialty").agg(
-            F.array(*[weight * F.sum(F.col("g")[k]) for k in range(d)]).alias("g"), F.count("*").alias("n")
-        )
-        gv = lit.select(
-            "q",
-            F.explode(
-                F.array(
-                    F.struct(F.col("idx").alias("idx"), vmap(d, lambda k: w * z[k]).alias("g")),
-                    F.struct(F.col("neg").alias("idx"), vmap(d, lambda k: -w * z[k]).alias("g")),
-                )
-            ).alias("x"),
-        ).select("q", "x.*").groupBy("q", "idx").agg(vsum("g", d).alias("g"), F.count("*").alias("n"))
+        gu, gv = ranking_gradients(draws.filter(F.col("epoch") == epoch), shared(), v, d)
+        own = gu.join(u.filter("specialty is not null").select("q", "row", "specialty"), ["q", "row"])
+        gs = own.groupBy("q", "specialty").agg(F.array(*[weight * F.sum(F.col("g")[k]) for k in range(d)]).alias("g"), F.sum("n").alias("n"))
         u, v, s = (
-            cut(_step(u, gu, ["q", "entity"], d, rate, decay)),
+            cut(_step(u, gu, ["q", "row"], d, rate, decay)),
             cut(_step(v, gv, ["q", "idx"], d, rate, decay)),
             cut(_step(s, gs, ["q", "specialty"], d, rate, decay)),
         )
-        lit.unpersist()
-    full = (
-        u.join(specialties.select("q", "entity", "specialty"), ["q", "entity"], "left")
-        .join(s.withColumnRenamed("e", "sp"), ["q", "specialty"], "left")
-        .select("q", "entity", vmap(d, lambda k: F.col("e")[k] + F.when(F.col("sp").isNotNull(), weight * F.col("sp")[k]).otherwise(0.0)).alias("e"))
-    )
-    return Factors(cut(full), v.select("q", "item", "e"), d)
+    return Factors(cut(shared().select("q", "entity", "e")), v.select("q", "item", "e"), d)
+
+
+def _unheld_draws(edges: DataFrame, epochs: int, negatives: int) -> DataFrame:
+    """(epoch, q, cell, row, idx, neg): hashed picks among the items that the entity does not hold.
+
+    The pick-th unheld position is the pick plus the held positions before it.  Held lists go to the cells of their
+    entity once, in pieces sorted by position.
+    """
+    degrees = edges.groupBy("q", "row").agg(F.count("*").alias("degree"))
+    pool = edges.join(degrees, ["q", "row"]).withColumn("pool", F.col("_n") - F.col("degree")).filter("pool > 0")
+    each = pool.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))))
+    pick = stable_modulo(F.col("pool"), "graph-bpr-negative", F.col("q"), F.col("epoch"), F.col("entity"), F.col("item"), F.col("sample"))
+    packed = each.select("q", "cell", "row", "idx", "epoch", pick.alias("pick")).groupBy("q", "cell").agg(F.collect_list(F.struct("row", "idx", "epoch", "pick")).alias("s"))
+    lists = edges.groupBy("q", "row").agg(F.sort_array(F.collect_list("idx")).alias("held"))
+    need = edges.select("q", "cell", "row").distinct().join(lists, ["q", "row"]).groupBy("q", "cell").agg(F.collect_list(F.struct("row", "held")).alias("h"))
+    kind = dict(edges.dtypes)["q"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                samples, held = batch.column(2)[k].values, batch.column(3)[k].values
+                row, pick = samples.field("row").to_numpy(), samples.field("pick").to_numpy()
+                order = np.argsort(row, kind="stable")
+                neg = np.zeros(len(row), np.int64)
+                known, lists = held.field("row").to_numpy(), held.field("held")
+                left, right = np.searchsorted(row[order], known), np.searchsorted(row[order], known, side="right")
+                for j in range(len(known)):
+                    own = order[left[j] : right[j]]
+                    taken = lists[j].values.to_numpy()
+                    neg[own] = pick[own] + np.searchsorted(taken - np.arange(len(taken)), pick[own], side="right")
+                q = pa.array([batch.column(0)[k].as_py()] * len(row), batch.column(0).type)
+                cell = pa.array(np.full(len(row), batch.column(1)[k].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([samples.field("epoch"), q, cell, samples.field("row"), samples.field("idx"), pa.array(neg)], names=["epoch", "q", "cell", "row", "idx", "neg"])
+
+    return cut(packed.join(need, ["q", "cell"]).mapInArrow(run, f"epoch int, q {kind}, cell long, row long, idx long, neg long"))
