@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from tideline.session import cut
 
 ROWS_PER_PARTITION = 20_000
-DIRECT_PARTITIONS = 256
+#: Numbers of the result that one row carries.
+PIECE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -49,26 +50,29 @@ def pack(rows: DataFrame, features: list[str], label: str, period: str, keys: li
 
 
 def block_sum(blocks: Blocks, size: int, reduce: Callable[..., np.ndarray]) -> np.ndarray:
-    """Sum ``reduce(columns of one block row)`` over all blocks; ``size`` is the flat result length."""
+    """Sum ``reduce(columns of one block row)`` over all blocks; ``size`` is the flat result length.
+
+    The sums of the tasks meet piece by piece in the executors; the driver gets one array of the model's size.
+    """
 
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 total += reduce(*row)
-        flat = pa.array(total)
-        offsets = pa.array([0, len(total)], pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, flat)], ["g"])
-
-    partial = blocks.table.mapInArrow(run, "g array<double>")
-    if blocks.partitions > DIRECT_PARTITIONS:
-        tall = partial.select(F.posexplode("g").alias("j", "v")).groupBy("j").agg(F.sum("v").alias("v"))
-        out = np.zeros(size)
-        for row in tall.collect():
-            out[row["j"]] = row["v"]
-        return out
-    column = partial.toArrow().column("g").combine_chunks()
-    return column.flatten().to_numpy().reshape(-1, size).sum(axis=0)
+        for k in range(0, size, PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total[k : k + PIECE]], pa.list_(pa.float64()))], names=["k", "g"])
+
+    def added(group: pa.Table) -> pa.Table:
+        total = np.sum([x.values.to_numpy() for x in group.column("g")], axis=0)
+        return pa.table({"k": group.column("k").slice(0, 1), "g": pa.array([total], pa.list_(pa.float64()))})
+
+    out = np.zeros(size)
+    pieces = blocks.table.mapInArrow(run, "k long, g array<double>").groupBy("k").applyInArrow(added, "k long, g array<double>")
+    for row in pieces.toArrow().to_batches():
+        for k, g in zip(row.column(0).to_pylist(), row.column(1)):
+            out[k : k + PIECE] = g.values.to_numpy()
+    return out
 
 
 def unpack(x: bytes, y: bytes, t: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tideline.functions.ordering import dense_index
@@ -11,6 +13,7 @@ from tideline.operators.metrics import classification_metrics
 from tideline.plans import analysis as A
 from tideline.plans import stability
 from tideline.plans.registry import load_task
+from tideline.plans.trials import TrialStudy
 from tideline.queries.prescriber import rounded
 from tideline.session import cut
 from tideline.sources import bindings, manifest
@@ -148,6 +151,12 @@ def t_stability_intervals(spark, root):
     return rounded(stability.intervals(spark, root, RESAMPLES))
 
 
+def t_gate(spark, root):
+    """The trial gate: three nested models on the validation, test and pooled rows."""
+    study = TrialStudy.bound(spark, root)
+    return rounded(stability.gate(study, *(date.fromisoformat(d) for d in (bindings.TRIAL_VALIDATION, bindings.TRIAL_TEST))))
+
+
 def registry_predictions(spark, root):
     """Test ranks of one heuristic and one learned prescriber method through the common interface."""
     task = load_task("partd", spark, root)
@@ -184,6 +193,6 @@ QUERIES = {
     for f in (
         m_logistic, m_stumps, m_spectral, m_bpr, m_graphsage, m_rolling, m_analysis, m_support_slices, c_logistic, c_expanding,
         c_analysis, c_history_slices, p_logistic, p_graph_bpr, p_model_metrics, p_model_load, t_logistic, t_stability,
-        t_stability_intervals, registry_predictions, init_embedding, manifest_drift, first_seen_stream,
+        t_stability_intervals, t_gate, registry_predictions, init_embedding, manifest_drift, first_seen_stream,
     )
 }
