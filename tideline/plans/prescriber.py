@@ -8,20 +8,22 @@ identity is ``struct<generic>`` and the variant identity ``struct<brand, generic
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tideline.functions.ordering import running_totals
-from tideline.functions.scalar import claim_band, log1p, normalize_name, ratio, stable_hex
+from tideline.functions.scalar import claim_band, claims_error, cost_error, log1p, normalize_name, npi_error, ratio, stable_hex
 from tideline.operators.candidates import candidate_grid
 from tideline.operators.ranking import CUTOFFS, entity_metrics, full_ranks, pooled_metrics
 from tideline.operators.temporal import first_seen
 from tideline.operators.twohop import two_hop_scores
 from tideline.session import cut
-from tideline.sources import bindings
+from tideline.sources import bindings, records
 
 YEARS = (1996, 1997, 1998, 1999, 2000, 2001)
+#: Columns of an annual source file.
+ANNUAL = ("npi", "brand", "generic", "claims", "cost", "specialty", "state")
 #: Size of the bounded cohorts that the cohort queries show; studies score all entities unless told otherwise.
 COHORT = 2000
 # Names that the results carry, in their order.
@@ -77,6 +79,22 @@ class PrescriberStudy:
     def bound(cls, spark: SparkSession, root: str, cohort_size: int | None = None) -> "PrescriberStudy":
         return cls(bindings.prescriber_rows(spark, root), cohort_size=cohort_size)
 
+    @classmethod
+    def from_files(cls, spark: SparkSession, paths: dict[int, str], cohort_size: int | None = None) -> "PrescriberStudy":
+        """The study of annual CSV sources, by year; rows keep the name of their source and their place in it."""
+        parts = [records.read_annual(spark, path, list(ANNUAL), year=year, source_path=path.rstrip("/").rsplit("/", 1)[-1]) for year, path in sorted(paths.items())]
+        text = reduce(DataFrame.unionByName, parts)
+        problems = F.array_compact(
+            F.array(*[F.when(c, F.lit(n)) for n, c in (("npi", npi_error(F.col("npi"))), ("claims", claims_error(F.col("claims"))), ("cost", cost_error(F.col("cost"))))])
+        )
+        what = F.concat(F.lit("malformed "), F.array_join(problems, ", "), F.lit(" in "), F.col("source_path"), F.lit(" row "), F.col("source_row").cast("string"))
+        sound = text.filter(F.when(F.size(problems) > 0, F.raise_error(what).cast("boolean")).otherwise(True))
+        rows = sound.select(
+            F.col("year").cast("long").alias("year"), "npi", F.trim("brand").alias("brand"), F.trim("generic").alias("generic"), F.trim("claims").cast("long").alias("claims"),
+            F.trim("cost").try_cast("double").alias("cost"), F.trim("specialty").alias("specialty"), F.trim("state").alias("state"), "source_path", "source_row",
+        )
+        return cls(rows.transform(cut), years=tuple(sorted(paths)), cohort_size=cohort_size)
+
     @property
     def score_years(self) -> list[int]:
         return list(self.years[max(1, len(self.years) - 3) :])
@@ -103,7 +121,8 @@ class PrescriberStudy:
         return self.rows.join(self.cohort, "npi", "left_semi").transform(cut)
 
     def export(self) -> DataFrame:
-        """The fifteen-column edge table with half-open yearly validity."""
+        """The fifteen-column edge table with half-open yearly validity; edges read from files name their source row."""
+        lineage = "source_row" in self.rows.columns
         return self.edges.select(
             "npi",
             F.col("brand").alias("brand_name"),
@@ -116,8 +135,8 @@ class PrescriberStudy:
             F.make_date(F.col("year").cast("int"), F.lit(1), F.lit(1)).alias("valid_from"),
             F.make_date((F.col("year") + 1).cast("int"), F.lit(1), F.lit(1)).alias("valid_to"),
             F.lit("bound").alias("observed_at"),
-            F.concat(F.lit("year="), F.col("year").cast("string")).alias("source_path"),
-            F.lit(None).cast("long").alias("source_row"),
+            F.col("source_path") if lineage else F.concat(F.lit("year="), F.col("year").cast("string")).alias("source_path"),
+            F.col("source_row") if lineage else F.lit(None).cast("long").alias("source_row"),
             F.sha2(F.concat_ws("|", "npi", "brand", "generic"), 256).alias("source_sha256"),
             F.lit(TRANSFORMATION).alias("transformation"),
         )

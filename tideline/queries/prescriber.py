@@ -32,8 +32,25 @@ def p_edges(spark, root):
     return _study(spark, root).edges
 
 
+def _from_files(spark, root) -> PrescriberStudy:
+    """The study read back from annual CSV files, checked against the counts recorded when they were written."""
+    paths, audit = bindings.prescriber_files(spark, root)
+    s = PrescriberStudy.from_files(spark, paths)
+    sinks.require_counts(s.rows, audit, "year")
+    return s
+
+
 def p_edge_export(spark, root):
-    return _study(spark, root).export()
+    return _from_files(spark, root).export()
+
+
+def p_edge_audit(spark, root):
+    """Recorded and found edges of every year; a year of which the last row is lost, and one that was not recorded."""
+    paths, audit = bindings.prescriber_files(spark, root)
+    rows = PrescriberStudy.from_files(spark, paths).rows
+    last = rows.filter("year = 1999").agg(F.max("source_row")).first()[0]
+    damaged = rows.filter((F.col("year") != 1999) | (F.col("source_row") < last))
+    return sinks.count_mismatches(damaged, audit.filter("year <> 2000"), "year").unionByName(sinks.count_mismatches(rows, audit, "year"))
 
 
 def p_edge_constraints(spark, root):

@@ -8,11 +8,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tideline.functions.scalar import quarter_of_date
+from tideline.session import checkpoint_root, cut
+from tideline.sources import sinks
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -183,6 +186,19 @@ def prescriber_rows(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def prescriber_files(spark: SparkSession, root: str) -> tuple[dict[int, str], DataFrame]:
+    """The annual rows as CSV files sorted by key, one folder for each year, and the audit (year, recorded) of what was written."""
+    rows = cut(prescriber_rows(spark, root))
+    folder = f"{checkpoint_root(spark)}/annual-{uuid.uuid4().hex}"
+    keys = ["npi", "brand", "generic"]
+    paths = {}
+    for year in range(1996, 2002):
+        paths[year] = f"{folder}/year={year}"
+        text = rows.filter(F.col("year") == year).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        text.select(*keys, *[F.col(c).cast("string").alias(c) for c in ("claims", "cost", "specialty", "state")]).write.csv(paths[year], header=True, emptyValue="", escape='"')
+    return paths, sinks.count_audit(rows, "year")
+
+
 # ---------------------------------------------------------------- facilities
 
 
@@ -316,8 +332,24 @@ def trial_studies(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def flawed_trial_studies(spark: SparkSession, root: str) -> DataFrame:
+    """The study rows of the first snapshot with values that break rules: some ids, dates, numbers and flags, and repeated ids."""
+    rows = trial_studies(spark, root).filter(F.col("snapshot") == F.lit(TRIAL_SNAPSHOTS[0]).cast("date"))
+    key = F.regexp_extract("nct_id", "([0-9]{8})$", 1).cast("long")
+    broken = rows.withColumns(
+        {
+            "nct_id": F.when(key % 97 == 0, F.concat(F.lit("N"), F.col("nct_id"))).otherwise(F.col("nct_id")),
+            "completion_date": F.when(key % 59 == 0, "1995-13-45").otherwise(F.col("completion_date")),
+            "enrollment": F.when(key % 61 == 0, "about 12").otherwise(F.col("enrollment")),
+            "number_of_arms": F.when(key % 67 == 0, "inf").otherwise(F.col("number_of_arms")),
+            "fda_drug": F.when(key % 71 == 0, "maybe").otherwise(F.col("fda_drug")),
+        }
+    )
+    return broken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(key % 89 == 0, 2).otherwise(1)))).drop("_copy")
+
+
 def trial_designs(spark: SparkSession, root: str) -> DataFrame:
-    """(nct_id, allocation, intervention_model, masking, primary_purpose, time_perspective)."""
+    """(nct_id, allocation, intervention_model, masking, primary_purpose, time_perspective, valid_from, valid_to)."""
     customers = table(spark, root, "customer").select("c_custkey", "c_mktsegment")
     key = F.col("o_orderkey")
     return (
@@ -330,35 +362,62 @@ def trial_designs(spark: SparkSession, root: str) -> DataFrame:
             F.concat(F.lit("M"), (key % 5).cast("string")).alias("masking"),
             F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("P"), (key % 4).cast("string"))).alias("primary_purpose"),
             F.lit("").alias("time_perspective"),
+            _day("o_orderdate").alias("valid_from"),
+            F.lit(None).cast("date").alias("valid_to"),
         )
     )
 
 
+def amended_trial_designs(spark: SparkSession, root: str) -> DataFrame:
+    """Design rows of every line of an order, valid for a year from its shipping date; lines of one order may disagree."""
+    return table(spark, root, "lineitem").select(
+        _nct("l_orderkey").alias("nct_id"),
+        F.col("l_returnflag").alias("allocation"),
+        F.lit("same").alias("intervention_model"),
+        F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.col("l_linestatus")).alias("masking"),
+        F.lit("").alias("primary_purpose"),
+        (F.col("l_suppkey") % 3).cast("string").alias("time_perspective"),
+        _day("l_shipdate").alias("valid_from"),
+        F.date_add(_day("l_shipdate"), 365).alias("valid_to"),
+    )
+
+
 def trial_relations(spark: SparkSession, root: str) -> DataFrame:
-    """(entity_type, nct_id, name) named relations of a trial, not yet normalised."""
+    """(source, role, nct_id, name, valid_from, valid_to): relation records as of the days on which they can be read.
+
+    Only sponsor records have a role.  A line's relations are known from its shipping date on.
+    """
     orders = table(spark, root, "orders")
-    sponsors = orders.select(
-        F.lit("sponsor").alias("entity_type"),
+    none = F.lit(None).cast("string")
+    open_end = F.lit(None).cast("date").alias("valid_to")
+    leads = orders.select(
+        F.lit("sponsors").alias("source"),
+        F.lit("Lead").alias("role"),
         _nct("o_orderkey").alias("nct_id"),
         F.concat(F.lit("Sponsor  "), F.col("o_custkey").cast("string")).alias("name"),
+        _day("o_orderdate").alias("valid_from"),
+        open_end,
     )
     parts = table(spark, root, "part").select("p_partkey", "p_brand", "p_type")
     suppliers = table(spark, root, "supplier").select("s_suppkey", "s_nationkey")
     lines = (
         table(spark, root, "lineitem")
-        .select("l_orderkey", "l_partkey", "l_suppkey")
+        .select("l_orderkey", "l_partkey", "l_suppkey", _day("l_shipdate").alias("valid_from"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     )
-    named = lines.select(
-        _nct("l_orderkey").alias("nct_id"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("facility").alias("t"), F.concat(F.lit("Site "), F.col("l_suppkey").cast("string")).alias("n")),
-                F.struct(F.lit("condition").alias("t"), F.col("p_brand").alias("n")),
-                F.struct(F.lit("intervention").alias("t"), F.col("p_type").alias("n")),
-                F.struct(F.lit("collaborator").alias("t"), F.concat(F.lit("Collab "), F.col("s_nationkey").cast("string")).alias("n")),
-            )
-        ).alias("r"),
-    ).select(F.col("r.t").alias("entity_type"), "nct_id", F.col("r.n").alias("name"))
-    return sponsors.unionByName(named)
+    record = lambda source, role, name: F.struct(F.lit(source).alias("source"), role.alias("role"), name.alias("name"))
+    return leads.unionByName(
+        lines.select(
+            _nct("l_orderkey").alias("nct_id"),
+            "valid_from",
+            F.explode(
+                F.array(
+                    record("facilities", none, F.concat(F.lit("Site "), F.col("l_suppkey").cast("string"))),
+                    record("conditions", none, F.col("p_brand")),
+                    record("interventions", none, F.col("p_type")),
+                    record("sponsors", F.lit("collaborator"), F.concat(F.lit("Collab "), F.col("s_nationkey").cast("string"))),
+                )
+            ).alias("r"),
+        ).select("r.source", "r.role", "nct_id", "r.name", "valid_from", open_end)
+    )

@@ -1,9 +1,12 @@
-"""CSV and JSON record readers with pinned text schemas."""
+"""CSV and JSON record readers with pinned text schemas, and lines numbered across splits."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tideline.functions.ordering import running_totals
+from tideline.session import cut
+
 RECORD_KEYS = ("data", "results", "records")
 
 
@@ -24,21 +27,61 @@ def read_piped(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST", sep="|", quote='"')
 
 
-def repair_bytes(column: F.Column) -> F.Column:
-    """Text of raw bytes: valid UTF-8 as is, otherwise every undecodable byte as its own code point."""
+# The well-formed byte sequences of UTF-8.
+UTF8 = (
+    r"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+    r"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+)
 
-    @F.pandas_udf("string")
-    def decode(values):
-        def fix(raw):
-            if raw is None:
-                return None
-            text = bytes(raw).decode("utf-8", errors="surrogateescape")
-            return "".join(chr(ord(c) - 0xDC00) if 0xDC80 <= ord(c) <= 0xDCFF else c for c in text)
 
-        return values.map(fix)
+def repair_bytes(column: F.Column) -> F.Column:
+    """Text of raw bytes: valid UTF-8 as is, otherwise every undecodable byte as its own code point.
 
+    Broken values are cut into runs of well-formed sequences and single stray bytes by a pattern over their Latin-1 form.
+    """
+    single = F.decode(column, "ISO-8859-1")
+    pieces = F.regexp_extract_all(single, F.lit(f"(?s)((?:{UTF8}){{1,500}}+|.)"), F.lit(1))
+    whole = F.transform(pieces, lambda x: F.coalesce(F.try_validate_utf8(F.encode(x, "ISO-8859-1").cast("string")), x))
     utf8 = F.try_validate_utf8(column.cast("string"))
-    return F.when(utf8.isNotNull() | column.isNull(), utf8).otherwise(decode(column))
+    return F.when(utf8.isNotNull() | column.isNull(), utf8).otherwise(F.array_join(whole, ""))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, first, value): the lines of the text files under ``path``, numbered from 1 through the files in name order.
+
+    ``first`` marks the first line of a file; ``value`` holds raw bytes.  Splits count their lines by themselves, and
+    running sums of the counts give each split its offset, so no task reads a file whole.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("position"), F.col("value").cast("binary").alias("value"),
+    ).transform(cut)
+    splits = lines.groupBy("file", "split").agg(F.min("position").alias("start"), F.count("*").alias("n"))
+    offsets = running_totals(splits, [], ["file", "split"], {"upto": F.col("n")})
+    heads = splits.groupBy("file").agg(F.min("split").alias("head"))
+    placed = lines.join(offsets, ["file", "split"]).join(heads, "file")
+    place = F.col("position") - F.col("start")
+    return placed.select("file", (F.col("upto") - F.col("n") + place + 1).alias("line"), ((F.col("split") == F.col("head")) & (place == 0)).alias("first"), "value")
+
+
+def read_annual(spark: SparkSession, path: str, header: list[str], **constants) -> DataFrame:
+    """(constants, source_row, header columns as text) of the CSV files under ``path``, one year's source.
+
+    Every file begins with exactly this header, and every record has exactly these fields on one line; anything else
+    stops the run.  ``source_row`` counts the records from 1 through the files in name order.
+    """
+    numbered = numbered_lines(spark, path)
+    text = repair_bytes(F.col("value"))
+    found = F.regexp_replace(text, "^\ufeff", "")
+    wrong = F.raise_error(F.concat(F.lit("unexpected header in "), F.col("file"), F.lit(": "), found))
+    heads = numbered.filter("first").select("file", F.col("line").alias("at"))
+    rows = numbered.filter(F.when(F.col("first"), F.when(found == ",".join(header), False).otherwise(wrong.cast("boolean"))).otherwise(True))
+    # headers of earlier files are no records
+    before = running_totals(heads, [], ["at"], {"skipped": F.lit(1)}).select("file", "skipped")
+    schema = ", ".join(f"`{c}` string" for c in header)
+    fields = F.from_csv(text, schema, {"mode": "FAILFAST", "quote": '"', "escape": '"'})
+    fixed = [F.lit(v).alias(k) for k, v in constants.items()]
+    return rows.join(before, "file").select(*fixed, (F.col("line") - F.col("skipped")).alias("source_row"), fields.alias("r")).select(*constants, "source_row", *[F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in header])
 
 
 def json_records(texts: DataFrame, record_type: str, column: str = "value") -> DataFrame:

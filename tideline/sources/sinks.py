@@ -31,6 +31,25 @@ def edge_violations(edges: DataFrame, cohort: DataFrame) -> DataFrame:
     return duplicates.unionByName(scan.select(F.inline("r"))).unionByName(foreign)
 
 
+def count_audit(rows: DataFrame, by: str) -> DataFrame:
+    """(by, recorded): the counts that a later read is held against."""
+    return rows.groupBy(by).agg(F.count("*").alias("recorded"))
+
+
+def count_mismatches(rows: DataFrame, audit: DataFrame, by: str) -> DataFrame:
+    """(by, recorded, found) where a recorded count and the rows differ; a side without the key counts 0."""
+    found = rows.groupBy(by).agg(F.count("*").alias("found"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return audit.join(found, by, "full_outer").select(by, zero("recorded"), zero("found")).filter("recorded <> found")
+
+
+def require_counts(rows: DataFrame, audit: DataFrame, by: str) -> None:
+    """Raise unless every recorded count is met; reads a few of the differing rows."""
+    bad = count_mismatches(rows, audit, by).orderBy(by).limit(3).collect()
+    if bad:
+        raise ValueError(f"row counts differ from the audit: {[tuple(r) for r in bad]}")
+
+
 def require_no_violations(violations: DataFrame) -> None:
     """Raise with the violated rules; reads one row per rule."""
     bad = {r["rule"]: r["violations"] for r in violations.filter("violations > 0").collect()}
