@@ -1,6 +1,8 @@
 """Hand-computed cases, boundary rules, leakage and skew."""
 
+import collections
 import datetime as dt
+import hashlib
 import itertools
 import random
 from types import SimpleNamespace
@@ -125,6 +127,55 @@ def test_undefined_resamples_are_counted_not_zeroed(spark):
     assert got["average_precision"]["valid_resamples"] < 25
 
 
+def _drawn_by_hand(clusters, resamples, seed):
+    names = sorted(set(clusters))
+    out = []
+    for r in range(resamples):
+        draws = [int(hashlib.sha256(f"{seed}|{r}|{slot}".encode()).hexdigest()[:15], 16) % len(names) for slot in range(len(names))]
+        out.append(collections.Counter(names[d] for d in draws))
+    return out
+
+
+def _metrics_by_hand(rows, score):
+    pos, neg = sum(r[2] for r in rows), sum(1 - r[2] for r in rows)
+    if not pos or not neg:
+        return None, None
+    wins = sum((a[score] > b[score]) + 0.5 * (a[score] == b[score]) for a in rows if a[2] for b in rows if not b[2])
+    hits = total = 0
+    for place, row in enumerate(sorted(rows, key=lambda r: (-r[score], r[0])), 1):
+        hits += row[2]
+        total += row[2] * hits / place
+    return wins / pos / neg, total / pos
+
+
+@pytest.mark.parametrize("slices,block", [(2, 4096), (7, 2)])
+def test_resamples_equal_copied_rows(spark, monkeypatch, slices, block):
+    """Every resample recomputed on copied rows; ties run over slices, and draws are counted in several blocks."""
+    monkeypatch.setattr(bootstrap, "BLOCK", block)
+    monkeypatch.setattr(bootstrap, "RESAMPLES_PER_ROW", 3)
+    rng = random.Random(9)
+    rows = [(i, f"c{rng.randint(0, 8)}", rng.randint(0, 1), float(rng.randint(0, 2)), rng.random()) for i in range(70)]
+    df = spark.createDataFrame(rows, "id int, cluster string, label long, score_a double, score_b double").withColumn("k", F.lit("x"))
+    weights = bootstrap.packed_multiplicities(df, "cluster", 8, 5)
+    drawn = _drawn_by_hand([r[1] for r in rows], 8, 5)
+    assert {r["cluster"]: list(r["w"]) for r in weights.collect()} == {c: [d[c] for d in drawn] for c in {r[1] for r in rows}}
+    for score in (3, 4):
+        got = bootstrap.rank_metric_arrays(df.join(weights, "cluster"), ["k"], ("score_a", "score_b")[score - 3], ["id"], slices).first()
+        for r, draw in enumerate(drawn):
+            auc, ap = _metrics_by_hand([x for x in rows for _ in range(draw[x[1]])], score)
+            assert got["auc"][r] == pytest.approx(auc) and got["ap"][r] == pytest.approx(ap)
+
+
+def test_additive_resamples_equal_sums_by_hand(spark):
+    rng = random.Random(2)
+    rows = [(f"c{i}", rng.random(), rng.randint(1, 9)) for i in range(12)]
+    df = spark.createDataFrame(rows, "cluster string, v double, n long")
+    got = {r["metric"]: r for r in bootstrap.additive_bootstrap(df, "cluster", {"m": F.col("v") / F.col("n"), "s": F.col("n") * 1.0}, 40, 3, squared=("n",)).collect()}
+    sums = [(sum(d[c] * v for c, v, _ in rows), sum(d[c] ** 2 * n for c, _, n in rows)) for d in _drawn_by_hand([r[0] for r in rows], 40, 3)]
+    assert got["s"]["lower"] == pytest.approx(np.percentile([n for _, n in sums], 2.5)) and got["m"]["upper"] == pytest.approx(np.percentile([v / n for v, n in sums], 97.5))
+    assert got["m"]["estimate"] == pytest.approx(sum(r[1] for r in rows) / sum(r[2] for r in rows)) and got["m"]["valid_resamples"] == 40
+
+
 # ------------------------------------------------------------ candidates, two-hop, ranks
 
 
@@ -327,12 +378,36 @@ def _planted(spark):
     return spark.createDataFrame(rows, "q int, entity string, item string"), {(e, i) for _, e, i in rows}
 
 
-def test_spectral_paths_agree(spark):
-    history, _ = _planted(spark)
-    key = ["q", "item"]
-    a = {r["item"]: r["v"] for r in spectral.fit_spectral(history, rank=3, iterations=6).select(*key, "v").collect()}
-    b = {r["item"]: r["v"] for r in spectral.fit_spectral(history, rank=3, iterations=6, gram_items=0).select(*key, "v").collect()}
-    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
+def _power_iteration(held, entities, items, rank, iterations):
+    m = np.array([[float((e, i) in held) for i in items] for e in entities])
+    a = m / np.sqrt(np.maximum(1, m.sum(axis=0)))
+    unit = lambda v: v * 0 if np.linalg.norm(v) <= 1e-12 else v / np.linalg.norm(v)
+    found = []
+    for c in range(min(rank, len(items))):
+        i = np.arange(len(items))
+        v = unit(np.sin((i + 1) * (c + 1) * 0.731) + 0.1 / (i + c + 1))
+        for _ in range(iterations):
+            v = a.T @ (a @ v)
+            for p in found:
+                v = v - (v @ p) * p
+            v = unit(v)
+        if not np.any(np.abs(v) > 1e-9):
+            break
+        found.append(v)
+    return dict(zip(items, np.array(found).T))
+
+
+@pytest.mark.parametrize("block,entries", [(1024, 1 << 18), (6, 30)])
+def test_spectral_equals_dense_iteration(spark, monkeypatch, block, entries):
+    monkeypatch.setattr(spectral, "ENTRIES", entries)
+    history, held = _planted(spark)
+    other = [(2, f"e{k}", f"i{k % 3:02d}") for k in range(9)] + [(2, "e0", "i01")]  # three items: fewer vectors than asked for
+    both = history.unionByName(spark.createDataFrame(other, "q int, entity string, item string"))
+    got = {(r["q"], r["item"]): r["v"] for r in spectral.fit_spectral(both, rank=4, iterations=6, block=block).collect()}
+    want = {(1, i): v for i, v in _power_iteration(held, sorted({e for e, _ in held}), sorted({i for _, i in held}), 4, 6).items()}
+    pairs = {(e, i) for _, e, i in other}
+    want |= {(2, i): v for i, v in _power_iteration(pairs, sorted({e for e, _ in pairs}), sorted({i for _, i in pairs}), 4, 6).items()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
 
 
 @pytest.mark.parametrize("fit", ["bpr", "graphsage", "specialty"])
@@ -471,11 +546,8 @@ def test_stability_covers_every_origin_and_group(spark, monkeypatch):
         for o in days for k, m in enumerate(stability.GROUPS) for i in range(8 if o.year == 1997 else 11)
     ]
     predicted = spark.createDataFrame(rows, "origin date, model string, nct_id string, label int, score double")
-    examples = spark.createDataFrame([(days[0],)], "origin date")
-    study = SimpleNamespace(origins=("1996-01-01", "1997-01-01", "1998-01-01"), examples=examples)
-    monkeypatch.setattr(stability, "TrialStudy", SimpleNamespace(bound=lambda *a: study))
+    monkeypatch.setattr(stability, "TrialStudy", SimpleNamespace(bound=lambda *a: None))
     monkeypatch.setattr(stability, "rolling_predictions", lambda s: predicted)
-    monkeypatch.setattr(stability, "fit_group", lambda train, group: (SimpleNamespace(names=["f"]), SimpleNamespace(coefficients=[1.5], intercept=0.5)))
     got = {(r["origin"], r["comparison"]): r for r in stability.intervals(spark, "", 20).collect()}
     assert set(got) == {(o, f"{b}_minus_{a}") for o in days for b, a in stability.comparisons()}
     for day in days:  # a key draws as its comparison does alone
@@ -486,5 +558,76 @@ def test_stability_covers_every_origin_and_group(spark, monkeypatch):
         want = bootstrap.rank_metric_bootstrap(alone, "nct_id", ["nct_id"], 20, seed).filter("metric = 'average_precision'").first()
         for c in ("estimate", "lower", "upper", "valid_resamples"):
             assert got[day, f"{b}_minus_{a}"][c] == pytest.approx(want[c])
-    fitted = {tuple(r) for r in stability.coefficient_table(spark, "").collect()}
-    assert fitted == {(o, g, n, w) for o in days for g in stability.GROUPS for n, w in (("f", 1.5), ("intercept", 0.5))}
+
+
+# ------------------------------------------------------------ encoder and stacked models
+
+
+def _coded(spark, rows):
+    return spark.createDataFrame(rows, "id int, t int, y int, kind string, a double, b double")
+
+
+def _coded_rows(n=240):
+    rng = random.Random(4)
+    out = []
+    for i in range(n):
+        a, b, kind = rng.gauss(3, 2), rng.gauss(0, 1) if rng.random() < 0.8 else None, rng.choice(["x", "y", "z", None])
+        t = i % 4
+        kind = "late" if t == 3 and i % 7 == 0 else kind
+        y = int(rng.random() < 1 / (1 + np.exp(-(0.8 * (a - 3) - (b or 0) + (kind == "x")))))
+        out.append((i, t, y, kind, a, b))
+    return out
+
+
+def test_stacked_newton_meets_the_optimum_of_each_model(spark):
+    from tideline.operators import encode, newton
+
+    rows = _coded_rows()
+    df = _coded(spark, rows)
+    encoder = encode.fit_encoder(df.filter("t < 3"), ["kind"], ["a", "b"])
+    assert {r["name"] for r in encoder.names().collect()} == {"kind=x", "kind=y", "kind=z", "kind=__MISSING__", "kind=__UNK__", "a", "a__missing", "b", "b__missing"}
+    coded = encoder.encode(df, ["id"], ["y", "t"])
+    numbers = [encoder.places(c) for c in ("a", "b")]
+    jobs = [newton.Job(f"{name}{t}", t, cols) for t in (1, 3) for name, cols in (("all", tuple(range(encoder.size))), ("few", (*range(encoder.width), *encoder.places("a"))))]
+    models = newton.fit(coded, ["id"], "y", "t", encoder.size, numbers, jobs, 0.01)
+    place = {r["name"]: r["id"] for r in encoder.names().collect()}
+    for m in models:
+        own = [r for r in rows if r[1] < m.job.before]
+        x = np.zeros((len(own), encoder.size))
+        for k, (_, _, _, kind, a, b) in enumerate(own):
+            x[k, place[f"kind={kind or '__MISSING__'}"]] = 1
+            for c, v in (("a", a), ("b", b)):
+                known = [r[4 if c == "a" else 5] for r in own if r[4 if c == "a" else 5] is not None]
+                if v is None:
+                    x[k, place[f"{c}__missing"]] = 1
+                else:
+                    x[k, place[c]] = (v - np.mean(known)) / np.std(known)
+        x = x[:, list(m.job.columns)]
+        p = 1 / (1 + np.exp(-(x @ m.weights + m.intercept)))
+        error = p - np.array([r[2] for r in own])
+        assert np.abs(x.T @ error / len(own) + 0.01 * m.weights).max() < 1e-8 and abs(error.mean()) < 1e-8
+    late = {r["id"]: r["score"] for r in newton.predict(coded.filter("t = 3"), ["id"], encoder.size, numbers, "t", models).filter("model = 'all3'").collect()}
+    assert set(late) == {r[0] for r in rows if r[1] == 3} and all(0 < s < 1 for s in late.values())
+
+
+def test_one_class_and_no_rows(spark):
+    from tideline.operators import newton
+
+    df = spark.createDataFrame([(1, 0, 1, [0], [1.0]), (2, 0, 1, [0], [2.0]), (3, 1, 0, [0], [1.0])], "id int, t int, y int, ids array<int>, values array<double>")
+    one = newton.fit(df, ["id"], "y", "t", 1, [], [newton.Job("m", 1, (0,))], 0.1)[0]
+    assert one.intercept == np.inf and list(one.weights) == [0.0]
+    assert [r["score"] for r in newton.predict(df.filter("t = 1"), ["id"], 1, [], "t", [one]).collect()] == [1.0]
+    with pytest.raises(ValueError, match="no training rows"):
+        newton.fit(df, ["id"], "y", "t", 1, [], [newton.Job("m", 0, (0,))], 0.1)
+
+
+def test_a_column_of_many_values_encodes(spark):
+    from tideline.operators import encode
+
+    df = spark.range(50_000).select("id", F.concat(F.lit("v"), "id").alias("name"), F.lit(1.0).alias("x"))
+    encoder = encode.fit_encoder(df, ["name"], ["x"])
+    rows = encoder.encode(df.unionByName(spark.createDataFrame([(-1, "new", None), (-2, " ", 2.0)], "id long, name string, x double")), ["id"], [])
+    assert encoder.size == 50_003 and rows.count() == 50_002
+    unknown = [r["id"] for r in encoder.dictionary.filter(F.col("value") == encode.UNKNOWN).collect()]
+    got = {r["id"]: (r["ids"], r["values"]) for r in rows.filter("id < 1").collect()}
+    assert got[-1] == ([*unknown, 50_002], [1.0, 1.0]) and got[-2] == ([*unknown, 50_001], [1.0, 2.0]) and got[0][0][0] not in unknown

@@ -16,14 +16,14 @@ st AS (SELECT origin, nxt, tr.*, CASE WHEN r0<=origin THEN r0 END AS result, CAS
 kn AS (SELECT origin, nct_id, CASE WHEN result<=completion+365 THEN 1 ELSE 0 END AS timely, CAST(result-completion AS BIGINT) AS delay FROM st WHERE age>=365),
 el AS (SELECT * FROM st WHERE age BETWEEN 0 AND 90 AND result IS NULL),
 co AS (SELECT * FROM el),
-rel AS (SELECT DISTINCT * FROM (
-  SELECT 'sponsor' AS entity_type, 'NCT'||lpad(CAST(o_orderkey AS VARCHAR),8,'0') AS nct_id, 'sponsor '||o_custkey AS name FROM orders
-  UNION ALL SELECT 'facility', 'NCT'||lpad(CAST(l_orderkey AS VARCHAR),8,'0'), 'site '||l_suppkey FROM lineitem
-  UNION ALL SELECT 'condition', 'NCT'||lpad(CAST(l_orderkey AS VARCHAR),8,'0'), lower(p_brand) FROM lineitem JOIN part ON l_partkey=p_partkey
-  UNION ALL SELECT 'intervention', 'NCT'||lpad(CAST(l_orderkey AS VARCHAR),8,'0'), lower(p_type) FROM lineitem JOIN part ON l_partkey=p_partkey
-  UNION ALL SELECT 'collaborator', 'NCT'||lpad(CAST(l_orderkey AS VARCHAR),8,'0'), 'collab '||s_nationkey FROM lineitem JOIN supplier ON l_suppkey=s_suppkey)),
-kr AS (SELECT origin, entity_type, nct_id, name, timely, delay FROM rel JOIN kn USING (nct_id)),
-cr AS (SELECT origin, entity_type, nct_id, name FROM rel JOIN (SELECT origin, nct_id FROM co) USING (nct_id)),
+rel AS (SELECT entity_type, nct_id, name, min(vf) AS vf FROM (
+  SELECT 'sponsor' AS entity_type, 'NCT'||lpad(CAST(o_orderkey AS VARCHAR),8,'0') AS nct_id, 'sponsor '||o_custkey AS name, CAST(o_orderdate AS DATE) AS vf FROM orders
+  UNION ALL SELECT 'facility', 'NCT'||lpad(CAST(l_orderkey AS VARCHAR),8,'0'), 'site '||l_suppkey, CAST(l_shipdate AS DATE) FROM lineitem
+  UNION ALL SELECT 'condition', 'NCT'||lpad(CAST(l_orderkey AS VARCHAR),8,'0'), lower(p_brand), CAST(l_shipdate AS DATE) FROM lineitem JOIN part ON l_partkey=p_partkey
+  UNION ALL SELECT 'intervention', 'NCT'||lpad(CAST(l_orderkey AS VARCHAR),8,'0'), lower(p_type), CAST(l_shipdate AS DATE) FROM lineitem JOIN part ON l_partkey=p_partkey
+  UNION ALL SELECT 'collaborator', 'NCT'||lpad(CAST(l_orderkey AS VARCHAR),8,'0'), 'collab '||s_nationkey, CAST(l_shipdate AS DATE) FROM lineitem JOIN supplier ON l_suppkey=s_suppkey) GROUP BY ALL),
+kr AS (SELECT origin, entity_type, nct_id, name, timely, delay FROM rel JOIN kn USING (nct_id) WHERE vf<=origin),
+cr AS (SELECT origin, entity_type, nct_id, name FROM rel JOIN (SELECT origin, nct_id FROM co) USING (nct_id) WHERE vf<=origin),
 eh AS (SELECT origin, entity_type, name, count(*) AS trials, sum(timely) AS timely FROM kr GROUP BY ALL),
 md AS (SELECT c.origin, c.nct_id, c.entity_type, median(delay) AS m FROM cr c JOIN kr k ON k.origin=c.origin AND k.entity_type=c.entity_type AND k.name=c.name
   WHERE delay IS NOT NULL GROUP BY ALL),
@@ -35,6 +35,11 @@ lb AS (SELECT origin, nct_id, CASE WHEN r0<=nxt THEN r0 END AS posted,
   CASE WHEN r0<=nxt AND r0<=origin THEN 'inconsistent' WHEN r0<=nxt AND r0<=origin+365 THEN 'positive' ELSE 'negative' END AS status FROM co),
 """
 END = "zz AS (SELECT 1) "
+FLAWED = (
+    BASE
+    + "fl AS (SELECT CASE WHEN k%97=0 THEN 'N' ELSE '' END||nct_id AS nct_id, * EXCLUDE (nct_id) FROM tr UNION ALL SELECT CASE WHEN k%97=0 THEN 'N' ELSE '' END||nct_id, * EXCLUDE (nct_id) FROM tr WHERE k%89=0), "
+)
+TYPES = ("sponsor", "condition", "intervention", "facility", "collaborator")
 TF = "round(timely/nullif(prior_trial_count,0),6)"
 
 
@@ -63,9 +68,20 @@ ORACLES = {
     "t_studies": BASE + END + "SELECT origin, nct_id, completion, result, enrollment, age FROM st",
     "t_eligible": BASE + END + "SELECT origin, nct_id FROM el",
     "t_cohort": BASE + END + "SELECT origin, nct_id FROM el QUALIFY row_number() OVER (PARTITION BY origin ORDER BY sha256(nct_id), nct_id)<=2000",
-    "t_design_conflicts": """WITH d AS (SELECT 'NCT'||lpad(CAST(p_partkey%100 AS VARCHAR),8,'0') AS nct_id, p_brand, CASE WHEN p_size%2=0 THEN NULL ELSE p_type END AS m FROM part)
-      SELECT nct_id, 'allocation' AS field, count(DISTINCT p_brand) AS "values" FROM d GROUP BY ALL HAVING count(DISTINCT p_brand)>1
-      UNION ALL SELECT nct_id, 'masking', count(DISTINCT m) FROM d GROUP BY ALL HAVING count(DISTINCT m)>1""",
+    "t_design_conflicts": BASE
+    + """dv AS (SELECT origin, co.nct_id, unnest([{'f': 'allocation', 'v': l_returnflag}, {'f': 'intervention_model', 'v': 'same'},
+        {'f': 'masking', 'v': CASE WHEN l_linenumber%2=0 THEN '' ELSE l_linestatus END}, {'f': 'time_perspective', 'v': CAST(l_suppkey%3 AS VARCHAR)}]) AS x
+        FROM co JOIN lineitem ON l_orderkey=k WHERE CAST(l_shipdate AS DATE)<=origin AND origin<=CAST(l_shipdate AS DATE)+365)
+      SELECT origin, nct_id, x.f AS field, count(DISTINCT x.v) AS "values" FROM dv WHERE x.v<>'' GROUP BY ALL HAVING count(DISTINCT x.v)>1""",
+    "t_quarantine": FLAWED
+    + """pr AS (SELECT nct_id, unnest([CASE WHEN k%97=0 THEN 'nct_id' END, CASE WHEN k%59=0 AND k%50<>0 AND k%40<>0 THEN 'completion_date' END, CASE WHEN k%61=0 THEN 'enrollment' END,
+        CASE WHEN k%67=0 THEN 'number_of_arms' END, CASE WHEN k%71=0 THEN 'fda_drug' END]) AS problem FROM fl
+        UNION ALL SELECT DISTINCT nct_id, 'repeated_id' FROM fl WHERE k%89=0)
+      SELECT problem, count(*) AS n, count(DISTINCT nct_id) AS studies FROM pr WHERE problem IS NOT NULL GROUP BY problem""",
+    "t_flawed_studies": FLAWED
+    + """ok AS (SELECT * FROM fl WHERE k%97<>0 AND NOT (k%59=0 AND k%50<>0 AND k%40<>0) AND k%61<>0 AND k%67<>0 AND k%71<>0)
+      SELECT nct_id, completion, CASE WHEN r0<=DATE '1996-01-01' THEN r0 END AS result, enrollment, number_of_arms, CAST(fdrug AS DOUBLE) AS is_fda_regulated_drug,
+      CAST(DATE '1996-01-01'-completion AS BIGINT) AS age FROM ok WHERE k%50<>0 AND k%40<>0 AND completion<=DATE '1996-01-01'""",
     "t_relations": BASE
     + """ar AS (SELECT origin, entity_type, nct_id, name FROM cr UNION SELECT origin, entity_type, nct_id, name FROM kr)
       SELECT origin, entity_type, count(*) AS relations, count(DISTINCT nct_id) AS trials, count(DISTINCT name) AS names FROM ar GROUP BY ALL""",
@@ -94,20 +110,26 @@ ORACLES = {
       CAST(NULL AS DOUBLE) AS number_of_groups, CAST(completion-start AS DOUBLE) AS start_to_completion_days, CAST(age AS DOUBLE) AS completion_lag_days,
       CAST(fdrug AS DOUBLE) AS is_fda_regulated_drug, CAST(fdev AS DOUBLE) AS is_fda_regulated_device FROM co""",
     "t_examples": BASE + END
-    + f"""SELECT l.origin, l.nct_id, CAST(CASE status WHEN 'positive' THEN 1 ELSE 0 END AS BIGINT) AS label, {_h('sponsor')}, {_h('facility')}
-      FROM lb l LEFT JOIN th sponsor ON sponsor.origin=l.origin AND sponsor.nct_id=l.nct_id AND sponsor.entity_type='sponsor'
-      LEFT JOIN th facility ON facility.origin=l.origin AND facility.nct_id=l.nct_id AND facility.entity_type='facility' WHERE status IN ('positive','negative')""",
+    + "SELECT l.origin, l.nct_id, CAST(CASE status WHEN 'positive' THEN 1 ELSE 0 END AS BIGINT) AS label, "
+    + ", ".join(_h(e) for e in TYPES)
+    + " FROM lb l "
+    + " ".join(f"LEFT JOIN th {e} ON {e}.origin=l.origin AND {e}.nct_id=l.nct_id AND {e}.entity_type='{e}'" for e in TYPES)
+    + " WHERE status IN ('positive','negative')",
     "t_encode": BASE
-    + """ex AS (SELECT co.* FROM co JOIN lb USING (origin, nct_id) WHERE status IN ('positive','negative')),
-      z AS (SELECT avg(enrollment) AS em, stddev_pop(enrollment) AS es, avg(age) AS am, stddev_pop(age) AS "as_" FROM ex WHERE origin<DATE '2000-01-01')
-      SELECT nct_id, """
-    + ", ".join(
-        f"CAST(coalesce(phase='{p}',false) AS DOUBLE) AS \"phase={p}\"" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    + """ex AS (SELECT origin, nct_id, phase, allocation, intervention_model, masking, primary_purpose, CAST(NULL AS VARCHAR) AS time_perspective, enrollment, number_of_arms,
+        CAST(NULL AS DOUBLE) AS number_of_groups, CAST(completion-start AS DOUBLE) AS start_to_completion_days, CAST(age AS DOUBLE) AS completion_lag_days,
+        CAST(fdrug AS DOUBLE) AS is_fda_regulated_drug, CAST(fdev AS DOUBLE) AS is_fda_regulated_device
+        FROM co JOIN lb USING (origin, nct_id) WHERE status IN ('positive','negative')),
+      tn AS (SELECT * FROM ex WHERE origin<DATE '2000-01-01'), te AS (SELECT * FROM ex WHERE origin=DATE '2000-01-01') """
+    + " UNION ALL ".join(
+        f"SELECT nct_id, '{c}='||CASE WHEN coalesce({c},'__MISSING__') IN (SELECT coalesce({c},'__MISSING__') FROM tn) THEN coalesce({c},'__MISSING__') ELSE '__UNK__' END AS feature, CAST(1 AS DOUBLE) AS value FROM te"
+        for c in ("phase", "allocation", "intervention_model", "masking", "primary_purpose", "time_perspective")
     )
-    + """, CAST(phase IS NULL AS DOUBLE) AS "phase=__MISSING__", CAST(0 AS DOUBLE) AS "phase=__UNK__",
-      round(coalesce((enrollment-em)/es,0),6) AS enrollment, CAST(enrollment IS NULL AS DOUBLE) AS "enrollment__missing",
-      CAST(0 AS DOUBLE) AS number_of_groups, CAST(1 AS DOUBLE) AS "number_of_groups__missing",
-      round((age-am)/as_,6) AS completion_lag_days, CAST(0 AS DOUBLE) AS "completion_lag_days__missing" FROM ex CROSS JOIN z WHERE origin=DATE '2000-01-01'""",
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT nct_id, CASE WHEN {c} IS NULL THEN '{c}__missing' ELSE '{c}' END, CASE WHEN {c} IS NULL THEN 1.0 ELSE round(({c}-m)/s,6) END FROM te, (SELECT avg({c}) AS m, CASE WHEN stddev_pop({c})>=1e-12 THEN stddev_pop({c}) ELSE 1 END AS s FROM tn)"
+        for c in ("enrollment", "number_of_arms", "number_of_groups", "start_to_completion_days", "completion_lag_days", "is_fda_regulated_drug", "is_fda_regulated_device")
+    ),
     "t_metric_deltas": BASE + SCORES + "SELECT origin, model, round(delta,6) AS delta FROM dl",
     "t_stability_summary": BASE + SCORES
     + """SELECT model, count(*) AS origins, count(delta) AS defined_origins, count(*) FILTER (delta>0) AS positive_origins, count(*) FILTER (delta>=0) AS nonnegative_origins,

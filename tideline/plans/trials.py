@@ -36,6 +36,9 @@ NUMERIC = (
     "is_fda_regulated_drug",
     "is_fda_regulated_device",
 )
+DESIGN = ("allocation", "intervention_model", "masking", "primary_purpose", "time_perspective")
+#: Relation files without roles, and the entity type that they name.
+RELATION_SOURCES = {"facilities": "facility", "conditions": "condition", "interventions": "intervention"}
 HISTORY = ("prior_trial_count", "timely_fraction", "median_delay_days", "entity_count", "history_entity_count")
 LOCAL = "trial_local_logistic"
 SPONSOR = "local_plus_sponsor_logistic"
@@ -51,6 +54,11 @@ GROUPS: dict[str, tuple[str, ...]] = {
 }
 
 
+def _readable() -> Column:
+    """The version could be read at the row's origin."""
+    return (F.col("valid_from") <= F.col("origin")) & F.coalesce(F.col("origin") <= F.col("valid_to"), F.lit(True))
+
+
 def group_numeric(group: str) -> list[str]:
     """Numeric feature columns of an ablation group."""
     return [*NUMERIC, *[f"{e}_{h}" for e in GROUPS[group] for h in HISTORY]]
@@ -58,13 +66,25 @@ def group_numeric(group: str) -> list[str]:
 
 @dataclass
 class TrialStudy:
-    """Inputs are long over snapshots: studies (text columns), designs, relations, and the snapshot dates."""
+    """Study rows (text columns) by snapshot, versioned designs and relations, and the snapshot dates.
+
+    A version says from which day to which day a record could be read; a plan sees the versions of its own snapshot,
+    so what is added later can't reach an earlier origin.  Values that break a typed rule stop the run; with
+    ``strict`` off they are left out, and `quarantine` lists them.
+    """
 
     raw: DataFrame
     raw_designs: DataFrame
     raw_relations: DataFrame
     snapshots: tuple[str, ...]
     cohort_size: int | None = None
+    strict: bool = True
+
+    def __post_init__(self) -> None:
+        days = [_date(s) for s in self.snapshots]
+        short = [(str(a), str(b)) for a, b in zip(days, days[1:]) if (b - a).days < HORIZON]
+        if short:
+            raise ValueError(f"snapshots do not cover the {HORIZON}-day horizon of their origins: {short}")
 
     @classmethod
     def bound(cls, spark: SparkSession, root: str, cohort_size: int | None = None) -> "TrialStudy":
@@ -82,22 +102,39 @@ class TrialStudy:
 
     # ------------------------------------------------------------ studies
 
-    def quarantine(self) -> DataFrame:
-        """(snapshot, nct_id, problem) of every study value that breaks a typed rule."""
-        interventional = (F.lower(F.trim("study_type")) == "interventional") & (
-            F.lower(F.trim("completion_type")) == "actual"
-        )
-        bad_date = interventional & F.substring(F.trim("completion_date"), 1, 10).try_cast("date").isNull()
+    def _problems(self) -> Column:
+        """Names of the columns of a raw row that break a typed rule."""
+        in_study = (F.lower(F.trim("study_type")) == "interventional") & (F.lower(F.trim("completion_type")) == "actual")
+        blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+        bad_date = lambda c: F.substring(F.trim(c), 1, 10).try_cast("date").isNull()
         checks = {
-            "nct_id": ~F.trim("nct_id").rlike("(?i)^NCT[0-9]{8}$"),
-            "completion_date": bad_date,
+            "nct_id": ~F.coalesce(F.trim("nct_id"), F.lit("")).rlike("(?i)^NCT[0-9]{8}$"),
+            "completion_date": in_study & bad_date("completion_date"),
+            "results_date": ~blank("results_date") & bad_date("results_date"),
+            "start_date": ~blank("start_date") & bad_date("start_date"),
             "enrollment": number_error(F.col("enrollment")),
             "number_of_arms": number_error(F.col("number_of_arms")),
+            "number_of_groups": number_error(F.col("number_of_groups")),
             "fda_drug": flag_error(F.col("fda_drug")),
             "fda_device": flag_error(F.col("fda_device")),
         }
-        found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
-        return self.raw.select("snapshot", "nct_id", F.explode(found).alias("problem"))
+        return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
+
+    def quarantine(self) -> DataFrame:
+        """(snapshot, nct_id, problem) of every study value that breaks a typed rule."""
+        return self.raw.select("snapshot", "nct_id", F.explode(self._problems()).alias("problem"))
+
+    def repeated_studies(self) -> DataFrame:
+        """(snapshot, nct_id, n): ids with more than one row in a snapshot."""
+        return self.raw.groupBy("snapshot", F.trim("nct_id").alias("nct_id")).agg(F.count("*").alias("n")).filter("n > 1")
+
+    @cached_property
+    def sound(self) -> DataFrame:
+        """The raw rows without a broken rule; a row with one stops the run unless ``strict`` is off."""
+        problems = self._problems()
+        what = F.concat(F.lit("malformed study row "), F.col("nct_id"), F.lit(": "), F.array_join(problems, ", "))
+        stop = F.raise_error(what).cast("boolean") if self.strict else F.lit(False)
+        return self.raw.filter(F.when(F.size(problems) > 0, stop).otherwise(True))
 
     @cached_property
     def studies(self) -> DataFrame:
@@ -106,8 +143,8 @@ class TrialStudy:
         def day(name: str) -> Column:
             return F.substring(F.trim(name), 1, 10).try_cast("date")
 
-        return (
-            self.raw.filter(
+        typed = (
+            self.sound.filter(
                 (F.lower(F.trim("study_type")) == "interventional") & (F.lower(F.trim("completion_type")) == "actual")
             )
             .select(
@@ -123,9 +160,14 @@ class TrialStudy:
                 parse_flag(F.col("fda_drug")).alias("is_fda_regulated_drug"),
                 parse_flag(F.col("fda_device")).alias("is_fda_regulated_device"),
             )
-            .filter(F.col("completion") <= F.col("snapshot"))
-            .withColumn("age", F.datediff("snapshot", "completion"))
         )
+        return typed.filter(F.col("completion") <= F.col("snapshot")).withColumn("age", F.datediff("snapshot", "completion"))
+
+    def require_unique(self) -> None:
+        """Raise when a snapshot has two rows of one study; reads a few of them."""
+        repeated = self.repeated_studies().orderBy("snapshot", "nct_id").limit(3).collect()
+        if repeated:
+            raise ValueError(f"repeated studies: {[(str(r['snapshot']), r['nct_id'], r['n']) for r in repeated]}")
 
     @cached_property
     def at_origins(self) -> DataFrame:
@@ -161,12 +203,20 @@ class TrialStudy:
 
     @cached_property
     def relations(self) -> DataFrame:
-        """(origin, entity_type, nct_id, name) of target and known trials, distinct normalised names."""
-        names = self.raw_relations.select(
-            "entity_type", "nct_id", normalize_name(F.col("name")).alias("name")
-        ).filter("name is not null").distinct()
-        retained = self.known.select("origin", "nct_id").unionByName(self.cohort.select("origin", "nct_id"))
-        return names.join(retained.distinct(), "nct_id").select("origin", "entity_type", "nct_id", "name").transform(cut)
+        """(origin, entity_type, nct_id, name) of target and known trials, distinct normalised names of the origin's versions.
+
+        The role of a sponsor record says whether it names a sponsor or a collaborator; any other role stops the run.
+        """
+        role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
+        what = F.concat(F.lit("unknown sponsor relation "), role, F.lit(" of "), F.col("nct_id"))
+        by_role = F.when(role.contains("lead"), "sponsor").when(role.contains("collabor"), "collaborator").otherwise(F.raise_error(what))
+        kind = F.when(F.col("source") == "sponsors", by_role)
+        for source, name in RELATION_SOURCES.items():
+            kind = kind.when(F.col("source") == source, F.lit(name))
+        retained = self.known.select("origin", "nct_id").unionByName(self.cohort.select("origin", "nct_id")).distinct()
+        records = self.raw_relations.select("source", "role", "nct_id", "valid_from", "valid_to", normalize_name(F.col("name")).alias("name"))
+        seen = records.filter("name is not null").join(retained, "nct_id").filter(_readable())
+        return seen.select("origin", kind.alias("entity_type"), "nct_id", "name").distinct().transform(cut)
 
     def entity_history(self) -> DataFrame:
         """(origin, entity_type, name, trials, timely) over known trials."""
@@ -276,23 +326,25 @@ class TrialStudy:
 
     # ------------------------------------------------------------ features
 
+    def _design_values(self) -> DataFrame:
+        """(origin, nct_id, field, v): the distinct non-blank values that the origin's versions give for a target."""
+        fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(f).alias("v")) for f in DESIGN]))
+        targets = self.cohort.select("origin", "nct_id")
+        rows = self.raw_designs.join(targets, "nct_id").filter(_readable()).select("origin", "nct_id", fields.alias("x"))
+        return rows.select("origin", "nct_id", "x.*").filter("v <> ''").distinct()
+
     def designs(self) -> DataFrame:
-        fields = ("allocation", "intervention_model", "masking", "primary_purpose", "time_perspective")
-        filled = [F.max(F.when(F.trim(f) != "", F.trim(f))).alias(f) for f in fields]
-        return self.raw_designs.groupBy("nct_id").agg(*filled)
+        """(origin, nct_id, design fields) of the targets; two values of a field stop the run."""
+        what = F.concat(F.lit("conflicting design of "), F.col("nct_id"))
+        one = lambda f: F.when(F.count(F.when(F.col("field") == f, 1)) > 1, F.raise_error(what)).otherwise(F.max(F.when(F.col("field") == f, F.col("v"))))
+        return self._design_values().groupBy("origin", "nct_id").agg(*[one(f).alias(f) for f in DESIGN])
 
     def design_conflicts(self) -> DataFrame:
-        """(nct_id, field): more than one non-blank value."""
-        fields = ("allocation", "intervention_model", "masking", "primary_purpose", "time_perspective")
-        tall = self.raw_designs.select(
-            "nct_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(f).alias("v")) for f in fields])).alias("x")
-        ).select("nct_id", "x.*")
-        return tall.filter("v <> ''").groupBy("nct_id", "field").agg(F.countDistinct("v").alias("values")).filter(
-            F.col("values") > 1
-        )
+        """(origin, nct_id, field, values): more than one non-blank value among an origin's versions."""
+        return self._design_values().groupBy("origin", "nct_id", "field").agg(F.count("*").alias("values")).filter(F.col("values") > 1)
 
     def local_features(self) -> DataFrame:
-        return self.cohort.join(self.designs(), "nct_id", "left").select(
+        return self.cohort.join(self.designs(), ["origin", "nct_id"], "left").select(
             "origin",
             "nct_id",
             *CATEGORICAL,

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators.encode import fit_encoder
+from tideline.operators.encode import fit_encoder, moments
 from tideline.operators.metrics import average_precision
-from tideline.plans.trials import COHORT, HISTORY, TrialStudy
+from tideline.plans.trials import CATEGORICAL, COHORT, ENTITY_TYPES, HISTORY, NUMERIC, TrialStudy
 from tideline.queries.prescriber import rounded
 from tideline.sources import bindings
 
@@ -24,8 +24,23 @@ def t_studies(spark, root):
     return _study(spark, root).at_origins.select("origin", "nct_id", "completion", "result", "enrollment", F.col("age").cast("long").alias("age"))
 
 
+def _flawed(spark, root) -> TrialStudy:
+    s = TrialStudy.bound(spark, root)
+    return TrialStudy(bindings.flawed_trial_studies(spark, root), s.raw_designs, s.raw_relations, s.snapshots, strict=False)
+
+
 def t_quarantine(spark, root):
-    return _study(spark, root).quarantine().groupBy("problem").agg(F.count("*").alias("n"))
+    """Broken values and repeated ids of flawed study rows."""
+    s = _flawed(spark, root)
+    repeated = s.repeated_studies().select(F.lit("repeated_id").alias("problem"), "nct_id")
+    return s.quarantine().select("problem", "nct_id").unionByName(repeated).groupBy("problem").agg(
+        F.count("*").alias("n"), F.countDistinct("nct_id").alias("studies")
+    )
+
+
+def t_flawed_studies(spark, root):
+    """What stays of the flawed rows when broken ones are left out."""
+    return _flawed(spark, root).studies.select("nct_id", "completion", "result", "enrollment", "number_of_arms", "is_fda_regulated_drug", F.col("age").cast("long").alias("age"))
 
 
 def t_eligible(spark, root):
@@ -37,19 +52,10 @@ def t_cohort(spark, root):
 
 
 def t_design_conflicts(spark, root):
-    """Conflicts among design rows; the part rows play several design records of one trial."""
+    """Conflicts among the amended design rows that can be read at each origin."""
     s = _study(spark, root)
-    part = bindings.table(spark, root, "part")
-    doubled = part.select(
-        F.concat(F.lit("NCT"), F.lpad((F.col("p_partkey") % 100).cast("string"), 8, "0")).alias("nct_id"),
-        F.col("p_brand").alias("allocation"),
-        F.lit("same").alias("intervention_model"),
-        F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_type")).alias("masking"),
-        F.lit("").alias("primary_purpose"),
-        (F.col("p_partkey") % 100).cast("string").alias("time_perspective"),
-    )
-    s.raw_designs = doubled
-    return s.design_conflicts()
+    amended = TrialStudy(s.raw, bindings.amended_trial_designs(spark, root), s.raw_relations, s.snapshots)
+    return amended.design_conflicts()
 
 
 def t_relations(spark, root):
@@ -85,16 +91,18 @@ def t_local_features(spark, root):
 
 def t_examples(spark, root):
     s = _study(spark, root)
-    return rounded(s.examples.select("origin", "nct_id", "label", *[f"sponsor_{h}" for h in HISTORY], *[f"facility_{h}" for h in HISTORY]))
+    return rounded(s.examples.select("origin", "nct_id", "label", *[f"{e}_{h}" for e in ENTITY_TYPES for h in HISTORY]))
 
 
 def t_encode(spark, root):
-    """Encoded held-out rows under the encoder fitted on the earlier origins."""
+    """All encoded entries (categories, z-scores, missing flags) of held-out rows under the encoder of the earlier origins."""
     s = _study(spark, root)
-    train = s.examples.filter(F.col("origin") < F.lit(bindings.TRIAL_VALIDATION).cast("date"))
-    test = s.examples.filter(F.col("origin") == F.lit(bindings.TRIAL_VALIDATION).cast("date"))
-    encoder = fit_encoder(train, ["phase"], ["enrollment", "number_of_groups", "completion_lag_days"])
-    return rounded(test.select("nct_id", *[c.alias(n) for c, n in zip(encoder.columns(), encoder.names)]))
+    at = F.lit(bindings.TRIAL_VALIDATION).cast("date")
+    rows = s.examples.select("origin", "nct_id", *CATEGORICAL, *NUMERIC)
+    train = rows.filter(F.col("origin") < at)
+    encoder = fit_encoder(train, CATEGORICAL, NUMERIC)
+    encoded = encoder.encode(rows.filter(F.col("origin") == at), ["nct_id"], [])
+    return rounded(encoder.table(encoded, ["nct_id"], moments(train, NUMERIC)))
 
 
 def _history_scores(spark, root):
