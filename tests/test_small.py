@@ -333,16 +333,33 @@ def test_prescriber_candidates_positives_and_gap(spark):
     assert [(r["npi"], r["drug"]["generic"]) for r in positives.collect()] == [("1000000001", "C")]
     ranked = study.ranked_positives(study.heuristic_scores(history), positives, ["global_popularity", "specialty_popularity"])
     assert {r["method"]: r["rank"] for r in ranked.collect()} == {"global_popularity": 2, "specialty_popularity": 2}
+    sparse = study.heuristic_ranks(history, positives, ["global_popularity", "specialty_popularity"])
+    assert {r["method"]: r["rank"] for r in sparse.collect()} == {"global_popularity": 2, "specialty_popularity": 2}
     audit = {r["year"]: r for r in study.annual_audit().collect()}
     assert audit[2023]["recurrent_after_gap"] == 1 and audit[2022]["globally_new_drugs"] == 1
 
 
+def test_ranks_without_the_grid_equal_ranks_on_it(spark):
+    rng = random.Random(8)
+    rows = [
+        (y, f"10000000{p:02d}", f"b{d}", f"g{d % 9}", 11 + rng.randint(0, 40), 1.0, rng.choice(["X", "Y", ""]), "CA")
+        for y in (2021, 2022, 2023) for p in range(18) for d in sorted(rng.sample(range(14), rng.randint(1, 7)))
+    ]
+    study = _prescriber(spark, rows)
+    for kind in ("generic", "variant"):
+        history = study.before(kind, [2022, 2023])
+        positives = study.positives(kind, history, [2022, 2023])
+        methods = ["global_popularity", "specialty_popularity", "history_overlap"]
+        grid = study.ranked_positives(study.heuristic_scores(history), positives, methods)
+        sparse = study.heuristic_ranks(history, positives, methods)
+        assert sorted(map(str, grid.collect())) == sorted(map(str, sparse.collect())) and positives.count() > 20
+
+
 def test_prescriber_future_rows_do_not_leak(spark):
     def ranks(rows):
         study = _prescriber(spark, rows)
         history = study.before("generic", [2022])
-        scored = study.heuristic_scores(history)
-        got = study.ranked_positives(scored, study.positives("generic", history, [2022]), ["history_overlap", "specialty_popularity"])
+        got = study.heuristic_ranks(history, study.positives("generic", history, [2022]), ["history_overlap", "specialty_popularity"])
         return sorted(map(str, got.collect()))
 
     changed = [r for r in PRESCRIBER_ROWS if r[0] < 2023] + [(2023, "1000000003", "Z", "Z", 99, 9.0, "Q", "NY")]

@@ -13,6 +13,10 @@ from pyspark.sql import Column, functions as F
 SENTINEL_CODES = ("*", "NA", "NI", "UNK")
 # Severity letters that count as serious.
 SERIOUS_CODES = ("G", "H", "I", "J", "K", "L")
+# The survey type of a standard inspection, and what a citation of one says.
+STANDARD_SURVEY = "Health Standard"
+HEALTH_CITATION = "Health"
+STANDARD_DEFICIENCY = "Y"
 # Ownership roles left out of the current-owner records.
 EXCLUDED_CURRENT_ROLES = (
     "W-2 MANAGING EMPLOYEE",
@@ -192,3 +196,13 @@ def cost_error(text: Column) -> Column:
     value = trimmed.try_cast("double")
     bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")) | (value < 0)
     return (trimmed != "") & bad
+
+
+def is_standard_survey(survey_type: Column) -> Column:
+    return F.trim(F.coalesce(survey_type, F.lit(""))) == STANDARD_SURVEY
+
+
+def is_serious_citation(survey_type: Column, standard: Column, severity: Column) -> Column:
+    """A standard deficiency of a health survey with a serious severity letter."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    return (blank(survey_type) == HEALTH_CITATION) & (blank(standard) == STANDARD_DEFICIENCY) & blank(severity).isin(*SERIOUS_CODES)

@@ -17,9 +17,9 @@ def full_ranks(scored: DataFrame, within: list[str], score: str, support: str, i
 
 
 def catalogue_positions(catalogue: DataFrame) -> DataFrame:
-    """(period, item, support, place): place 1 is the most supported item of the period."""
-    keyed = catalogue.withColumn("_neg", -F.col("support"))
-    return running_totals(keyed, ["period"], ["_neg", "item"], {"place": F.lit(1)}).drop("_neg")
+    """(period, item, support, place): place 1 is the most supported item of the period; ``second``, if given, breaks ties."""
+    keyed = catalogue.withColumn("_neg", -F.col("support")).withColumn("_second", -F.col("second") if "second" in catalogue.columns else F.lit(0))
+    return running_totals(keyed, ["period"], ["_neg", "_second", "item"], {"place": F.lit(1)}).drop("_neg", "_second")
 
 
 def sparse_ranks(
@@ -54,18 +54,12 @@ def sparse_ranks(
     placed = flat.join(catalogue_positions(catalogue), ["period", "item"])
     group = W.partitionBy("period", "entity")
     before = group.orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    by_score = group.orderBy(F.desc("scored"), F.desc("score"), F.asc("place"))
     used = F.coalesce(F.sum(F.greatest("held", "scored")).over(before), F.lit(0))
-    ranked = placed.select(
-        *key,
-        "score",
-        "support",
-        "wanted",
-        F.when(F.col("scored") == 1, F.row_number().over(by_score))
-        .otherwise(F.sum("scored").over(group) + F.col("place") - used)
-        .cast("long")
-        .alias("rank"),
-    )
+    rank = F.col("place") - used
+    if scores is not None:
+        by_score = group.orderBy(F.desc("scored"), F.desc("score"), F.asc("place"))
+        rank = F.when(F.col("scored") == 1, F.row_number().over(by_score)).otherwise(F.sum("scored").over(group) + rank)
+    ranked = placed.select(*key, "score", "support", "wanted", rank.cast("long").alias("rank"))
     return ranked.filter("wanted = 1").drop("wanted")
 
 

@@ -78,6 +78,10 @@ def _dot_products(table: DataFrame, pairs: dict[str, tuple[Column, Column]]) ->
     return {r["q"]: {n: r[n] for n in pairs} for r in rows}
 
 
+def _norms(table: DataFrame) -> dict:
+    return {q: s["n"] ** 0.5 for q, s in _dot_products(table, {"n": (F.col("x"), F.col("x"))}).items()}
+
+
 def _less(x: Column, steps: dict, found: Column, k: int) -> Column:
     return F.zip_with(x, found[k], lambda a, b: a - _of_q({q: s[f"c{k}"] for q, s in steps.items()}) * b)
 
@@ -106,22 +110,23 @@ def fit_spectral(history: DataFrame, rank: int = RANK, iterations: int = ITERATI
         start = lambda k: F.sin((place(k) + 1) * F.lit((component + 1) * 0.731)) + F.lit(0.1) / (place(k) + component + 1)  # noqa: B023, E731
         known = F.zip_with(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), start), F.col("w"), lambda x, w: F.when(w > 0, x).otherwise(0.0))
         now = base.filter(F.col("q").isin(*live)).withColumn("x", known).transform(cut)
-        norms: dict = {}
-        for step in range(iterations + 1):
-            norms = {q: s["n"] ** 0.5 for q, s in _dot_products(now, {"n": (F.col("x"), F.col("x"))}).items()}
-            if step == iterations:
-                break
+        norms = _norms(now)
+        for _ in range(iterations):
             # Fixed value: shorter vectors count as zero.
             scale = _of_q({q: 0.0 if n <= 1e-12 else 1.0 / n for q, n in norms.items()})
             unit = now.select("q", "ib", F.zip_with("x", "w", lambda x, w: x * w * scale).alias("x"))  # noqa: B023
-            y = _product(cells, unit, block).join(base, ["q", "ib"]).withColumn("x", F.zip_with("y", "w", lambda y, w: y * w)).drop("y").transform(cut)
-            if component:
-                steps = _dot_products(y, {f"c{k}": (F.col("x"), F.col("found")[k]) for k in range(component)})
-                left = F.col("x")
-                for k in range(component):
-                    left = _less(left, steps, F.col("found"), k)
-                y = y.withColumn("x", left)
-            now = y
+            now = _product(cells, unit, block).join(base, ["q", "ib"]).withColumn("x", F.zip_with("y", "w", lambda y, w: y * w)).drop("y").transform(cut)
+            shares = {f"c{k}": (F.col("x"), F.col("found")[k]) for k in range(component)}
+            steps = _dot_products(now, {**shares, "n": (F.col("x"), F.col("x"))})
+            left = F.col("x")
+            for k in range(component):
+                left = _less(left, steps, F.col("found"), k)
+            now = now.withColumn("x", left)
+            # the found vectors are orthonormal, so the length that is left follows; if little is left, it is measured
+            squares = {q: (s["n"], s["n"] - sum(s[f"c{k}"] ** 2 for k in range(component))) for q, s in steps.items()}
+            little = any(rest < 1e-6 * whole for whole, rest in squares.values())
+            norms = _norms(now) if little else {q: rest**0.5 for q, (_, rest) in squares.items()}
+        norms = _norms(now)
         scale = _of_q({q: 0.0 if n <= 1e-12 else 1.0 / n for q, n in norms.items()})
         vector = now.select("q", "ib", F.transform("x", lambda x: x * scale).alias("v")).transform(cut)  # noqa: B023
         seen = vector.filter(F.exists("v", lambda x: F.abs(x) > 1e-9)).select("q").distinct().collect()

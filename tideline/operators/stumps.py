@@ -35,14 +35,12 @@ def thresholds(rows: DataFrame, features: list[str], period: str, cutoffs: list[
     eight numbers per feature and cutoff.
     """
     limits = F.array(*[F.lit(int(c)) for c in cutoffs])
-    tall = rows.withColumn("_c", F.explode(F.filter(limits, lambda c: c > F.col(period)))).select(
-        "_c",
-        F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("f", "v"),
-    )
-    counts = tall.groupBy("_c", "f", "v").agg(F.count("*").alias("n"))
-    sizes = rows.withColumn("_c", F.explode(F.filter(limits, lambda c: c > F.col(period)))).groupBy("_c").agg(
-        F.count("*").alias("size")
-    )
+    later = F.explode(F.filter(limits, lambda c: c > F.col(period)))
+    # rows fold to value counts by period before they are dealt to the cutoffs
+    tall = rows.select(period, F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("f", "v"))
+    folded = tall.groupBy(period, "f", "v").agg(F.count("*").alias("n"))
+    counts = folded.withColumn("_c", later).groupBy("_c", "f", "v").agg(F.sum("n").alias("n"))
+    sizes = rows.groupBy(period).agg(F.count("*").alias("n")).withColumn("_c", later).groupBy("_c").agg(F.sum("n").alias("size"))
     walked = running_totals(counts, ["_c", "f"], ["v"], {"upto": F.col("n")}).join(F.broadcast(sizes), "_c")
     places = F.transform(
         F.sequence(F.lit(1), F.lit(SPLITS)), lambda s: F.floor(s * (F.col("size") - 1) / F.lit(SPLITS + 1))

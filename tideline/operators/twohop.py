@@ -145,7 +145,7 @@ def two_hop_scores(
     rows = left.unionByName(pairs.join(peers, ["period", "tj"]).select("period", "ti", "tj", "sets"))
     tiles = heads.select("period", "tile").distinct().count()
     dealt = rows.repartition(max(1, min(4 * tiles, 1 << 13)), "period", "ti").sortWithinPartitions("period", "ti", "tj")
-    types = dict(incidence.dtypes)
+    types = dict(incidence.dtypes)  # an item may be of any ordered type: only its dense id travels
     found = dealt.select("period", "tj", "sets").mapInArrow(_products(kind, items), f"period {types['period']}, no long, id long, score double")
     scores = found.join(members, ["period", "no"]).join(ids, "id").select("period", "entity", "item", "score")
     if wanted is not None:

@@ -41,7 +41,7 @@ b{side} AS (SELECT r, sum(CASE WHEN label=1 THEN h/i END)/nullif(sum(label),0) A
    (sum(CASE WHEN label=1 THEN ar END)-sum(label)*(sum(label)+1)/2.0::DOUBLE)/nullif(CAST(sum(label) AS DOUBLE)*(count(*)-sum(label)),0) AS auc FROM v{side} GROUP BY r)"""
 
 
-FAMILY = "CASE method WHEN 'global_popularity' THEN 'local_popularity' WHEN 'prevalence' THEN 'local_popularity' WHEN 'facility_history' THEN 'local_history' ELSE 'relational_heuristic' END"
+FAMILY = "CASE method WHEN 'global_popularity' THEN 'local_popularity' WHEN 'prevalence' THEN 'local_popularity' WHEN 'prior_serious_rate' THEN 'local_history' ELSE 'relational_heuristic' END"
 
 
 def _unify(relation: str, task: str, scope: str, source: str, cells: dict[str, tuple[str, str]]) -> str:
@@ -57,7 +57,7 @@ def _unified() -> str:
     dev = "dv AS (" + (D.BASE + D.ASOF + D.NEAR + D.SUPPORT + D.RANKS).strip() + f" SELECT method, {pool} FROM ent WHERE q>=8000 AND history_support>=1 GROUP BY method)"
     fac = "fv AS (" + (
         C.BASE + C.PREV
-        + "sc AS (SELECT ccn, day, label, 'prevalence' AS method, score FROM pv WHERE year>=2000 UNION ALL SELECT ccn, day, label, 'facility_history', prior_serious_rate FROM pv WHERE year>=2000),"
+        + "sc AS (SELECT ccn, day, label, 'prevalence' AS method, score FROM pv WHERE year>=2000 UNION ALL SELECT ccn, day, label, 'prior_serious_rate', prior_serious_rate FROM pv WHERE year>=2000),"
         + metrics_sql("sc", "method", "day, ccn")
     ).strip() + " SELECT * FROM mt)"
     pre = "xv AS (" + (P.base("generic", "2001") + P.OVERLAP + P.ranks(P.M2) + ", e AS (" + P.entity("method, target, npi") + ")").strip() + f" SELECT method, {P.POOL.replace('round(', '(').replace(',6)', ')')} FROM e GROUP BY method)"
@@ -100,7 +100,7 @@ ORACLES = {
     "unified_metrics": _unified() + " SELECT * EXCLUDE (value), round(value,6) AS value FROM un",
     "family_value": _unified()
     + """, p AS (SELECT * FROM un WHERE (task='maude' AND metric='recall_at_10') OR (task='cms_nursing' AND metric='roc_auc') OR (task='partd_prescriber_drug' AND metric='micro_recall_at_10')),
-      l AS (SELECT task, method, value FROM p WHERE method IN ('global_popularity','facility_history') AND value IS NOT NULL),
+      l AS (SELECT task, method, value FROM p WHERE method IN ('global_popularity','prior_serious_rate') AND value IS NOT NULL),
       h AS (SELECT task, method, value FROM p WHERE method_family='relational_heuristic' AND value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task ORDER BY value DESC, method DESC)=1)
       SELECT t.task, l.method AS local_method, h.method AS relational_heuristic_method, CAST(NULL AS VARCHAR) AS learned_tabular_method, CAST(NULL AS VARCHAR) AS learned_relational_method,
       round(h.value-l.value,6) AS heuristic_minus_local, CAST(NULL AS DOUBLE) AS tabular_minus_local, CAST(NULL AS DOUBLE) AS relational_minus_local, CAST(NULL AS DOUBLE) AS heuristic_minus_tabular,

@@ -43,6 +43,13 @@ near AS (SELECT n.q, n.product, h.problem, count(*) AS neighbor_count
          ANTI JOIN hist x ON x.q=n.q AND x.product=n.product AND x.problem=h.problem
          GROUP BY ALL),
 """
+# Only the eligible rows are counted, and each pair of neighbours is made once.
+NEAR_ELIGIBLE = """
+nb AS MATERIALIZED (SELECT DISTINCT a.q, a.product, b.product AS peer
+       FROM hist a JOIN heads USING (q, product) JOIN hist b ON a.q=b.q AND a.problem=b.problem AND a.product<>b.product),
+near AS MATERIALIZED (SELECT e.q, e.product, e.problem, count(*) AS neighbor_count FROM elig e JOIN evq USING (q)
+         JOIN hist h ON h.q=e.q AND h.problem=e.problem AND h.product<>e.product JOIN nb n ON n.q=e.q AND n.product=e.product AND n.peer=h.product GROUP BY ALL),
+"""
 PROBLEM_STATE = """
 pr AS (SELECT q, problem, sum(n_reports) AS problem_reports FROM allq JOIN eq ON quarter<q GROUP BY ALL),
 pv AS (SELECT q, problem, count(*) AS prevalence FROM allq JOIN ef ON f0<q GROUP BY ALL),
@@ -156,8 +163,8 @@ ORACLES = {
     + f"""r AS (SELECT *, row_number() OVER (PARTITION BY q, product ORDER BY prevalence DESC, problem) AS rank FROM cand)
       SELECT {lab('q')} AS quarter, product, problem, prevalence, rank FROM r JOIN elig USING (q, product, problem)""",
     "m_neighbor_frequency": BASE + ASOF + NEAR + f"z AS (SELECT 1) SELECT {lab('q')} AS quarter, product, problem, neighbor_count FROM near",
-    "m_features": BASE + ASOF + NEAR + PROBLEM_STATE + MAKERS + SUPPORT
-    + f"""rr AS (SELECT q, product, sum(n_reports) AS recent_reports FROM allq JOIN pq ON quarter<q AND quarter>=q-4 GROUP BY ALL)
+    "m_features": BASE + ASOF + NEAR_ELIGIBLE + PROBLEM_STATE.replace("pstate AS (", "pstate AS MATERIALIZED (") + MAKERS.replace("ma AS (", "ma AS MATERIALIZED (") + SUPPORT.replace("sup AS (", "sup AS MATERIALIZED (")
+    + f"""rr AS MATERIALIZED (SELECT q, product, sum(n_reports) AS recent_reports FROM allq JOIN pq ON quarter<q AND quarter>=q-4 GROUP BY ALL)
       SELECT {lab('q')} AS quarter, product, problem,
       round(ln(1+coalesce(history_support,0)),6) AS product_log_prior_reports, round(ln(1+problem_reports),6) AS problem_log_prior_reports,
       round(ln(1+prevalence),6) AS problem_log_product_prevalence, round(ln(1+coalesce(neighbor_count,0)),6) AS neighbor_log_product_count,

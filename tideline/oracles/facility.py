@@ -78,6 +78,11 @@ ORACLES = {
       UNION ALL SELECT 'serious', count(*), count(DISTINCT ccn) FROM ins WHERE serious=1""",
     "json_records": "SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS ccn FROM orders",
     "c_episodes": BASE + END + "SELECT ccn, day, CAST(serious AS BIGINT) AS serious FROM ins",
+    "c_survey_episodes": """WITH s AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS ccn, CAST(o_orderdate AS DATE) AS day FROM orders
+        WHERE o_orderstatus<>'P' AND o_orderkey%3<>0 AND o_orderkey%37<>0 AND o_orderkey%41<>0),
+      c AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS ccn, CAST(o_orderdate AS DATE) AS day FROM orders JOIN lineitem ON l_orderkey=o_orderkey
+        WHERE l_linenumber%3<>0 AND l_returnflag='N' AND CAST(l_quantity AS INTEGER)%12>=6)
+      SELECT s.ccn, s.day, CAST(c.ccn IS NOT NULL AS BIGINT) AS serious FROM s LEFT JOIN c USING (ccn, day)""",
     "date_parse": """SELECT CASE WHEN l_linenumber IN (4,5,6) THEN NULL ELSE CAST(l_shipdate AS DATE) END AS parsed, count(*) AS n FROM lineitem GROUP BY 1""",
     "owner_token": """SELECT s_suppkey, regexp_replace(upper((CASE WHEN s_suppkey%2=0 THEN 'Individual' ELSE 'Organization' END)||'|'||s_name),'[^A-Z0-9]+','','g') AS token FROM supplier""",
     "normalize_entity": "SELECT lower(p_name||' '||p_type) AS name, count(*) AS n FROM part GROUP BY 1",

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tideline.functions.scalar import log1p, owner_token, ratio, strip_owner_kind
+from tideline.functions.scalar import flexible_date, is_serious_citation, is_standard_survey, log1p, owner_token, ratio, strip_owner_kind
 from tideline.operators.peers import STATS, peer_statistics
 from tideline.session import cut
 from tideline.sources import bindings
@@ -67,6 +67,19 @@ def owner_projection(attachments: DataFrame) -> DataFrame:
     return left.join(right, ["owner", "a", "b"]).filter("entity <> peer").select("entity", "peer").distinct()
 
 
+def standard_episodes(surveys: DataFrame, citations: DataFrame) -> DataFrame:
+    """(ccn, day, serious) of standard inspections: raw survey and citation rows, dates as text.
+
+    A row without a facility or a readable date is no episode; a serious citation counts for the inspection of its day.
+    """
+    day = flexible_date(F.col("date"))
+    known = (F.coalesce(F.trim("ccn"), F.lit("")) != "") & day.isNotNull()
+    held = surveys.filter(is_standard_survey(F.col("survey_type")) & known).select(F.trim("ccn").alias("ccn"), day.alias("day")).distinct()
+    serious = is_serious_citation(F.col("survey_type"), F.col("standard"), F.col("severity"))
+    cited = citations.filter(serious & known).select(F.trim("ccn").alias("ccn"), day.alias("day")).distinct().withColumn("serious", F.lit(1).cast("long"))
+    return held.join(cited, ["ccn", "day"], "left").fillna(0, ["serious"])
+
+
 @dataclass
 class FacilityStudy:
     """Inputs: inspections (ccn, day, serious), providers, owner records and change-of-ownership filings."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from tideline.functions.ordering import running_totals
 from tideline.functions.scalar import claim_band, claims_error, cost_error, log1p, normalize_name, npi_error, ratio, stable_hex
 from tideline.operators.candidates import candidate_grid
-from tideline.operators.ranking import CUTOFFS, entity_metrics, full_ranks, pooled_metrics
+from tideline.operators.ranking import CUTOFFS, entity_metrics, full_ranks, pooled_metrics, sparse_ranks
 from tideline.operators.temporal import first_seen
 from tideline.operators.twohop import two_hop_scores
 from tideline.session import cut
@@ -232,20 +232,10 @@ class PrescriberStudy:
         return candidate_grid(heads, items, self.holdings(history), "target", "npi", "drug")
 
     def overlap_scores(self, history: DataFrame) -> DataFrame:
-        """(target, npi, drug, overlap): Jaccard sums over peers holding the drug.
-
-        """
-        drug_type = dict(history.dtypes)["drug"]
-        packed = self.holdings(history).select(
-            F.col("target").alias("period"),
-            F.col("npi").alias("entity"),
-            F.to_json("drug").alias("item"),
-        )
-        return two_hop_scores(packed, kind="jaccard").select(
-            F.col("period").alias("target"),
-            F.col("entity").alias("npi"),
-            F.from_json("item", drug_type).alias("drug"),
-            F.round("score", 12).alias("overlap"),
+        """(target, npi, drug, overlap): Jaccard sums over peers holding the drug."""
+        held = self.holdings(history).select(F.col("target").alias("period"), F.col("npi").alias("entity"), F.col("drug").alias("item"))
+        return two_hop_scores(held, kind="jaccard").select(
+            F.col("period").alias("target"), F.col("entity").alias("npi"), F.col("item").alias("drug"), F.round("score", 12).alias("overlap")
         )
 
     def heuristic_scores(self, history: DataFrame) -> DataFrame:
@@ -334,6 +324,41 @@ class PrescriberStudy:
             "method", "target", "npi", "drug", "claims", F.col("rank").cast("long").alias("rank")
         )
 
+    def heuristic_ranks(self, history: DataFrame, positives: DataFrame, methods: list[str]) -> DataFrame:
+        """(method, target, npi, drug, claims, rank) without the candidate grid.
+
+        Every heuristic orders all candidates by a catalogue, one for each target year, or one for each year and
+        specialty; only the overlap has scores of its own.  A positive's rank is its place less what the provider
+        already holds before it.
+        """
+        names = {"npi": "entity", "drug": "item"}
+        support = self.drug_state(history).select("target", F.col("drug").alias("item"), "support")
+        held = self.holdings(history).withColumnsRenamed(names).select("target", "entity", "item")
+        wanted = positives.withColumnsRenamed(names).select("target", "entity", "item")
+        out = None
+        for method in methods:
+            if method == "specialty_popularity":
+                own = self.latest_specialty(history).select("target", F.col("npi").alias("entity"), "latest_specialty").transform(cut)
+                period = F.to_json(F.struct("target", "latest_specialty"))
+                kinds = own.join(wanted, ["target", "entity"], "left_semi").select("target", "latest_specialty").distinct()
+                known = self.specialty_support(history).select("target", "latest_specialty", F.col("drug").alias("item"), "specialty_support")
+                catalogue = kinds.join(support.withColumnRenamed("support", "second"), "target").join(known, ["target", "latest_specialty", "item"], "left")
+                score = F.when(F.col("latest_specialty").isNull(), F.col("second")).otherwise(F.coalesce("specialty_support", F.lit(0)))
+                catalogue = catalogue.select(period.alias("period"), "item", score.alias("support"), "second")
+                place = lambda rows: rows.join(own, ["target", "entity"]).select(period.alias("period"), "target", "entity", "item")  # noqa: B023, E731
+                ranks = sparse_ranks(place(wanted).drop("target"), place(held).drop("target"), catalogue)
+                ranks = ranks.withColumn("target", F.get_json_object("period", "$.target").cast("long"))
+            else:
+                at_target = lambda rows: rows.withColumnRenamed("target", "period")
+                scores = None
+                if method == "history_overlap":
+                    overlap = self.overlap_scores(history)
+                    scores = overlap.select(F.col("target").alias("period"), F.col("npi").alias("entity"), F.col("drug").alias("item"), F.col("overlap").alias("score")).filter("score > 0")
+                ranks = sparse_ranks(at_target(wanted), at_target(held), at_target(support), scores).withColumnRenamed("period", "target")
+            rows = ranks.select(F.lit(method).alias("method"), "target", F.col("entity").alias("npi"), F.col("item").alias("drug"), "rank")
+            out = rows if out is None else out.unionByName(rows)
+        return out.join(positives, ["target", "npi", "drug"]).select("method", "target", "npi", "drug", "claims", "rank")
+
     def top_recommendations(self, scored: DataFrame, methods: list[str], k: int = CUTOFFS[-1]) -> DataFrame:
         """(method, target, npi, drug, score, rank) of the best ``k`` candidates."""
         tall = scored.select(

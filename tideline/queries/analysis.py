@@ -106,7 +106,7 @@ def _device_table(spark, root):
 def _facility_table(spark, root):
     rows = FacilityStudy.bound(spark, root).prevalence_predictions().filter("year >= 2000")
     both = rows.select("ccn", "day", "label", F.lit("prevalence").alias("method"), "score").unionByName(
-        rows.select("ccn", "day", "label", F.lit("facility_history").alias("method"), F.col("prior_serious_rate").alias("score"))
+        rows.select("ccn", "day", "label", F.lit("prior_serious_rate").alias("method"), F.col("prior_serious_rate").alias("score"))
     )
     wide = M.classification_metrics(both, ["method"], "label", "score", ["day", "ccn"])
     names = {m: "all retained target inspection rows" for m in ("roc_auc", "average_precision", "top_decile_precision", "top_decile_recall", "brier")}
@@ -134,7 +134,7 @@ def unified_metrics(spark, root):
 def family_value(spark, root):
     primary = {
         "maude": ("recall_at_10", "global_popularity"),
-        "cms_nursing": ("roc_auc", "facility_history"),
+        "cms_nursing": ("roc_auc", "prior_serious_rate"),
         "partd_prescriber_drug": ("micro_recall_at_10", None),
     }
     return rounded(A.family_values(_unified(spark, root), primary))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scalar import SERIOUS_CODES, flexible_date, normalize_name, owner_token, stable_hex, stable_modulo60
 from tideline.operators.metrics import classification_metrics
-from tideline.plans.facility import BASE_FEATURES, GRAPH_FEATURES, FacilityStudy, neighbor_mean
+from tideline.plans.facility import BASE_FEATURES, GRAPH_FEATURES, FacilityStudy, neighbor_mean, standard_episodes
 from tideline.queries.prescriber import rounded
 from tideline.sources import bindings, records
 
@@ -59,6 +59,20 @@ def c_episodes(spark, root):
     return rows.groupBy("ccn", "day").agg(F.max(F.col("severity").isin(*SERIOUS_CODES).cast("long")).alias("serious"))
 
 
+def c_survey_episodes(spark, root):
+    """Standard inspections and their serious citations from raw survey and citation rows."""
+    orders = bindings.table(spark, root, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("ccn"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("date"), "o_orderstatus")
+    kind = F.when(F.col("o_orderstatus") == "P", "Fire Safety").when(F.col("o_orderkey") % 3 == 0, "Health Complaint").otherwise(" Health Standard ")
+    date = F.when(F.col("o_orderkey") % 41 == 0, "soon").otherwise(F.col("date"))
+    surveys = orders.select(F.when(F.col("o_orderkey") % 37 == 0, " ").otherwise(F.col("ccn")).alias("ccn"), date.alias("date"), kind.alias("survey_type"))
+    lines = bindings.table(spark, root, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    citations = lines.select(
+        "ccn", "date", F.when(F.col("l_linenumber") % 3 == 0, "Fire Safety").otherwise("Health").alias("survey_type"),
+        F.when(F.col("l_returnflag") == "N", "Y").otherwise("N").alias("standard"), F.substring(F.lit("ABCDEFGHIJKL"), (F.col("l_quantity") % 12).cast("int") + 1, F.lit(1)).alias("severity"),
+    )
+    return standard_episodes(surveys, citations)
+
+
 def date_parse(spark, root):
     """Association dates rendered in several text forms and parsed back."""
     days = bindings.table(spark, root, "lineitem").select(F.to_date("l_shipdate").alias("d"), "l_linenumber")

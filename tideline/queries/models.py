@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions.ordering import dense_index
 from tideline.functions.scalar import history_band, quarter_label, support_band
@@ -14,6 +15,7 @@ from tideline.plans import analysis as A
 from tideline.plans import stability
 from tideline.plans.registry import load_task
 from tideline.plans.trials import TrialStudy
+from tideline.queries.device import gate_decision
 from tideline.queries.prescriber import rounded
 from tideline.session import cut
 from tideline.sources import bindings, manifest
@@ -63,6 +65,17 @@ def m_rolling(spark, root):
     return rounded(metrics.withColumn("quarter", quarter_label(F.col("q"))).drop("q"))
 
 
+def m_gate_learned(spark, root):
+    """The gate with the learned rankers in their role: test quarters of each against the better baseline."""
+    task = load_task("device", spark, root)
+    w = task.study.window
+    entities = task.entities().filter(F.col("q") >= w.test).transform(cut)
+    by_q = task.study.threshold_metrics(entities, ["method", "q"]).filter("slice = '>=1'")
+    low = task.study.threshold_metrics(entities, ["method"]).filter("slice = '1-9'")
+    recall = F.col("micro_recall_at_10").alias("recall")
+    return rounded(gate_decision(by_q.select("method", "q", recall), low.select("method", recall), list(task.methods[2:]), len([q for q in w.evaluation if q >= w.test])))
+
+
 def m_analysis(spark, root):
     """Intervals of the message model against neighbour frequency, and within-product AUC against the averaged embeddings."""
     task = load_task("device", spark, root)
@@ -184,6 +197,36 @@ def manifest_drift(spark, root):
     return manifest.drift(expected.unionByName(absent), listed).select("name", "problem")
 
 
+#: Columns that the manifest of a table covers.
+COVERED = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+}
+
+
+def _described(tables) -> DataFrame:
+    return reduce(DataFrame.unionByName, [manifest.describe_rows(df, name, COVERED[name]) for name, df in tables.items()])
+
+
+def source_manifest(spark, root):
+    """Rows and checksum of every source table."""
+    return _described({name: bindings.table(spark, root, name) for name in COVERED})
+
+
+def manifest_check(spark, root):
+    """Tables against a manifest that was recorded before one lost rows, one changed values and one was added."""
+    tables = {name: bindings.table(spark, root, name) for name in COVERED}
+    recorded = _described({name: df for name, df in tables.items() if name != "nation"})
+    changed = F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus"))
+    now = {**tables, "lineitem": tables["lineitem"].filter("l_linenumber < 7"), "orders": tables["orders"].withColumn("o_orderstatus", changed)}
+    return manifest.row_drift(recorded, _described(now))
+
+
 def first_seen_stream(spark, root):
     return stream.run_first_seen(spark, root)
 
@@ -191,8 +234,8 @@ def first_seen_stream(spark, root):
 QUERIES = {
     f.__name__: f
     for f in (
-        m_logistic, m_stumps, m_spectral, m_bpr, m_graphsage, m_rolling, m_analysis, m_support_slices, c_logistic, c_expanding,
+        m_logistic, m_stumps, m_spectral, m_bpr, m_graphsage, m_rolling, m_gate_learned, m_analysis, m_support_slices, c_logistic, c_expanding,
         c_analysis, c_history_slices, p_logistic, p_graph_bpr, p_model_metrics, p_model_load, t_logistic, t_stability,
-        t_stability_intervals, t_gate, registry_predictions, init_embedding, manifest_drift, first_seen_stream,
+        t_stability_intervals, t_gate, registry_predictions, init_embedding, manifest_drift, source_manifest, manifest_check, first_seen_stream,
     )
 }

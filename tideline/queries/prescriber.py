@@ -142,9 +142,7 @@ def p_history_overlap(spark, root):
 
 def _ranked(s: PrescriberStudy, kind: str, targets: list[int], methods: list[str]):
     history = s.before(kind, targets)
-    scored = s.heuristic_scores(history)
-    positives = s.positives(kind, history, targets)
-    return s.ranked_positives(scored, positives, methods)
+    return s.heuristic_ranks(history, s.positives(kind, history, targets), methods)
 
 
 def p_rank_specialty(spark, root):

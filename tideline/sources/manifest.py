@@ -63,3 +63,22 @@ def require_sound(entries: list[dict]) -> None:
             raise ValueError(f"manifest path must stay inside the root: {e['path']!r}")
         if len(e["sha256"]) != 64 or set(e["sha256"].lower()) - set("0123456789abcdef"):
             raise ValueError(f"manifest hash is malformed for {e['path']!r}")
+
+
+def describe_rows(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """(name, rows, checksum) of a table: the sum of a 60-bit hash of every row, whatever their order."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    mark = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    total = F.coalesce(F.sum(mark), F.lit(0)).cast("decimal(38,0)").cast("string")
+    return rows.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), total.alias("checksum"))
+
+
+def row_drift(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, problem) of the tables that are missing, unlisted, or differ in rows or in content."""
+    e = expected.select("name", F.col("rows").alias("er"), F.col("checksum").alias("ec"))
+    f = found.select("name", F.col("rows").alias("fr"), F.col("checksum").alias("fc"))
+    problem = (
+        F.when(F.col("fr").isNull(), "missing").when(F.col("er").isNull(), "unlisted")
+        .when(F.col("er") != F.col("fr"), "rows").when(F.col("ec") != F.col("fc"), "content")
+    )
+    return e.join(f, "name", "full_outer").select("name", problem.alias("problem")).filter("problem is not null")
