@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import sys
+import time
 import zlib
 from fractions import Fraction
 from pathlib import Path
@@ -244,3 +246,81 @@ def test_schedules_are_checked():
 @pytest.mark.parametrize("name", ["op11_de_bruijn_collocations", "op12_contracted_prefix_trie", "op13_curriculum_mix"])
 def test_queries_equal_sql(spark, root, name):
     assert difference(queries.QUERIES[name](spark, root).toPandas(), oracle_frame(queries.ORACLES[name], root)) is None
+
+
+# ------------------------------------------------------- earlier operators recomputed plainly
+
+
+def test_quality_posteriors_equal_plain_recomputation(spark, root):
+    """Site rates and posteriors of all documents from their evidence, by loops over plain dictionaries."""
+    from tideline.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judged(docs.select("doc_id", "text", "source", "lang"), labels).select("source", "lang", "evidence", "site_rate", "quality", "accepted").collect()
+    total, hosts, paths = len(rows), collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        hosts[r["source"]].append(r["evidence"])
+        paths[r["source"], r["lang"]].append(r["evidence"])
+    mean = (sum(r["evidence"] for r in rows) + 0.5) / (total + 1)
+    rate = {h: sum(x) / len(x) for h, x in hosts.items()}
+
+    def strength(spread, sites):
+        variance = mean * (1 - mean)
+        return max(1.0, variance / max(spread / total - variance * sites / total, variance / quality.MAX_STRENGTH) - 1)
+
+    strong = strength(sum(len(x) * (rate[h] - mean) ** 2 for h, x in hosts.items()), len(hosts))
+    within = strength(sum(len(x) * (sum(x) / len(x) - rate[h]) ** 2 for (h, _), x in paths.items()), len(paths))
+    for r in rows:
+        own, here = hosts[r["source"]], paths[r["source"], r["lang"]]
+        host = (sum(own) + strong * mean) / (len(own) + strong)
+        site = (sum(here) + within * host) / (len(here) + within)
+        assert r["site_rate"] == pytest.approx(site)
+        if r["evidence"] > 0:
+            odds = lambda p: math.log(p / (1 - p))
+            shift = max(-quality.MAX_SHIFT, min(quality.MAX_SHIFT, odds(site) - odds(mean)))
+            assert r["quality"] == pytest.approx(1 / (1 + math.exp(-(odds(r["evidence"]) + shift))))
+        assert r["accepted"] == (r["quality"] >= 0.5)
+
+
+def test_lm_scores_follow_the_quantised_counts(spark, root):
+    """The model's score against exact quantised counts; the filter may overrate a few unseen grams."""
+    from tideline.llm import ngram_lm
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text").collect()]
+    words = lambda t: [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\x0b", " ").split(" ")]
+    split = lambda t: re.findall(r"[^ \t-\r]+", " ".join(words(t)))
+    one, two, texts = collections.Counter(), collections.Counter(), 0
+    for doc, text in rows:
+        if zlib.crc32(str(doc).encode()) % 5 != 1:
+            tokens = split(text) + [None]
+            one.update(tokens)
+            two.update(zip([0, *tokens], tokens))
+            texts += 1
+    n, v = sum(one.values()), len(one)
+    quantised = lambda c: 0 if c == 0 else 1 if c == 1 else 1.5 * 2 ** (c.bit_length() - 1)
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op6_bloom_lm"](spark, root).collect()}
+    off = []
+    for doc, text in rows:
+        tokens, score, before, last = split(text) + [None], 0.0, texts, 0
+        for t in tokens:
+            own, pair = quantised(one[t]), quantised(two[last, t])
+            p = (own + 0.5) / (n + 0.5 * (v + 1))
+            score += math.log10((min(pair, before) + ngram_lm.MU * p) / (before + ngram_lm.MU))
+            before, last = own, t
+        off.append(abs(got[doc] - score) / abs(score))
+    off.sort()
+    assert off[len(off) // 2] < 0.01 and off[int(0.95 * len(off))] < 0.1  # one overrated gram weighs much in a text of a few words
+
+
+def test_secrets_of_a_long_dump_are_linear_enough(spark):
+    """A text of a megabyte with 50,000 secrets: right places, right redaction, in seconds."""
+    from tideline.llm import secrets
+
+    text = "é" + "".join(f"{k:016x} \u65e5" for k in range(50_000)) + " password=" + "a" * 16 + " end"
+    df = spark.createDataFrame([(1, text), (2, "AKIA" + "Z" * 16 + " token: abcdefghijkl AKIA" + "Y" * 20)], "doc_id long, text string")
+    start = time.time()
+    found = {r["doc_id"]: r["secret_spans"] for r in secrets.with_spans(df).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert time.time() - start < 60
+    assert [(s["start"], s["end"]) for s in found[1][:3]] == [(1, 17), (19, 35), (37, 53)] and len(found[1]) == 50_002
+    assert masked[1] == "é" + "[SECRET] \u65e5" * 50_000 + " [SECRET] end" and masked[2] == "[SECRET] [SECRET] [SECRET]"

@@ -2,10 +2,14 @@
 
 From each rule's regular expression a Boolean trigram query is derived: a conjunction of clauses, each a disjunction
 of trigram sets of which one must occur in any text that matches. Postings (trigram, document) are built for the
-trigrams that the queries mention and are intersected by counting, so that a document is a candidate of a rule if each
-clause has an alternative with all its trigrams. Candidates are verified with the expression itself. Rules without a
+trigrams that the queries mention and joined with the table of the queries (rule, clause, alternative, trigram). The
+postings of an alternative are intersected by uniting a bit for each of its trigrams: a document is a candidate of a rule
+if each clause has an alternative with all bits. Candidates are verified with the expression itself. Rules without a
 mandatory trigram (a clause can't be derived, as for runs of hexadecimal digits) scan all texts fully.
 
+Places come from running sums over the lengths of the matches and of the texts between them, taken block by block, so
+that a text of many matches costs little more than it has matches.
+
 Trigrams are taken from the lower-cased text, so case never loses a candidate. Spans are counted in code points, end
 exclusive; a rule's matches are leftmost and don't overlap, and a match that fails the rule's length is dropped.
 
@@ -145,67 +149,82 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str, text: str) -> DataFrame:
-    """(key, kinds): the rules that a document can match by its trigrams, from intersected postings."""
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    grams = sorted({g for q in queries.values() for clause in q for option in clause for g in option})
-    low = docs.select(key, F.lower(text).alias("low"))
-    present = low.select(key, F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(g)), F.lit(k)) for k, g in enumerate(grams)))).alias("grams"))
-    postings = present.select(key, F.explode_outer("grams").alias("gram")).where("gram IS NOT NULL")
+    """(key, kinds): bit k is set for a document that rule k can match by its trigrams, from intersected postings."""
+    queries = [(k, trigram_query(r.pattern)) for k, r in enumerate(rules)]
+    grams = sorted({g for _, q in queries for clause in q for option in clause for g in option})
     number = {g: k for k, g in enumerate(grams)}
-    lists = postings.groupBy(key).agg(F.collect_set("gram").alias("grams"))  # at most one entry for each trigram of the queries
+    terms = [
+        (number[g], k, c, o, 1 << at, (1 << len(option)) - 1, (1 << len(query)) - 1)
+        for k, query in queries for c, clause in enumerate(query) for o, option in enumerate(clause) for at, g in enumerate(option)
+    ]
+    schema = "gram int, rule int, clause int, option int, bit long, whole long, clauses long"
+    index = F.broadcast(docs.sparkSession.createDataFrame(terms, schema))  # a row for each trigram of each alternative of the rules
+    low = docs.select(F.col(key).alias("_key_"), F.lower(text).alias("low"))
+    present = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(g)), F.lit(k)) for k, g in enumerate(grams))))
+    postings = low.select("_key_", F.explode(present).alias("gram"))
+    hits = postings.join(index, "gram").select("_key_", "rule", "clause", "option", "whole", "clauses", "bit").repartition("_key_")
+    options = hits.groupBy("_key_", "rule", "clause", "option", "whole", "clauses").agg(F.bit_or("bit").alias("bits")).where("bits = whole")
+    held = options.groupBy("_key_", "rule", "clauses").agg(F.bit_or(F.expr("shiftleft(1L, clause)")).alias("bits")).where("bits = clauses")
+    return held.groupBy("_key_").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("_kinds_"))
 
-    def holds(clause: list[list[str]]) -> Column:
-        options = [F.size(F.array_intersect("grams", F.array(*(F.lit(number[g]) for g in option)))) == len(option) for option in clause]
-        return F.expr("false") if not options else _any(options)
 
-    kinds = [F.when(_all([holds(c) for c in q]), F.lit(kind)) for kind, q in queries.items() if q]
-    return lists.select(key, F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once; inside a lambda any other expression is computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _any(options: list[Column]) -> Column:
-    out = options[0]
-    for x in options[1:]:
-        out = out | x
-    return out
+def running(values: Column, start: Column, step) -> Column:
+    """What `step` makes of the values before each place, and before the end: one longer than `values`.
 
+    Two levels: the blocks are about as long as they are many, so n values cost n ** 1.5 steps; appending to a list would copy
+    it each time and cost n ** 2.
+    """
+
+    def placed(v: Column, block: Column) -> Column:
+        folded = lambda at, n, first: F.aggregate(F.slice(v, at, n), first, step)
+        blocks = F.sequence(F.lit(0), F.floor(F.size(v) / block).cast("int"))
+        sums = F.transform(blocks, lambda b: folded(b * block + 1, block, start))
+        heads = let(sums, lambda own: F.transform(F.sequence(F.lit(0), F.size(own) - 1), lambda b: F.aggregate(F.slice(own, F.lit(1), b), start, step)))
+        inside = lambda i: F.pmod(i, block)
+        at = lambda i, h: folded(i - inside(i) + 1, inside(i), F.get(h, F.floor(i / block).cast("int")))
+        return let(heads, lambda h: F.transform(F.sequence(F.lit(0), F.size(v)), lambda i: at(i, h)))
+
+    root = lambda v: F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+    return let(values, lambda v: let(root(v), lambda block: placed(v, block)))
 
-def _all(options: list[Column]) -> Column:
-    out = options[0]
-    for x in options[1:]:
-        out = out & x
-    return out
+
+SPAN = "array<struct<start:int,kind_order:int,end:int,kind:string,length:int,from_byte:int,to_byte:int>>"
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """The rule's spans in a text: the lengths of the matches and of the texts between them add up to the places."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    between = F.split(text, rule.pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.value)) if rule.value else found
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string,length:int>>").alias("out"))
-    rows = F.arrays_zip(F.transform(found, lambda x: F.length(x)).alias("n"), F.transform(between, lambda x: F.length(x)).alias("gap"), F.transform(values, lambda x: F.length(x)).alias("value"))
-
-    def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + row["gap"]
-        end = begin + row["n"]
+
+    def place(row: Column) -> Column:
+        begin, first = row["at"] + F.length(row["gap"]), row["byte"] + F.octet_length(row["gap"])
         return F.struct(
-            F.coalesce(end, acc["at"]).alias("at"),
-            F.when(row["n"].isNull(), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct(begin.alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(rule.kind).alias("kind"), row["value"].alias("length")))))
-            .alias("out"),
-        )
+            begin.alias("start"), F.lit(order).alias("kind_order"), (begin + F.length(row["m"])).alias("end"), F.lit(rule.kind).alias("kind"), F.length(row["v"]).alias("length"),
+            first.alias("from_byte"), (first + F.octet_length(row["m"])).alias("to_byte"),
+        )
+
+    def placed(found: Column, between: Column) -> Column:
+        values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.value)) if rule.value else found
+        sizes = lambda measure: F.zip_with(between, found, lambda gap, n: measure(gap) + F.coalesce(measure(n), F.lit(0)))
+        char_at, byte_at = (running(sizes(m), F.lit(0), lambda a, x: a + x) for m in (F.length, F.octet_length))
+        rows = F.arrays_zip(found.alias("m"), values.alias("v"), between.alias("gap"), char_at.alias("at"), byte_at.alias("byte"))
+        return F.transform(F.filter(rows, lambda row: row["m"].isNotNull() & (F.length(row["v"]) >= rule.least)), place)
 
-    placed = F.aggregate(rows, start, step, lambda acc: acc["out"])
-    return F.filter(placed, lambda x: x["length"] >= rule.least)
+    return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda found: let(F.split(text, rule.pattern, -1), lambda between: placed(found, between)))
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with secret_spans: array of (start, kind_order, end, kind, length), by start and then rule order."""
+    """`docs` with secret_spans: array of (start, kind_order, end, kind, length, from_byte, to_byte), by start and then rule order."""
     base = docs.drop("secret_spans")
-    kinds = candidates(base.select(key, text), rules, key, text).withColumnsRenamed({key: "_key_", "kinds": "_kinds_"})
+    kinds = candidates(base.select(key, text), rules, key, text)
     joined = base.join(kinds, base[key].eqNullSafe(kinds["_key_"]), "left").drop("_key_")
-    none = F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string,length:int>>")
+    none = F.array().cast(SPAN)
+    chosen = lambda k: F.coalesce(F.col("_kinds_").bitwiseAND(F.lit(1 << k)) != 0, F.lit(False))
     parts = [
-        F.when(F.array_contains("_kinds_", r.kind) if trigram_query(r.pattern) else F.rlike(F.col(text), F.lit(r.pattern)), spans(F.col(text), r, k)).otherwise(none)
+        F.when(chosen(k) if trigram_query(r.pattern) else F.rlike(F.col(text), F.lit(r.pattern)), spans(F.col(text), r, k)).otherwise(none)
         for k, r in enumerate(_plain(rules))
     ]
     own = F.array_sort(F.concat(*(F.coalesce(p, none) for p in parts)))
@@ -227,13 +246,16 @@ def joined_spans(column: Column, kinds: set[str] | None = None) -> Column:
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every span of its text replaced by `mark` (overlapping spans by one); a null text stays null."""
     found = with_spans(docs, rules, key, text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, span: Column) -> Column:
-        fresh = span["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, span["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), piece.alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", start, step, rest)).otherwise(F.col(text))
+    ends = F.transform("secret_spans", lambda x: x["to_byte"])
+    covered = running(ends, F.lit(0), lambda a, x: F.greatest(a, x))  # how far the spans before each one reach
+    rows = F.filter(F.arrays_zip(F.col("secret_spans").alias("span"), covered.alias("upto")), lambda x: x["span"].isNull() | (x["span"]["from_byte"] >= x["upto"]))
+    raw = F.col(text).cast("binary")
+
+    def piece(data: Column, row: Column) -> Column:
+        """The text between two spans and the mark; after the last span only the rest of the text."""
+        begin, stop = row["upto"], F.coalesce(row["span"]["from_byte"], F.octet_length(data))
+        own = F.substring(data, begin + 1, stop - begin).cast("string")
+        return F.when(row["span"].isNull(), own).otherwise(F.concat(own, F.lit(mark)))
+
+    clean = F.when(F.size("secret_spans") > 0, F.array_join(let(raw, lambda data: F.transform(rows, lambda row: piece(data, row))), "")).otherwise(F.col(text))
     return found.withColumn(text, clean).drop("secret_spans")
