@@ -1,16 +1,17 @@
 """Phrase collocation mining on a weighted de Bruijn graph.
 
-Edges are the longest grams (LONGEST words) with their counts, nodes the grams one word shorter at both ends of an edge.
-A shorter gram is counted by flow: its occurrences are those of the grams one word longer that begin with it, plus those
-at a piece's end, which nothing follows. So only the edges and the last grams of the pieces are counted in the texts, and
+Edges are the longest grams (`longest` words) with their counts, nodes the grams one word shorter at both ends of an
+edge. A shorter gram is counted by flow: its occurrences are those of the grams one word longer that begin with it, plus
+those that nothing follows, which are counted as ends. So every place of a text adds one gram only, the longest that
+starts there, and
 
-    f(x) = sum of f(x w) over all w + ends(x),   from LONGEST - 1 words down to one.
+    f(x) = sum of f(x w) over all w + ends(x),   from longest - 1 words down to one.
 
-Pieces are first cut between two words whose pair occurs fewer than `least` times, since no candidate spans such a
-pair. The rare pairs are found by 64-bit hashes: counted in each task, packed by bucket, summed, and the frequent ones
-put in a Bloom filter of at most FILTER_BYTES. A collision or a false positive only leaves a cut out, so all counts of
-candidates and of their parts stay exact. Words that occur fewer than `least` times are left out of the one-word ends in
-the same way.
+Pieces end at marks, and a gram also ends early (a correction like that of a piece's end) where the next longer one is
+too rare to be a candidate. The rare ones are found by 64-bit hashes, words and pairs first, then longer grams where all
+pairs are frequent: counted in each task, packed by bucket, summed, and the frequent ones put in a Bloom filter of at
+most FILTER_BYTES. A collision or a false positive only makes a gram longer than it need be, so all counts of candidates
+and of their parts stay exact.
 
 Unary paths (edges joined by nodes that have one edge in, one out, and no end) are compacted to one row of words and
 weight; pointers along the paths double their reach in each join. A node inside a path occurs exactly as often as the
@@ -62,10 +63,16 @@ def hashed(words: list[bytes], salt: int) -> tuple[np.ndarray, np.ndarray]:
     one = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     stop = np.fromiter((w == b"\n" for w in words), bool, len(words))
     one = scramble(one ^ np.uint64(salt), 1)
-    pair = scramble(one[:-1] ^ scramble(one[1:], 3), 5)
-    pair[stop[:-1] | stop[1:]] = _END
     one[stop] = _END
-    return one, pair
+    return one, extended(one, one)
+
+
+def extended(grams: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """A hash of each gram with the word after it; 0 where there is none or the gram itself is 0."""
+    width = len(one) - len(grams) + 1
+    out = scramble(grams[: len(one) - width] ^ scramble(one[width:], 3), 5)
+    out[(grams[: len(one) - width] == _END) | (one[width:] == _END)] = _END
+    return out
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -83,32 +90,44 @@ def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
                     yield lang, words
 
 
-def gram_hashes(docs: DataFrame, buckets: int) -> DataFrame:
-    """(part, keys, counts, lang, n): packed partial counts of hashed words (part below `buckets`) and pairs; the words of each lang (part -1)."""
+def gram_hashes(docs: DataFrame, buckets: int, longest: int, linked: np.ndarray | None = None) -> DataFrame:
+    """(part, keys, counts, lang, n): packed partial counts of hashed grams, and the words of each lang (part -1).
+
+    Words and pairs; or, with the filter of the frequent ones, grams of three to `longest` words of frequent pairs.
+    """
+    sent = None if linked is None else docs.sparkSession.sparkContext.broadcast(linked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
+        often = None if sent is None else Bloom(8 * len(sent.value), sent.value)
+        held: dict[int, list[np.ndarray]] = {}
         size, totals = 0, {}
         names = ["part", "keys", "counts", "lang", "n"]
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for order, blocks in enumerate(held):
-                if blocks:
-                    keys, counts = np.unique(np.concatenate(blocks), return_counts=True)
-                    keys, counts = keys[keys != _END], counts[keys != _END]
-                    edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-                    rows = [(order * buckets + b, packed(keys[x:y]), counts[x:y].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), None, None) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                    blocks.clear()
+            for order, blocks in held.items():
+                keys, counts = np.unique(np.concatenate(blocks), return_counts=True)
+                edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+                rows = [(order * buckets + b, packed(keys[x:y]), counts[x:y].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), None, None) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            held.clear()
 
         for lang, words in by_lang(batches):
             one, pair = hashed(words, xxh3_64_intdigest(lang))
-            totals[lang] = totals.get(lang, 0) + int(np.count_nonzero(one != _END))
-            held[0].append(one)
-            held[1].append(pair)
-            size += len(words)
+            if often is None:
+                grams = [one[one != _END], pair[pair != _END]]
+                totals[lang] = totals.get(lang, 0) + len(grams[0])
+            else:
+                pair[~often.holds(pair)] = _END
+                grams, now = [], pair
+                for n in range(3, longest + 1):
+                    now = extended(now, one)
+                    now[pair[n - 2 :] == _END] = _END  # the pair at the gram's end is frequent too
+                    grams.append(now[now != _END])
+            for k, x in enumerate(grams):
+                held.setdefault(k, []).append(x)
+                size += len(x)
             if size > FLUSH:
                 yield from flush()
                 size = 0
@@ -120,8 +139,8 @@ def gram_hashes(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, keys binary, counts binary, lang string, n long")
 
 
-def frequent(partial: DataFrame, least: int, buckets: int) -> DataFrame:
-    """(single, keys): the hashes of each bucket that occur `least` times or more."""
+def frequent(partial: DataFrame, least: int) -> DataFrame:
+    """(n, keys): how many hashes of each bucket occur `least` times or more, and which."""
 
     def merge(group: pa.Table) -> pa.Table:
         keys = np.concatenate([unpacked(x.as_py()) for x in group.column("keys")])
@@ -130,9 +149,9 @@ def frequent(partial: DataFrame, least: int, buckets: int) -> DataFrame:
         keys, counts = keys[order], counts[order].astype(np.int64)
         head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         often = keys[head][np.add.reduceat(counts, head) >= least]
-        return pa.table({"single": pa.array([group.column("part")[0].as_py() < buckets]), "n": pa.array([len(often)], pa.int64()), "keys": pa.array([often.tobytes()], pa.binary())})
+        return pa.table({"n": pa.array([len(often)], pa.int64()), "keys": pa.array([often.tobytes()], pa.binary())})
 
-    return partial.where("part >= 0").groupBy("part").applyInArrow(merge, "single boolean, n long, keys binary")
+    return partial.where("part >= 0").groupBy("part").applyInArrow(merge, "n long, keys binary")
 
 
 class Bloom:
@@ -163,9 +182,9 @@ class Bloom:
         return out
 
 
-def bloom_of(hashes: DataFrame, single: bool, n: int) -> np.ndarray:
-    """The filter of all hashes of one kind: each task fills its own, the partial filters are united slice by slice."""
-    bits = Bloom.size_for(n)
+def bloom_of(hashes: DataFrame) -> np.ndarray:
+    """The filter of all hashes: each task fills its own, the partial filters are united slice by slice."""
+    bits = Bloom.size_for(int(hashes.agg(F.sum("n")).first()[0] or 0))
     step = 1 << 16
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,54 +201,63 @@ def bloom_of(hashes: DataFrame, single: bool, n: int) -> np.ndarray:
         rows = [np.frombuffer(x.as_py(), np.uint8) for x in group.column("bits")]
         return pa.table({"at": group.column("at").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
 
-    parts = hashes.where(F.col("single") == single).select("keys").mapInArrow(fill, "at long, bits binary")
+    parts = hashes.select("keys").mapInArrow(fill, "at long, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     for row in parts.groupBy("at").applyInArrow(unite, "at long, bits binary").toLocalIterator():  # at most FILTER_BYTES in all
         out[row["at"] : row["at"] + step] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
-def counted_grams(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
-    """(lang, n, phrase, c): counts of the longest grams (n = longest) and of the last grams of each piece (n below)."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
+def counted_grams(docs: DataFrame, known: np.ndarray, longest: int, buckets: int) -> DataFrame:
+    """(lang, n, phrase, c): how often each gram is the longest one at its place.
+
+    A task hands on its counts by bucket, packed, since all tasks meet the same frequent grams; a bucket is merged in one
+    group, and there are as many as the corpus asks for.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, linked = (Bloom(8 * len(x), x) for x in sent.value)
-        held: dict[tuple[str, int], dict[bytes, int]] = {}
+        often = Bloom(8 * len(sent.value), sent.value)
+        held: dict[bytes, dict[bytes, int]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, n), counts in held.items():
-                if counts:
-                    size = len(counts)
-                    phrases = pa.array(list(counts), pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array(np.full(size, n, np.int32)), phrases, pa.array(list(counts.values()), pa.int64())], names=["lang", "n", "phrase", "c"])
+            keys = [lang + x for lang, counts in held.items() for x in counts]
+            if keys:
+                counts = np.fromiter((c for x in held.values() for c in x.values()), np.int64, len(keys))
+                part = (np.fromiter(map(xxh3_64_intdigest, keys), np.uint64, len(keys)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) > 0]))
+                lists = pa.array(np.append(starts, len(keys)).astype(np.int32))
+                grams = pa.array(keys, pa.binary()).take(pa.array(order))
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][starts].astype(np.int32)), pa.ListArray.from_arrays(lists, grams), pa.ListArray.from_arrays(lists, pa.array(counts[order]))], names=["part", "keys", "counts"])
             held.clear()
 
-        for lang, texts in by_lang(batches):
-            one, pair = hashed(texts, xxh3_64_intdigest(lang))
-            link = linked.holds(pair)
-            # how many words follow each in its piece
-            stop = np.flatnonzero(~np.concatenate([link, [False]]))
-            after = stop[np.searchsorted(stop, np.arange(len(texts)))] - np.arange(len(texts))
-            head = np.ones(len(texts), bool)
-            head[1:] = ~link
-            grams: list[tuple[int, Iterator[bytes]]] = []
-            starts = np.flatnonzero(after >= longest - 1).tolist()
-            grams.append((longest, (b" ".join(texts[i : i + longest]) for i in starts)))
-            length = stop - np.flatnonzero(head) + 1
-            for n in range(2, longest):
-                grams.append((n, (b" ".join(texts[i - n + 1 : i + 1]) for i in stop[length >= n].tolist())))
-            grams.append((1, (texts[i] for i in stop[often.holds(one[stop])].tolist())))
-            for n, found in grams:
-                counts = held.setdefault((lang, n), {})
-                for x in found:
+        for lang, words in by_lang(batches):
+            one, now = hashed(words, xxh3_64_intdigest(lang))
+            length = often.holds(one).astype(np.int64)
+            for n in range(2, longest + 1):
+                now[~often.holds(now)] = _END
+                length[: len(now)][now != _END] = n
+                now = extended(now, one)
+            counts = held.setdefault(lang.encode() + b"\n", {})
+            for n in range(1, longest + 1):
+                at = np.flatnonzero(length == n).tolist()
+                for x in (words[i] for i in at) if n == 1 else (b" ".join(words[i : i + n]) for i in at):
                     counts[x] = counts.get(x, 0) + 1
             if sum(map(len, held.values())) > HELD:
                 yield from flush()
         yield from flush()
 
-    raw = docs.mapInArrow(run, "lang string, n int, phrase string, c long")
-    return raw.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c"))
+    def merge(group: pa.Table) -> pa.Table:
+        flat = pa.table({"key": pa.concat_arrays([x.values for x in group.column("keys")]), "c": pa.concat_arrays([x.values for x in group.column("counts")])})
+        found = flat.group_by("key").aggregate([("c", "sum")])
+        names = [x.rsplit(b"\n", 1) for x in found.column("key").to_pylist()]  # no word holds a line feed
+        phrases = pa.array([x for _, x in names], pa.binary()).cast(pa.string())
+        lengths = pa.array([x.count(b" ") + 1 for _, x in names], pa.int32())
+        return pa.table({"lang": pa.array([x for x, _ in names], pa.binary()).cast(pa.string()), "n": lengths, "phrase": phrases, "c": found.column("c_sum")})
+
+    packed_counts = docs.mapInArrow(run, "part int, keys array<binary>, counts array<long>")
+    return packed_counts.groupBy("part").applyInArrow(merge, "lang string, n int, phrase string, c long")
 
 
 def _first(phrase: str, n: int) -> Column:
@@ -332,20 +360,19 @@ def ranked(phrases: DataFrame, top: int) -> DataFrame:
 
 
 def graph(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The de Bruijn graph of the pieces that can hold phrases of `least` occurrences, all tables written.
+    """The de Bruijn graph of the grams that can occur `least` times, all tables written.
 
-    Unary paths (lang, words, weight, n_edges); last grams of the pieces (lang, n, phrase, c); the nodes inside the
+    Unary paths (lang, words, weight, n_edges); shorter grams that end at their place (lang, n, phrase, c); the nodes inside the
     paths (lang, phrase); the words of each lang (lang, n).
     """
     texts = texts_of(docs)
     size = texts.agg(F.sum(F.octet_length("data"))).first()[0]
     buckets = bucket_count(int(size or 0), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    partial = written(gram_hashes(texts, buckets))
+    partial = written(gram_hashes(texts, buckets, longest))
     totals = written(partial.where("part = -1").groupBy("lang").agg(F.sum("n").alias("n")))
-    hashes = written(frequent(partial, least, buckets))
-    found = {row["single"]: row["n"] for row in hashes.groupBy("single").agg(F.sum("n").alias("n")).collect()}
-    words, pairs = (bloom_of(hashes, single, int(found.get(single) or 0)) for single in (True, False))
-    grams = written(counted_grams(texts, words, pairs, longest))
+    short = written(frequent(partial, least))
+    long = written(frequent(gram_hashes(texts, buckets, longest, bloom_of(short)), least))
+    grams = written(counted_grams(texts, bloom_of(short.unionByName(long)), longest, buckets))
     paths = written(unary_paths(grams, longest))
     inside = paths.where("inside").select("lang", F.substring_index("edge", " ", 1 - longest).alias("phrase"))
     return written(compacted(paths)), grams.where(F.col("n") < longest), inside, totals
