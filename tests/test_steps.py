@@ -1,5 +1,8 @@
 """Steps that hold at every size: dealt once, no pairs in shuffles, places that filters do not move."""
 
+import duckdb
+
+from tideline import catalog
 from test_small import _device_study
 
 
@@ -25,3 +28,19 @@ def test_edges_are_dealt_to_more_tasks_as_their_number_grows(spark, monkeypatch)
 
     monkeypatch.setattr(session, "ROWS_PER_TASK", 2)
     assert session.dealt(spark.range(9), 9, "id").rdd.getNumPartitions() >= 5
+
+
+def test_source_row_is_the_place_in_the_file_not_among_the_cohort(spark, tmp_path):
+    """A prescriber first seen in the last year is in its file, but in no cohort; later rows keep their numbers."""
+    tables = {
+        "lineitem": "(1,1,5.0),(2,1,5.0),(3,1,5.0)) t(l_orderkey,l_partkey,l_extendedprice)",
+        "orders": "(1,2,DATE '1998-01-01'),(2,1,DATE '2001-02-01'),(3,2,DATE '2001-03-01')) t(o_orderkey,o_custkey,o_orderdate)",
+        "part": "(1,'B','T')) t(p_partkey,p_brand,p_type)",
+        "customer": "(1,1,'X'),(2,1,'X')) t(c_custkey,c_nationkey,c_mktsegment)",
+        "nation": "(1,'N')) t(n_nationkey,n_name)",
+    }
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        con.sql(f"create table {name} as select * from (values {rows}")
+    got = con.sql(catalog.oracles()["p_edge_export"]).df().sort_values("year")
+    assert got[["year", "source_row"]].values.tolist() == [[1998, 1], [2001, 2]]

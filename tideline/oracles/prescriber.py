@@ -97,10 +97,12 @@ def _identity() -> str:
 
 ORACLES = {
     "p_edges": base() + END + "SELECT * FROM edges",
-    "p_edge_export": base() + END
-    + """SELECT npi, brand AS brand_name, generic AS generic_name, year, claims, printf('%.2f', cost) AS cost, specialty, state,
+    # A source row is a row's place in its year's file, which holds every prescriber and not only the cohort's.
+    "p_edge_export": base()
+    + """placed AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY npi, brand, generic) AS source_row FROM prow)
+      SELECT npi, brand AS brand_name, generic AS generic_name, year, claims, printf('%.2f', cost) AS cost, specialty, state,
       make_date(year,1,1) AS valid_from, make_date(year+1,1,1) AS valid_to, 'bound' AS observed_at, 'year='||year AS source_path,
-      row_number() OVER (PARTITION BY year ORDER BY npi, brand, generic) AS source_row, sha256(npi||'|'||brand||'|'||generic) AS source_sha256, 'prescriber_drug_edge_v1' AS transformation FROM edges""",
+      source_row, sha256(npi||'|'||brand||'|'||generic) AS source_sha256, 'prescriber_drug_edge_v1' AS transformation FROM placed SEMI JOIN ucoh USING (npi)""",
     "p_edge_audit": base() + END
     + """SELECT CAST(1999 AS BIGINT) AS year, count(*) AS recorded, count(*)-1 AS found FROM prow WHERE year=1999
       UNION ALL SELECT CAST(2000 AS BIGINT), 0, count(*) FROM prow WHERE year=2000""",
