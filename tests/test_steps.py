@@ -1,8 +1,11 @@
 """Steps that hold at every size: dealt once, no pairs in shuffles, places that filters do not move."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tideline import catalog
+from tideline.operators.candidates import candidate_grid, candidate_lists, lowest_candidates
+from tideline.operators.ranking import catalogue_ranks
 from test_small import _device_study
 
 
@@ -44,3 +47,33 @@ def test_source_row_is_the_place_in_the_file_not_among_the_cohort(spark, tmp_pat
         con.sql(f"create table {name} as select * from (values {rows}")
     got = con.sql(catalog.oracles()["p_edge_export"]).df().sort_values("year")
     assert got[["year", "source_row"]].values.tolist() == [[1998, 1], [2001, 2]]
+
+
+def test_ranks_and_lowest_candidates_over_several_tiles_equal_the_grid(spark):
+    rows = [(p, f"e{e}", f"i{(e * 7 + k * k) % 150:03d}") for p in (1, 2) for e in range(6) for k in range(30 + p)]
+    history = spark.createDataFrame(sorted(set(rows)), "period int, entity string, item string").cache()
+    catalogue = history.groupBy("period", "item").agg(F.count("*").alias("support"))
+    heads = history.select("period", "entity").distinct().withColumn("k", F.lit(9))
+    held = {tuple(r) for r in history.collect()}
+    items = {}
+    for p, i, n in catalogue.collect():
+        items.setdefault(p, []).append((-n, i))
+    free = {(p, e): [i for _, i in sorted(items[p]) if (p, e, i) not in held] for p, e in {x[:2] for x in held}}
+    grid = candidate_grid(heads, catalogue, history, "period", "entity", "item", tile_items=70)
+    assert {(r["period"], r["entity"], r["item"]) for r in grid.collect()} == {(p, e, i) for (p, e), found in free.items() for i in found}
+    assert grid.count() == sum(map(len, free.values()))
+    ranks = catalogue_ranks(grid.select("period", "entity", "item"), history, catalogue, tile=70)
+    assert {(r["period"], r["entity"], r["item"]): r["rank"] for r in ranks.collect()} == {(p, e, i): k for (p, e), found in free.items() for k, i in enumerate(found, 1)}
+    lists = candidate_lists(heads, catalogue, history, "period", "entity", "item", tile_items=70)
+    low = lowest_candidates(lists, "period", "entity", "item", lambda i: F.reverse(i), F.col("k"))
+    want = {(p, e, i) for (p, e), found in free.items() for i in sorted(found, key=lambda i: (i[::-1], i))[:9]}
+    assert {(r["period"], r["entity"], r["item"]) for r in low.collect()} == want
+
+
+def test_the_grid_is_not_dealt_row_by_row(spark):
+    """No exchange lies above the generator that lists the candidates."""
+    history = spark.createDataFrame([(1, "a", "x"), (1, "b", "y")], "period int, entity string, item string")
+    heads = history.select("period", "entity").distinct()
+    grid = candidate_grid(heads, history.select("period", "item").distinct(), history, "period", "entity", "item")
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline" in plan and "Exchange" not in plan[: plan.index("Generate inline")]
