@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -72,6 +73,7 @@ def in_slices(work: Callable[[list, list], pa.RecordBatch], max_bytes: int) -> C
         for batch in batches:
             for part in slices(batch, batch.column(1), max_bytes):
                 yield work(part.column(0).to_pylist(), part.column(1).to_pylist())
+        returned()
 
     return run
 
@@ -85,12 +87,28 @@ def appended(docs: DataFrame, prepare: Callable[[], Callable[[list], list]], new
     names = [x.split()[0] for x in new.split(", ")]
     base = docs.drop(*names)
     schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(new).fields])
-    source = base.withColumn("_data_", F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    place = base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = prepare()
         for batch in batches:
-            for part in slices(batch, batch.column(batch.num_columns - 1), max_bytes):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(part.columns[-1].to_pylist())], names=[*part.schema.names[:-1], *names])
+            for part in slices(batch, batch.column(place), max_bytes):
+                yield pa.RecordBatch.from_arrays([*part.columns, *work(bytes_of(part.column(place)))], names=[*part.schema.names, *names])
+        del work
+        returned()
 
-    return source.mapInArrow(run, schema)
+    return base.mapInArrow(run, schema)
+
+
+def bytes_of(texts: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each text (null: empty); the column is read as it is, so no second copy travels."""
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+    return [x or b"" for x in texts.cast(kind).to_pylist()]
+
+
+def returned() -> None:
+    """Give freed memory back at the end of a task: the worker is kept, and what it holds counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from tideline.llm.common import appended, int_lists
 
 WIDTH = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE = 8
 #: The most benchmark words that are sent to the tasks.
 MAX_PHRASES = 20_000_000
