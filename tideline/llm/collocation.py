@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from xxhash import xxh3_64_intdigest
 
-from tideline.llm.common import LOWER, scramble, slices, written
+from tideline.llm.common import LOWER, freeing, freeing_groups, scramble, slices, written
 from tideline.llm.ngram_lm import bucket_count, bucket_of, packed, unpacked
 
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 FLUSH = 3_000_000
 #: Distinct phrases that a task holds before it hands them on.
 HELD = 200_000
@@ -136,7 +136,7 @@ def gram_hashes(docs: DataFrame, buckets: int, longest: int, linked: np.ndarray
             rows = [(-1, None, None, x, n) for x, n in totals.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return docs.mapInArrow(run, "part int, keys binary, counts binary, lang string, n long")
+    return docs.mapInArrow(freeing(run), "part int, keys binary, counts binary, lang string, n long")
 
 
 def frequent(partial: DataFrame, least: int) -> DataFrame:
@@ -151,7 +151,7 @@ def frequent(partial: DataFrame, least: int) -> DataFrame:
         often = keys[head][np.add.reduceat(counts, head) >= least]
         return pa.table({"n": pa.array([len(often)], pa.int64()), "keys": pa.array([often.tobytes()], pa.binary())})
 
-    return partial.where("part >= 0").groupBy("part").applyInArrow(merge, "n long, keys binary")
+    return partial.where("part >= 0").groupBy("part").applyInArrow(freeing_groups(merge), "n long, keys binary")
 
 
 class Bloom:
@@ -201,9 +201,9 @@ def bloom_of(hashes: DataFrame) -> np.ndarray:
         rows = [np.frombuffer(x.as_py(), np.uint8) for x in group.column("bits")]
         return pa.table({"at": group.column("at").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
 
-    parts = hashes.select("keys").mapInArrow(fill, "at long, bits binary")
+    parts = hashes.select("keys").mapInArrow(freeing(fill), "at long, bits binary")
     out = np.zeros(bits // 8, np.uint8)
-    for row in parts.groupBy("at").applyInArrow(unite, "at long, bits binary").toLocalIterator():  # at most FILTER_BYTES in all
+    for row in parts.groupBy("at").applyInArrow(freeing_groups(unite), "at long, bits binary").toLocalIterator():  # at most FILTER_BYTES in all
         out[row["at"] : row["at"] + step] = np.frombuffer(row["bits"], np.uint8)
     return out
 
@@ -256,8 +256,8 @@ def counted_grams(docs: DataFrame, known: np.ndarray, longest: int, buckets: int
         lengths = pa.array([x.count(b" ") + 1 for _, x in names], pa.int32())
         return pa.table({"lang": pa.array([x for x, _ in names], pa.binary()).cast(pa.string()), "n": lengths, "phrase": phrases, "c": found.column("c_sum")})
 
-    packed_counts = docs.mapInArrow(run, "part int, keys array<binary>, counts array<long>")
-    return packed_counts.groupBy("part").applyInArrow(merge, "lang string, n int, phrase string, c long")
+    packed_counts = docs.mapInArrow(freeing(run), "part int, keys array<binary>, counts array<long>")
+    return packed_counts.groupBy("part").applyInArrow(freeing_groups(merge), "lang string, n int, phrase string, c long")
 
 
 def _first(phrase: str, n: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +113,25 @@ def returned() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def freeing(task: Callable) -> Callable:
+    """A mapInArrow function that gives freed memory back when it has ended and its own data is gone."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        returned()
+
+    return run
+
+
+def freeing_groups(merge: Callable) -> Callable:
+    """An applyInArrow function that gives back what the group before it has left."""
+
+    @wraps(merge)
+    def run(group: pa.Table) -> pa.Table:
+        returned()
+        return merge(group)
+
+    return run
