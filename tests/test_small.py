@@ -648,3 +648,14 @@ def test_a_column_of_many_values_encodes(spark):
     unknown = [r["id"] for r in encoder.dictionary.filter(F.col("value") == encode.UNKNOWN).collect()]
     got = {r["id"]: (r["ids"], r["values"]) for r in rows.filter("id < 1").collect()}
     assert got[-1] == ([*unknown, 50_002], [1.0, 1.0]) and got[-2] == ([*unknown, 50_001], [1.0, 2.0]) and got[0][0][0] not in unknown
+
+
+def test_a_line_is_parsed_once_however_it_is_filtered(spark):
+    """A filter on the status must not take the parsing with it: each mention of a field would split the line again."""
+    lines = spark.createDataFrame([("a", "|".join(["7"] + ["x"] * 7 + ["2020/02/03"] + ["x"] * 2 + [" m "] + ["x"] * 16 + [" p "] + ["x"] * 5)), ("a", ""), ("a", "K1|x")], "file string, value string")
+    joined = lines.withColumn("value", F.concat_ws("|", F.col("value")))
+    valid = reports.classify_device_lines(joined, "2019Q1", "2025Q4").filter("status = 'valid'").select("key", "product", "manufacturer")
+    assert [tuple(r) for r in valid.collect()] == [(7, "p", "m")]
+    assert valid._jdf.queryExecution().optimizedPlan().toString().count("split(value") + valid._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") <= 2
+    codes = spark.createDataFrame([("5| c",), ("x|c",), ("",)], "value string").withColumn("value", F.concat_ws("|", F.col("value")))
+    assert [tuple(r) for r in reports.classify_problem_lines(codes).filter("status = 'valid'").select("key", "problem").collect()] == [(5, "c")]

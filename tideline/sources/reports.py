@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tideline.functions.scalar import is_real_code, quarter_from_text
 
@@ -30,26 +30,41 @@ def read_lines(spark: SparkSession, paths: list[str], header: bool = False) -> D
     return lines.join(first, "file").filter(F.struct("split", "position") != F.col("_first")).drop("_first")
 
 
+def _parsed(rows: DataFrame, **fields: Column) -> DataFrame:
+    """The rows with new columns, each computed once for each line.
+
+    They leave through a generator, which a filter on them can't be pushed through; pushed down, it would parse the line
+    again for every mention of a field.
+    """
+    row = rows.withColumn("_row", F.struct(*[value.alias(name) for name, value in fields.items()]))
+    return row.select(*rows.columns, F.inline(F.array("_row")))
+
+
 def classify_device_lines(lines: DataFrame, first: str, last: str) -> DataFrame:
     """Give every line one status and, where valid, its typed fields."""
-    fields = F.split("value", r"\|")
-    row = lines.withColumn("_f", fields).withColumn("_q", quarter_from_text(F.get("_f", F.lit(8)), first, last))
-    product = F.trim(F.get("_f", F.lit(28)))
+    rest = [c for c in lines.columns if c != "value"]
+    cells = lines.withColumn("_f", F.split("value", r"\|"))
+    cell = lambda k: F.get("_f", F.lit(k))
+    row = _parsed(
+        cells, _blank=F.coalesce(F.col("value"), F.lit("")) == "", _id=cell(0), _width=F.size("_f"), _day=cell(8), _maker=cell(11), _product=F.trim(cell(28))
+    ).select(*rest, "_blank", "_id", "_width", "_day", "_maker", "_product")
+    row = _parsed(row, _q=quarter_from_text(F.col("_day"), first, last))
+    product = F.col("_product")
     status = (
-        F.when(F.coalesce(F.col("value"), F.lit("")) == "", "blank")
-        .when(~F.get("_f", F.lit(0)).rlike("^[0-9]+$"), "non_numeric_key")
-        .when(F.size("_f") != DEVICE_WIDTH, "wrong_width")
+        F.when(F.col("_blank"), "blank")
+        .when(~F.col("_id").rlike("^[0-9]+$"), "non_numeric_key")
+        .when(F.col("_width") != DEVICE_WIDTH, "wrong_width")
         .when(F.col("_q").isNull(), "outside_window")
         .when(~is_real_code(product), "blank_product")
         .otherwise("valid")
     )
     return row.select(
-        *[c for c in lines.columns if c != "value"],
+        *rest,
         status.alias("status"),
-        F.get("_f", F.lit(0)).try_cast("long").alias("key"),
+        F.col("_id").try_cast("long").alias("key"),
         F.col("_q").alias("quarter"),
         product.alias("product"),
-        F.trim(F.get("_f", F.lit(11))).alias("manufacturer"),
+        F.trim("_maker").alias("manufacturer"),
     )
 
 
@@ -58,19 +73,20 @@ def parse_audit(classified: DataFrame) -> DataFrame:
 
 
 def classify_problem_lines(lines: DataFrame) -> DataFrame:
-    fields = F.split("value", r"\|")
-    code = F.trim(F.get(fields, F.lit(1)))
+    rest = [c for c in lines.columns if c != "value"]
+    cells = lines.withColumn("_f", F.split("value", r"\|"))
+    row = _parsed(cells, _blank=F.coalesce(F.col("value"), F.lit("")) == "", _width=F.size("_f"), _id=F.get("_f", F.lit(0)), _code=F.trim(F.get("_f", F.lit(1))))
     status = (
-        F.when(F.coalesce(F.col("value"), F.lit("")) == "", "blank")
-        .when((F.size(fields) != 2) | ~F.get(fields, F.lit(0)).rlike("^[0-9]+$"), "malformed")
-        .when(~is_real_code(code), "blank_code")
+        F.when(F.col("_blank"), "blank")
+        .when((F.col("_width") != 2) | ~F.col("_id").rlike("^[0-9]+$"), "malformed")
+        .when(~is_real_code(F.col("_code")), "blank_code")
         .otherwise("valid")
     )
-    return lines.select(
-        *[c for c in lines.columns if c != "value"],
+    return row.select(
+        *rest,
         status.alias("status"),
-        F.get(fields, F.lit(0)).try_cast("long").alias("key"),
-        code.alias("problem"),
+        F.col("_id").try_cast("long").alias("key"),
+        F.col("_code").alias("problem"),
     )
 
 
