@@ -659,3 +659,25 @@ def test_a_line_is_parsed_once_however_it_is_filtered(spark):
     assert valid._jdf.queryExecution().optimizedPlan().toString().count("split(value") + valid._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") <= 2
     codes = spark.createDataFrame([("5| c",), ("x|c",), ("",)], "value string").withColumn("value", F.concat_ws("|", F.col("value")))
     assert [tuple(r) for r in reports.classify_problem_lines(codes).filter("status = 'valid'").select("key", "problem").collect()] == [(5, "c")]
+
+
+def test_owner_pairs_are_listed_once_without_shuffling_them(spark, monkeypatch):
+    """Entities that share several owners are one pair, also in parts; no pair is dealt again to be made distinct."""
+    from tideline.plans import facility
+
+    monkeypatch.setattr(facility, "PART", 3)
+    rng = random.Random(5)
+    own = [(f"o{rng.randrange(12)}", f"e{rng.randrange(25)}") for _ in range(150)] + [("alone", "e1"), ("x", None), ("y", "lonely")]
+    rows = spark.createDataFrame(own, "owner string, entity string")
+    held = [(o, e) for o, e in set(own) if e]
+    want = {(a, b) for o, a in held for p, b in held if o == p and a != b}
+    got = [tuple(r) for r in facility.owner_projection(rows).collect()]
+    assert len(got) == len(want) and set(got) == want
+    values = spark.createDataFrame([(f"e{k}", float(k)) for k in range(20)], "entity string, x double")
+    pairs = facility.owner_projection(rows, values)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted((a, b, float(b[1:])) for a, b in want if int(b[1:]) < 20)
+    means = {r["entity"]: r["raw"] for r in facility.neighbor_mean(pairs, F.lit(True)).collect()}
+    for e in {a for a, b in want if int(b[1:]) < 20}:
+        assert means[e] == pytest.approx(np.mean([float(b[1:]) for a, b in want if a == e and int(b[1:]) < 20]))
+    plan = facility.owner_projection(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.lstrip().startswith(("Aggregate", "Distinct"))

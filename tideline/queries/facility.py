@@ -173,8 +173,8 @@ def neighbor_mean_query(spark, root):
     values = bindings.table(spark, root, "customer").select(
         F.col("c_custkey").cast("string").alias("entity"), F.col("c_acctbal").alias("x")
     )
-    pairs = _study(spark, root).topology("1996-01-01")
-    return rounded(neighbor_mean(pairs, values, F.col("entity").cast("long") % 2 == 0), 5)
+    pairs = _study(spark, root).topology("1996-01-01", values)
+    return rounded(neighbor_mean(pairs, F.col("entity").cast("long") % 2 == 0), 5)
 
 
 QUERIES = {n: f for n, f in globals().items() if callable(f) and n.startswith("c_")}
